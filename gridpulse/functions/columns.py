@@ -100,8 +100,11 @@ def safety_status(column: str | Column) -> Column:
 
 
 def round_half_even(column: str | Column, places: int) -> Column:
-    """E10."""
-    return F.bround(F.col(column) if isinstance(column, str) else column, places)
+    """Scale, round to the nearest even integer, scale back, as array libraries do. (Decimal
+    rounding of the printed value, ``F.bround``, differs on ties that binary numbers only approach.)"""
+    c = F.col(column) if isinstance(column, str) else column
+    scale = F.lit(10.0**places)
+    return F.rint(c * scale) / scale
 
 
 def probability_struct(
@@ -113,7 +116,7 @@ def probability_struct(
         return F.struct(*[F.lit(0.0).alias(f) for f in fields])
     c = F.col(column) if isinstance(column, str) else column
     values = [F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for i in range(len(fields))]
-    return F.struct(*[F.bround(v, places).alias(f) for v, f in zip(values, fields, strict=True)])
+    return F.struct(*[round_half_even(v, places).alias(f) for v, f in zip(values, fields, strict=True)])
 
 
 def vector_probability_struct(column: str, **options) -> Column:

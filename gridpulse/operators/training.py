@@ -34,7 +34,7 @@ from gridpulse.schema import (
     NOT_REGRESSOR_FEATURES,
     RISK,
 )
-from gridpulse.session import checkpoint_root
+from gridpulse.session import checkpoint_root, materialize
 
 RISK_PREDICTION, RISK_PROBABILITY = "risk_prediction", "risk_probability"
 TEMPERATURE_PREDICTION = "temperature_prediction"
@@ -124,10 +124,10 @@ def fit_boosted_classifier(task: Task) -> PipelineModel:
     p, stages, helpers = task.profile, [], []
     for k in task.classes:
         booster = GBTClassifier(
-            featuresCol=task.features, labelCol="_is_class", predictionCol=f"_hit_{k}",
-            probabilityCol=f"_chance_{k}", rawPredictionCol=f"_raw_{k}", maxIter=p.rounds, stepSize=0.1,
-            maxDepth=p.boost_depth, minInstancesPerNode=p.boost_leaf, maxBins=p.bins, seed=p.seed,
+            featuresCol=task.features, labelCol="_is_class", predictionCol=f"_hit_{k}", maxIter=p.rounds,
+            stepSize=0.1, maxDepth=p.boost_depth, minInstancesPerNode=p.boost_leaf, maxBins=p.bins, seed=p.seed,
         )
+        booster.setProbabilityCol(f"_chance_{k}").setRawPredictionCol(f"_raw_{k}")
         binary = task.train.withColumn("_is_class", (F.col(task.label) == k).cast("double"))
         stages += [booster.fit(binary), VectorSlicer(inputCol=f"_chance_{k}", outputCol=f"_vote_{k}", indices=[1])]
         helpers += [f"_hit_{k}", f"_chance_{k}", f"_raw_{k}", f"_vote_{k}"]
@@ -307,6 +307,7 @@ def train_all(
     The risk label is a rule over columns that stay among the classifier's features, as published:
     its scores say nothing about forecasting skill.
     """
+    frame = materialize(frame)  # read by every split, fit and score below
     cls = feature_columns(frame, [*NOT_CLASSIFIER_FEATURES, *also_exclude])
     reg = feature_columns(frame, [*NOT_REGRESSOR_FEATURES, *also_exclude])
     classifiers = compare_classifiers(*stratified_split(frame, RISK, key=key), cls, profile=profile)

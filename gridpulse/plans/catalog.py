@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions import columns as C
@@ -17,8 +16,8 @@ from gridpulse.operators.align import align_feeds
 from gridpulse.operators.scoring import score_batch, score_detail
 from gridpulse.plans import standins as S
 from gridpulse.plans.telemetry import telemetry_frame
-from gridpulse.schema import ANY_ALARM, DEVICE, KEY, READING_TIME, RISK, metadata_schema
-from gridpulse.session import scratch_path
+from gridpulse.schema import ANY_ALARM, DEVICE, KEY, READING_TIME, RISK, SENSORS, metadata_schema
+from gridpulse.session import materialize, scratch_path
 from gridpulse.sources import readers, writers
 from gridpulse.streaming import streams
 
@@ -172,30 +171,44 @@ def _(spark, folder):
 
 
 def _small_training(spark: SparkSession, folder: str, names: tuple[str, ...] = ("LogisticRegression",)):
-    frame = fleet_frame(spark, folder)
+    frame = materialize(fleet_frame(spark, folder))
     features = P.feature_columns(frame, [*training.NOT_CLASSIFIER_FEATURES, DEVICE])
     train, test = split.stratified_split(frame, RISK, key=DIMS)
     chosen = {n: training.CLASSIFIERS[n] for n in names}
     return frame, training.compare_classifiers(train, test, features, profile=training.SMALL, candidates=chosen)
 
 
-@query("s7_model_reload")
+@query(
+    "s7_model_reload",
+    f"WITH {S.aligned_sql()} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM aligned",
+)
 def _(spark, folder):
     frame, result = _small_training(spark, folder)
     path = scratch_path(spark)
     writers.save_model(result.model, path)
-    scored = writers.load_model(path).transform(frame)
-    return scored.select(DEVICE, KEY, F.col(training.RISK_PREDICTION).cast("int").alias("risk"))
+    fitted, loaded = [
+        m.transform(frame).select(*DIMS, F.col(training.RISK_PREDICTION).alias(c))
+        for m, c in ((result.model, "a"), (writers.load_model(path), "b"))
+    ]
+    both = fitted.join(loaded, DIMS)
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("a") != F.col("b")).alias("n_changed"))
 
 
-@query("s8_metadata")
+FRAME_FEATURES = [c for c in [*S.SENSOR_COLUMNS, *S.derived_sql()] if c not in training.NOT_CLASSIFIER_FEATURES]
+
+
+@query(
+    "s8_metadata",
+    f"WITH {S.aligned_sql()} SELECT 'events' AS dataset, count(*) AS records, 'Fault_Risk_Level' AS classification_target, "
+    f"'{','.join(FRAME_FEATURES)}' AS features, 'Critical Alarm / Trip' AS class_2 FROM aligned",
+)
 def _(spark, folder):
     frame = fleet_frame(spark, folder)
     record = {
         "dataset": "events",
         "records": frame.count(),
         "classification_target": RISK,
-        "classification_features": P.feature_columns(frame, training.NOT_CLASSIFIER_FEATURES),
+        "classification_features": P.feature_columns(frame, [*training.NOT_CLASSIFIER_FEATURES, DEVICE]),
         "classes": {str(k): v for k, v in C.CLASS_NAMES.items()},
     }
     record = {name: record.get(name) for name in metadata_schema().names}
@@ -339,7 +352,7 @@ named AS (SELECT *,
 
 @query("p10_temperature_only", SCORED + "SELECT temperature AS predicted_oil_temperature_celsius, status AS safety_status FROM named")
 def _(spark, folder):
-    return P.temperature_only(score_detail(S.readings(spark, folder), _rule_classifier(), _rule_regressor()))
+    return P.temperature_only(score_detail(S.readings(spark, folder), _rule_classifier(), _rule_regressor(), needed=SENSORS))
 
 
 @query(
@@ -648,7 +661,7 @@ def _(spark, folder):
     "count(*) FILTER (risk = 2) AS risk_2 FROM scored",
 )
 def _(spark, folder):
-    return metrics.batch_summary(score_batch(S.readings(spark, folder), _rule_classifier(), _rule_regressor()))
+    return metrics.batch_summary(score_batch(S.readings(spark, folder), _rule_classifier(), _rule_regressor(), needed=SENSORS))
 
 
 # --- Gap filling and order ---------------------------------------------------------------------
@@ -801,13 +814,20 @@ def _with_side(df: DataFrame, flagged: Callable[[DataFrame], DataFrame]) -> Data
     return flagged(df).groupBy("is_test", *([RISK] if RISK in df.columns else [])).agg(F.count("*").alias("n"))
 
 
-@query("m1_stratified_split")
+# The cut is the value of rank ceil(share * n), so the sizes follow.
+_SIDES = "SELECT {by} true AS is_test, CAST(ceil(n / 5.0) AS BIGINT) AS n FROM c UNION ALL SELECT {by} false, n - CAST(ceil(n / 5.0) AS BIGINT) FROM c"
+
+
+@query(
+    "m1_stratified_split",
+    f"WITH {S.features_sql()}, c AS (SELECT {RISK}, count(*) AS n FROM features GROUP BY 1) " + _SIDES.format(by=f"{RISK},"),
+)
 def _(spark, folder):
     frame = fleet_frame(spark, folder).select(*DIMS, RISK)
     return _with_side(frame, lambda d: split.with_test_flag(d, key=DIMS, label=RISK))
 
 
-@query("m2_random_split")
+@query("m2_random_split", "WITH c AS (SELECT count(*) AS n FROM events) " + _SIDES.format(by=""))
 def _(spark, folder):
     return _with_side(S.events(spark, folder), lambda d: split.with_test_flag(d, key=["event_id"]))
 
@@ -819,9 +839,6 @@ def _(spark, folder):
     "round((VL3 - avg(VL3) OVER ()) / stddev_samp(VL3) OVER (), 5) AS VL3 FROM features",
 )
 def _(spark, folder):
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     frame = VectorAssembler(inputCols=["OTI", "VL3"], outputCol="v").transform(fleet_frame(spark, folder))
     scaler = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(frame)
     z = scaler.transform(frame).select(*DIMS, vector_to_array("s").alias("s"))
@@ -830,10 +847,10 @@ def _(spark, folder):
 
 def _fit_query(name: str, model: str, classifier: bool) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        frame = fleet_frame(spark, folder)
         if classifier:
-            result = _small_training(spark, folder, (model,))[1]
+            frame, result = _small_training(spark, folder, (model,))
         else:
+            frame = materialize(fleet_frame(spark, folder))
             features = P.feature_columns(frame, [*training.NOT_REGRESSOR_FEATURES, DEVICE])
             sides = split.random_split(frame, key=DIMS)
             result = training.compare_regressors(
@@ -869,7 +886,11 @@ def _(spark, folder):
 ISOLATED = ["OTI", "WTI", "ATI", "OLI"]
 
 
-@query("m10_iforest_fit")
+@query(
+    "m10_iforest_fit",
+    "SELECT CAST(tree AS INTEGER) AS tree, CAST(256 AS INTEGER) AS sample, CAST(255 AS INTEGER) AS inner_nodes, "
+    "CAST(256 AS INTEGER) AS leaves FROM range(150) AS t(tree) WHERE (SELECT count(*) FROM events) >= 256",
+)
 def _(spark, folder):
     forest = iforest.fit(S.readings(spark, folder), ISOLATED)
     return forest.select("tree", "sample", F.size("feature").alias("inner_nodes"), F.size("depth").alias("leaves"))
@@ -897,7 +918,7 @@ def _(spark, folder):
     "temperature AS Predicted_OTI_Temp_C FROM named",
 )
 def _(spark, folder):
-    return text_time(score_batch(S.readings(spark, folder), _rule_classifier(), _rule_regressor()), fine=True)
+    return text_time(score_batch(S.readings(spark, folder), _rule_classifier(), _rule_regressor(), needed=SENSORS), fine=True)
 
 
 @query("m13_score_batch_fitted")
@@ -916,7 +937,7 @@ def _(spark, folder):
     "status AS safety_status, CAST(0 AS DOUBLE) AS p_normal FROM named",
 )
 def _(spark, folder):
-    detail = score_detail(S.readings(spark, folder), _rule_classifier(), _rule_regressor(), keep=["event_id"])
+    detail = score_detail(S.readings(spark, folder), _rule_classifier(), _rule_regressor(), needed=SENSORS, keep=["event_id"])
     return detail.withColumn("p_normal", F.col("probabilities.Normal")).drop("probabilities")
 
 
@@ -1054,7 +1075,7 @@ def _drain(writer, spark: SparkSession) -> None:
 )
 def _(spark, folder):
     panel = streams.monitor_stream(
-        _reading_stream(spark, folder), _rule_classifier(), _rule_regressor(), by=[DEVICE], keep=["event_id"],
+        _reading_stream(spark, folder), _rule_classifier(), _rule_regressor(), by=[DEVICE], needed=SENSORS, keep=["event_id"],
         tiebreak=["event_id"], refresh=None,
     )
     out = scratch_path(spark)
@@ -1082,7 +1103,7 @@ def _(spark, folder):
     SCORED + "SELECT event_id, risk AS Predicted_Fault_Risk, name AS Risk_Status, temperature AS Predicted_OTI_Temp_C FROM named",
 )
 def _(spark, folder):
-    scored = streams.score_stream(_reading_stream(spark, folder), _rule_classifier(), _rule_regressor(), nulls="zero")
+    scored = streams.score_stream(_reading_stream(spark, folder), _rule_classifier(), _rule_regressor(), needed=SENSORS, nulls="zero")
     out = scratch_path(spark)
     _drain(scored.writeStream.format("parquet").option("path", out).trigger(availableNow=True), spark)
     return spark.read.parquet(out).select("event_id", "Predicted_Fault_Risk", "Risk_Status", "Predicted_OTI_Temp_C")
