@@ -1,7 +1,7 @@
 """Fill gaps in time order, per device or over one single series.
 
-A window over a whole series puts that series into one task. The two-pass form cuts time into
-chunks of about equal row counts instead:
+A window over a whole series puts that series into one task, which suits any number of short ones.
+For long series, the two-pass form cuts time into chunks of about equal row counts instead:
 
 1. per (device, chunk), the last and first value of every column that is not missing; this combines
    before the shuffle and yields one row per device and chunk;
@@ -13,6 +13,9 @@ The data is shuffled once. How the chunks are cut never changes the result, only
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from gridpulse.schema import KEY
 _CHUNK, _OWNER, _TIME = "_chunk", "_owner", "_time"
 _LAST_TIME = (1 << 63) - 1
 MAX_CHUNKS = 4096
+LONG_SERIES = 1_000_000
+MAX_LISTED_SERIES = 10_000
 
 
 def _micros(column: str) -> Column:
@@ -44,7 +49,9 @@ def _bucket(df: DataFrame, column: Column, edges: list[float], name: str) -> Dat
     splits = [float("-inf"), *cuts, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_position", outputCol=name, handleInvalid="keep")
     placed = cut.transform(df.withColumn("_position", column.cast("double"))).drop("_position")
-    return placed.withColumn(name, F.col(name).cast("int"))
+    # Never null, which the planner must see: a null check pushed into one reader of a shared shuffle
+    # would keep the shuffle from being shared.
+    return placed.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(len(splits))))
 
 
 def with_time_chunks(
@@ -78,19 +85,30 @@ def default_chunks(df: DataFrame) -> int:
     return max(2, min(MAX_CHUNKS, partitions))
 
 
-def _row_order(time_column: str, tiebreak: list[str]) -> list[Column]:
-    return [F.col(time_column).asc_nulls_last(), *[F.col(c).asc_nulls_first() for c in tiebreak]]
+def _row_order(time_column: str, tiebreak: list[str], reverse: bool = False) -> list[Column]:
+    t, rest = F.col(time_column), [F.col(c) for c in tiebreak]
+    if reverse:
+        return [t.desc_nulls_first(), *[c.desc_nulls_last() for c in rest]]
+    return [t.asc_nulls_last(), *[c.asc_nulls_first() for c in rest]]
+
+
+def _so_far(column: str, partition: list[str], order: list[Column]) -> Column:
+    """Last value seen up to the row. (The mirrored frame, from the row to the end, would restart for
+    every row; a backward fill runs in the opposite order instead.)"""
+    running = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.last(column, ignorenulls=True).over(running)
 
 
 def _fill_by_window(df, columns, time_column, by, tiebreak, forward, backward, constant):
-    series = Window.partitionBy(*by).orderBy(*_row_order(time_column, tiebreak))
-    before = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = series.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    order = _row_order(time_column, tiebreak, reverse=not forward)
+    whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
 
     def value(c: str) -> Column:
-        steps = [F.col(c)]
-        steps += [F.last(c, ignorenulls=True).over(before)] if forward else []
-        steps += [F.first(c, ignorenulls=True).over(after)] if backward else []
+        steps = [F.col(c), _so_far(c, by, order)]
+        # After a forward fill only the leading gap is left: it takes the first value of the series.
+        steps += [F.first(c, ignorenulls=True).over(whole)] if forward and backward else []
         steps += [F.lit(constant)] if constant is not None else []
         return F.coalesce(*steps)
 
@@ -135,17 +153,30 @@ def _fill_in_two_passes(df, columns, time_column, by, tiebreak, forward, backwar
     data = with_time_chunks(data, time_column, tiebreak, chunks)
     seeds = _seeds(data, columns, time_column, tiebreak, owner, forward, backward, constant)
     joined = data.join(seeds, [_CHUNK, *owner], "inner")
-    within = Window.partitionBy(_CHUNK, *owner).orderBy(*_row_order(time_column, tiebreak))
-    before = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = within.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    order = _row_order(time_column, tiebreak, reverse=not forward)
 
     def value(c: str) -> Column:
-        near = F.last(c, ignorenulls=True).over(before) if forward else F.first(c, ignorenulls=True).over(after)
-        return F.coalesce(near, F.col(f"_seed_{c}"))
+        return F.coalesce(_so_far(c, [_CHUNK, *owner], order), F.col(f"_seed_{c}"))
 
     return joined.withColumns({c: value(c) for c in columns}).select(*names)
 
 
+def _by_length(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(short series, long series); None for a side without any."""
+    if not by:
+        return (df, None) if df.limit(limit + 1).count() <= limit else (None, df)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by)
+    long = sizes.limit(MAX_LISTED_SERIES + 1).collect()
+    if not long:
+        return df, None
+    if len(long) > MAX_LISTED_SERIES:
+        return None, df
+    # Few and small, so they are broadcast; on the grouping columns alone, so the test moves towards the scan.
+    sides = df.sparkSession.createDataFrame(long, sizes.schema).toDF(*[f"_long_{c}" for c in by])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_long_{c}")) for c in by])
+    return df.join(sides, same, "left_anti"), df.join(sides, same, "left_semi")
+
+
 def fill_gaps(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -155,20 +186,28 @@ def fill_gaps(
     forward: bool = True,
     backward: bool = True,
     constant: float | None = 0.0,
-    strategy: str = "two_pass",
+    strategy: str = "auto",
     chunks: int | None = None,
+    long_series: int = LONG_SERIES,
 ) -> DataFrame:
     """W1 (forward), then W2 (backward), then W3 (constant); each step may be switched off.
 
     ``columns`` defaults to all but the time, device and tiebreak columns. Give a ``tiebreak`` where
     times repeat: their order is undefined otherwise. ``strategy="window"`` uses one window per
-    series and suits many short series; ``"two_pass"`` cuts long ones.
+    series, ``"two_pass"`` cuts all of them; ``"auto"`` counts the rows per series first (one job over
+    the ``by`` columns) and cuts those with more than ``long_series`` rows.
     """
     by, tiebreak = list(by or []), list(tiebreak or [])
     columns = columns or [c for c in df.columns if c not in {time_column, *by, *tiebreak}]
     if not (forward or backward):
         return df if constant is None else df.fillna(constant, subset=columns)
     options = (columns, time_column, by, tiebreak, forward, backward, constant)
+    if strategy == "auto":
+        short, long = _by_length(df, by, long_series)
+        parts = [_fill_by_window(short, *options)] if short is not None else []
+        if long is not None:
+            parts.append(_fill_in_two_passes(long, *options, chunks or default_chunks(df)))
+        return reduce(DataFrame.unionAll, parts)
     if strategy == "window":
         return _fill_by_window(df, *options)
     if strategy == "two_pass":

@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_RANGE = 1 << 31
-CUT_ACCURACY = 100_000
+HASH_BITS = 31
+HASH_RANGE = 1 << HASH_BITS
+BIN_BITS = 16  # low bits of the hash: at most 2^15 bins first, 2^16 values inside one of them then
 MAX_LISTED_CLASSES = 1000
-_CUT = "_cut"
+_CLASS, _HASH, _BIN, _CUT = "_class", "_hash", "_bin", "_cut"
 
 
 def row_hash(columns: list[str], seed: int) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(HASH_RANGE))
 
 
+def _crossing(counts: DataFrame, step: str, wanted: Column) -> DataFrame:
+    """The step (bin or hash) of each class in which the running count reaches ``wanted``.
+    A class has at most 2^16 steps, whatever its number of rows."""
+    running = Window.partitionBy(_CLASS).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(_CLASS)
+    summed = counts.withColumns({
+        "_upto": F.sum("_n").over(running),
+        "_total": F.sum("_n").over(whole),
+    }).withColumn("_wanted", wanted)
+    before = F.col("_upto") - F.col("_n")
+    hit = summed.filter((F.col("_upto") >= F.col("_wanted")) & (before < F.col("_wanted")))
+    return hit.select(_CLASS, step, (F.col("_wanted") - before).alias("_rest"))
+
+
+def _per_class(column: Column, listed: list, value: str) -> Column:
+    out = F.lit(-1)
+    for row in listed:
+        out = F.when(column.eqNullSafe(F.lit(row[_CLASS])), F.lit(row[value])).otherwise(out)
+    return out
+
+
 def with_test_flag(
     df: DataFrame,
     key: list[str] | None = None,
@@ -23,28 +45,38 @@ def with_test_flag(
     seed: int = 42,
     name: str = "is_test",
 ) -> DataFrame:
-    """Adds ``name``: true for the share of rows with the smallest hashes, per class with ``label``.
+    """Adds ``name``: true for ceil(share * n) rows, those with the smallest hashes; per class with
+    ``label``.
 
     The hash covers ``key`` (default: all columns), so rows equal there stay on one side; include
-    enough columns that no value holds a large part of the rows. The cut is a quantile sketch: no
-    row moves, and the share is right to 1/100,000 of the class.
+    enough columns that no value holds a large part of the rows. Two counting passes find the hash
+    of that rank exactly; no row moves.
     """
-    columns = key or df.columns
-    h = row_hash(columns, seed)
-    cut = F.percentile_approx(h, test_share, CUT_ACCURACY).alias(_CUT)
-    if label is None:
-        bound = df.agg(cut).first()[_CUT]
-        return df.withColumn(name, h <= F.lit(bound)) if bound is not None else df.withColumn(name, F.lit(False))
-    cuts = df.groupBy(label).agg(cut)
-    listed = cuts.limit(MAX_LISTED_CLASSES + 1).collect()
-    if len(listed) > MAX_LISTED_CLASSES:
-        sides = cuts.select(F.col(label).alias("_class"), _CUT)
-        joined = df.join(sides, df[label].eqNullSafe(sides["_class"]), "left")
-        return joined.select(*df.columns, (h <= F.col(_CUT)).alias(name))
-    bound = F.lit(-1)
-    for row in listed:
-        bound = F.when(F.col(label).eqNullSafe(F.lit(row[label])), F.lit(row[_CUT])).otherwise(bound)
-    return df.withColumn(name, h <= bound)
+    h = row_hash(key or df.columns, seed)
+    group = F.col(label) if label else F.lit(0)
+    hashed = df.select(group.alias(_CLASS), h.alias(_HASH))
+    bins = hashed.groupBy(_CLASS, F.shiftright(_HASH, BIN_BITS).alias(_BIN)).agg(F.count("*").alias("_n"))
+    rank = F.ceil(F.col("_total") * F.lit(float(test_share)))
+    found = _crossing(bins, _BIN, rank)
+    listed = found.limit(MAX_LISTED_CLASSES + 1).collect()
+    few = len(listed) <= MAX_LISTED_CLASSES
+    if few:
+        spark = df.sparkSession
+        found = spark.createDataFrame(listed, found.schema)
+        inside = hashed.filter(F.shiftright(_HASH, BIN_BITS) == _per_class(F.col(_CLASS), listed, _BIN))
+    else:
+        bounds = found.select(F.col(_CLASS).alias("_c"), _BIN)
+        inside = hashed.join(
+            bounds, F.col(_CLASS).eqNullSafe(F.col("_c")) & (F.shiftright(_HASH, BIN_BITS) == F.col(_BIN)), "left_semi"
+        )
+    values = inside.groupBy(_CLASS, _HASH).agg(F.count("*").alias("_n"))
+    ranked = values.join(found.select(F.col(_CLASS).alias("_c"), "_rest"), F.col(_CLASS).eqNullSafe(F.col("_c")))
+    cuts = _crossing(ranked.select(_CLASS, _HASH, "_n", "_rest"), _HASH, F.col("_rest"))
+    cuts = cuts.select(_CLASS, F.col(_HASH).alias(_CUT))
+    if few:
+        return df.withColumn(name, h <= _per_class(group, cuts.collect(), _CUT))
+    joined = df.join(cuts, group.eqNullSafe(F.col(_CLASS)), "left")
+    return joined.select(*df.columns, F.coalesce(h <= F.col(_CUT), F.lit(False)).alias(name))
 
 
 def _sides(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -700,10 +700,21 @@ def _(spark, folder):
     return text_time(fill.fill_gaps(fleet_aligned(spark, folder), by=[DEVICE]))
 
 
+@query("w123_fill_gaps_two_pass", _fill_sql(ALL_STEPS))
+def _(spark, folder):
+    return text_time(fill.fill_gaps(fleet_aligned(spark, folder), by=[DEVICE], strategy="two_pass"))
+
+
 @query("w123_fill_gaps_single_series", _fill_sql(ALL_STEPS, fleet=False))
 def _(spark, folder):
     aligned = align_feeds(S.feeds(spark, folder, fleet=False), KEY, strategy="union")
-    return text_time(fill.fill_gaps(aligned))
+    return text_time(fill.fill_gaps(aligned, strategy="two_pass"))
+
+
+@query("w123_fill_gaps_auto", _fill_sql(ALL_STEPS))
+def _(spark, folder):
+    """Devices seen on more than 27 days count as long here, so both plans take part."""
+    return text_time(fill.fill_gaps(fleet_aligned(spark, folder), by=[DEVICE], long_series=27))
 
 
 @query("w123_fill_gaps_by_window", _fill_sql(ALL_STEPS))
@@ -814,8 +825,8 @@ def _with_side(df: DataFrame, flagged: Callable[[DataFrame], DataFrame]) -> Data
     return flagged(df).groupBy("is_test", *([RISK] if RISK in df.columns else [])).agg(F.count("*").alias("n"))
 
 
-# The cut is the value of rank ceil(share * n), so the sizes follow.
-_SIDES = "SELECT {by} true AS is_test, CAST(ceil(n / 5.0) AS BIGINT) AS n FROM c UNION ALL SELECT {by} false, n - CAST(ceil(n / 5.0) AS BIGINT) FROM c"
+# The cut is the hash of rank ceil(share * n), so the sizes follow.
+_SIDES = "SELECT {by} true AS is_test, CAST(ceil(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS n FROM c UNION ALL SELECT {by} false, n - CAST(ceil(n * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM c"
 
 
 @query(
@@ -823,7 +834,7 @@ _SIDES = "SELECT {by} true AS is_test, CAST(ceil(n / 5.0) AS BIGINT) AS n FROM c
     f"WITH {S.features_sql()}, c AS (SELECT {RISK}, count(*) AS n FROM features GROUP BY 1) " + _SIDES.format(by=f"{RISK},"),
 )
 def _(spark, folder):
-    frame = fleet_frame(spark, folder).select(*DIMS, RISK)
+    frame = materialize(fleet_frame(spark, folder).select(*DIMS, RISK))
     return _with_side(frame, lambda d: split.with_test_flag(d, key=DIMS, label=RISK))
 
 

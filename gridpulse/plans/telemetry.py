@@ -17,7 +17,7 @@ def telemetry_frame(
     rules: RiskRules = RiskRules(),
     how: str = "outer",
     align: str = "auto",
-    fill: str = "two_pass",
+    fill: str = "auto",
     tiebreak: list[str] | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
