@@ -82,7 +82,7 @@ def fit(
 ) -> DataFrame:
     """The forest, one row per tree. It is written once, so every use sees the same trees."""
 
-    def grow_tree(key, group: pd.DataFrame) -> pd.DataFrame:
+    def grow_tree(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         chosen = group.nsmallest(SAMPLE, "order")
         points = np.nan_to_num(np.array(chosen["values"].tolist(), dtype=float))
         feature, threshold, depth = grow(points, np.random.default_rng([seed, int(key[0])]))

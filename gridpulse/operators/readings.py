@@ -93,12 +93,12 @@ def lookup(df: DataFrame, column: str, value) -> DataFrame:
 def lookup_many(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """T7 for many ids: the rows found, and the ids that have none."""
     wanted = ids.select(column).distinct()
-    return df.join(wanted, column, "left_semi"), wanted.join(df.select(column), column, "left_anti")
+    return df.join(wanted, column, "left_semi").select(*df.columns), wanted.join(df.select(column), column, "left_anti")
 
 
 def new_keys_only(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in the target. A missing key conflicts with nothing."""
-    return batch.join(target.select(*keys), keys, "left_anti")
+    return batch.join(target.select(*keys), keys, "left_anti").select(*batch.columns)
 
 
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -159,17 +159,17 @@ def row_index(
         source, last = materialize(df).withColumn("_copy", F.monotonically_increasing_id()), ["_copy"]
     ordered = source.orderBy(*by, *columns, *last).drop(*last)
     placed = materialize(ordered.withColumn("_place", F.monotonically_increasing_id()))
-    data = placed.withColumn("_owner", F.struct(*by)) if by else placed
-    owner = ["_owner"] if by else []
-    part = F.shiftright("_place", PARTITION_BITS).alias("_part")
+    data = placed.withColumn("_index_owner", F.struct(*by)) if by else placed
+    owner = ["_index_owner"] if by else []
+    part = F.shiftright("_place", PARTITION_BITS).alias("_index_part")
     data = data.select("*", part)
-    blocks = data.groupBy(*owner, "_part").agg(F.count("*").alias("_rows"), F.min("_place").alias("_start"))
-    earlier = Window.partitionBy(*owner).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = data.groupBy(*owner, "_index_part").agg(F.count("*").alias("_rows"), F.min("_place").alias("_start"))
+    earlier = Window.partitionBy(*owner).orderBy("_index_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
-        *owner, "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift")
+        *owner, "_index_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift")
     )
     if not by:
         # One row per partition: the number of partitions bounds it.
         offsets = F.broadcast(offsets)
-    indexed = data.join(offsets, [*owner, "_part"], "inner")
+    indexed = data.join(offsets, [*owner, "_index_part"], "inner")
     return indexed.select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))

@@ -17,7 +17,8 @@ MAX_CHILDREN = 100_000
 def split_existing(batch: DataFrame, target: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows by whether ``column`` already occurs in the target."""
     known = target.select(column)
-    return batch.join(known, column, "left_anti"), batch.join(known, column, "left_semi")
+    sides = [batch.join(known, column, kind).select(*batch.columns) for kind in ("left_anti", "left_semi")]
+    return sides[0], sides[1]
 
 
 def _accept_in_order(batch: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
@@ -35,9 +36,9 @@ def _accept_in_order(batch: DataFrame, unique: list[str], order: list[str]) -> D
         leading = open_rows
         for c, first in zip(unique, firsts, strict=True):
             present = leading.filter(F.col(c).isNotNull()).join(first, [*order, c], "left_semi")
-            leading = present.unionAll(leading.filter(F.col(c).isNull()))
+            leading = present.unionByName(leading.filter(F.col(c).isNull()))
         leading = materialize(leading)
-        accepted = leading if accepted is None else accepted.unionAll(leading)
+        accepted = leading if accepted is None else accepted.unionByName(leading)
         rest = open_rows.join(leading.select(*order), order, "left_anti")
         for c in unique:
             rest = rest.join(leading.select(c), c, "left_anti")
