@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.schema import KEY
+from gridpulse.session import materialize
 
-_FEED = "_feed"
+_FEED, _KEY = "_feed", "_key"
+HOT_ROWS = 1_000_000
 
 
 def _names(on: str | list[str]) -> list[str]:
@@ -41,12 +43,15 @@ def null_key_counts(feeds: dict[str, DataFrame], on: str | list[str] = KEY) -> D
     return reduce(DataFrame.unionAll, tagged).groupBy("feed").agg(F.count_if(missing).alias("null_keys"))
 
 
+def _rows_per_key(feeds: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(feed number, key) with the number of rows; reads only the key columns."""
+    tagged = [f.select(F.lit(i).alias(_FEED), F.struct(*keys).alias(_KEY)) for i, f in enumerate(feeds)]
+    return reduce(DataFrame.unionAll, tagged).groupBy(_FEED, _KEY).agg(F.count("*").alias("_n"))
+
+
 def keys_are_unique(feeds: list[DataFrame], on: str | list[str] = KEY) -> bool:
-    """Whether no feed has two rows of one key. Reads only the key columns."""
-    keys = _names(on)
-    tagged = [f.select(F.lit(i).alias(_FEED), *keys) for i, f in enumerate(feeds)]
-    repeated = reduce(DataFrame.unionAll, tagged).groupBy(_FEED, *keys).count().filter("count > 1")
-    return repeated.isEmpty()
+    """Whether no feed has two rows of one key."""
+    return _rows_per_key(feeds, _names(on)).filter("_n > 1").isEmpty()
 
 
 def _align_by_union(feeds: list[DataFrame], on: list[str], how: str) -> DataFrame:
@@ -69,25 +74,57 @@ def _align_by_union(feeds: list[DataFrame], on: list[str], how: str) -> DataFram
     return checked.select(*on, *values)
 
 
-def _align_by_join(feeds: list[DataFrame], on: list[str], how: str) -> DataFrame:
-    """Repeated keys multiply. The outer form pads every feed with the keys it lacks, which turns the
-    chain into inner joins: those keep their partitioning, so no intermediate result is shuffled
-    again, and adaptive execution may split a hot key on either side."""
-    key = F.struct(*on).alias("_key")  # a struct of nulls equals another one
+def _pad(feeds: list[DataFrame]) -> list[DataFrame]:
+    """Give every feed a row without values for each key that only others have."""
+    marks = [f.select(_KEY, F.lit(1 << i).alias("_bit")) for i, f in enumerate(feeds)]
+    known = reduce(DataFrame.unionAll, marks).groupBy(_KEY).agg(F.bit_or("_bit").alias("_bits"))
+    return [
+        f.unionByName(
+            known.filter(F.col("_bits").bitwiseAND(1 << i) == 0).select(_KEY), allowMissingColumns=True
+        )
+        for i, f in enumerate(feeds)
+    ]
+
+
+def _join_chain(feeds: list[DataFrame], on: list[str]) -> DataFrame:
+    """Padding turns the outer form into inner joins: those keep their partitioning, so no
+    intermediate result is shuffled again."""
+    return reduce(lambda a, b: a.join(b, on, "inner"), feeds)
+
+
+def _spread(feed: DataFrame, number: int, hot: DataFrame) -> DataFrame:
+    """Rows of hot keys with a salt: the largest feed of a key deals its rows out, the others are
+    repeated for every salt. Rows are numbered after they were written, so a lost task deals alike."""
+    dealt = F.array(F.pmod("_row", "_ways"))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("_ways") - 1)
+    numbered = feed.withColumn("_row", F.monotonically_increasing_id()).join(hot, _KEY)
+    salts = F.when(F.col("_largest") == number, dealt).otherwise(everywhere)
+    return numbered.withColumn("_salt", F.explode(salts)).drop("_row", "_ways", "_largest")
+
+
+def _align_by_join(feeds: list[DataFrame], on: list[str], how: str, hot_rows: int) -> DataFrame:
+    """Repeated keys multiply. Keys with more than ``hot_rows`` rows in a feed are joined apart, salted."""
+    key = F.struct(*on).alias(_KEY)  # a struct of nulls equals another one
     keyed = [f.select(key, *[c for c in f.columns if c not in on]) for f in feeds]
-    if how == "outer":
-        marks = [f.select("_key", F.lit(1 << i).alias("_bit")) for i, f in enumerate(keyed)]
-        known = reduce(DataFrame.unionAll, marks).groupBy("_key").agg(F.bit_or("_bit").alias("_bits"))
-        keyed = [
-            f.unionByName(
-                known.filter(F.col("_bits").bitwiseAND(1 << i) == 0).select("_key"),
-                allowMissingColumns=True,
-            )
-            for i, f in enumerate(keyed)
-        ]
-    joined = reduce(lambda a, b: a.join(b, "_key", "inner"), keyed)
-    values = [c for c in joined.columns if c != "_key"]
-    return joined.select(*[F.col("_key")[c].alias(c) for c in on], *values)
+    values = [c for f in keyed for c in f.columns if c != _KEY]
+    counts = _rows_per_key(feeds, on).filter(F.col("_n") > hot_rows)
+    hot = counts.groupBy(_KEY).agg(
+        F.max_by(_FEED, "_n").alias("_largest"), F.ceil(F.max("_n") / hot_rows).alias("_ways")
+    )
+    salted = None
+    if not hot.isEmpty():
+        # At most (all rows) / hot_rows keys.
+        hot = materialize(hot)
+        apart = [materialize(f.join(hot, _KEY, "left_semi").select(*f.columns)) for f in keyed]
+        keyed = [f.join(hot, _KEY, "left_anti").select(*f.columns) for f in keyed]
+        if how == "outer":
+            lacking = [hot.select(_KEY).join(f.select(_KEY), _KEY, "left_anti") for f in apart]
+            apart = [materialize(f.unionByName(k, allowMissingColumns=True)) for f, k in zip(apart, lacking, strict=True)]
+        salted = _join_chain([_spread(f, i, hot) for i, f in enumerate(apart)], [_KEY, "_salt"])
+    joined = _join_chain(_pad(keyed) if how == "outer" else keyed, [_KEY]).select(_KEY, *values)
+    if salted is not None:
+        joined = joined.unionAll(salted.select(_KEY, *values))
+    return joined.select(*[F.col(_KEY)[c].alias(c) for c in on], *values)
 
 
 def align_feeds(
@@ -96,11 +133,13 @@ def align_feeds(
     how: str = "outer",
     strategy: str = "auto",
     null_keys: str = "match",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """J1 (``how="outer"``) and J2 (``how="inner"``).
 
     ``strategy="union"`` needs unique keys per feed and costs one exchange; ``"join"`` multiplies
-    repeated keys; ``"auto"`` looks at the keys first (one job over the key columns) and picks.
+    repeated keys, hot ones (more than ``hot_rows`` rows in a feed) spread over many tasks; ``"auto"``
+    looks at the keys first (one job over the key columns) and picks.
     Missing keys match each other (``"match"``) or are left out (``"drop"``). The result has no
     order: sort where it is shown.
     """
@@ -114,5 +153,5 @@ def align_feeds(
     if strategy == "union":
         return _align_by_union(frames, keys, how)
     if strategy == "join":
-        return _align_by_join(frames, keys, how)
+        return _align_by_join(frames, keys, how, hot_rows)
     raise ValueError(f"unknown strategy: {strategy}")

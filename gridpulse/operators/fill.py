@@ -161,11 +161,11 @@ def _fill_in_two_passes(df, columns, time_column, by, tiebreak, forward, backwar
     return joined.withColumns({c: value(c) for c in columns}).select(*names)
 
 
-def _by_length(df: DataFrame, by: list[str], limit: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _by_length(df: DataFrame, outline: DataFrame, by: list[str], limit: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(short series, long series); None for a side without any."""
     if not by:
-        return (df, None) if df.limit(limit + 1).count() <= limit else (None, df)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by)
+        return (df, None) if outline.limit(limit + 1).count() <= limit else (None, df)
+    sizes = outline.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by)
     long = sizes.limit(MAX_LISTED_SERIES + 1).collect()
     if not long:
         return df, None
@@ -189,13 +189,15 @@ def fill_gaps(
     strategy: str = "auto",
     chunks: int | None = None,
     long_series: int = LONG_SERIES,
+    outline: DataFrame | None = None,
 ) -> DataFrame:
     """W1 (forward), then W2 (backward), then W3 (constant); each step may be switched off.
 
     ``columns`` defaults to all but the time, device and tiebreak columns. Give a ``tiebreak`` where
     times repeat: their order is undefined otherwise. ``strategy="window"`` uses one window per
     series, ``"two_pass"`` cuts all of them; ``"auto"`` counts the rows per series first (one job over
-    the ``by`` columns) and cuts those with more than ``long_series`` rows.
+    the ``by`` columns) and cuts those with more than ``long_series`` rows. ``outline`` may give a
+    cheaper frame to count by, with at least as many rows per series.
     """
     by, tiebreak = list(by or []), list(tiebreak or [])
     columns = columns or [c for c in df.columns if c not in {time_column, *by, *tiebreak}]
@@ -203,7 +205,7 @@ def fill_gaps(
         return df if constant is None else df.fillna(constant, subset=columns)
     options = (columns, time_column, by, tiebreak, forward, backward, constant)
     if strategy == "auto":
-        short, long = _by_length(df, by, long_series)
+        short, long = _by_length(df, df if outline is None else outline, by, long_series)
         parts = [_fill_by_window(short, *options)] if short is not None else []
         if long is not None:
             parts.append(_fill_in_two_passes(long, *options, chunks or default_chunks(df)))

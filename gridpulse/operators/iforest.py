@@ -138,11 +138,11 @@ def flag(
 ) -> DataFrame:
     """Adds the score and ``anomaly_flag``, -1 for an anomaly and 1 otherwise.
 
-    Without a ``cut`` the scores of all rows decide it; they are written once rather than computed twice.
+    Without a ``cut`` the scores of all rows decide it. That pass reads the features only, so scoring
+    twice is cheaper than keeping whole rows; write ``df`` first where computing it is dear.
     """
     scored = score(df, forest, features)
     if cut is None:
-        scored = materialize(scored)
         cut = score_cut(scored, contamination)
     limit = F.lit(cut).cast("double")
     return scored.withColumn("anomaly_flag", F.when(F.col("anomaly_score") > limit, -1).otherwise(1))

@@ -96,9 +96,12 @@ def lookup_many(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame,
     return df.join(wanted, column, "left_semi").select(*df.columns), wanted.join(df.select(column), column, "left_anti")
 
 
-def new_keys_only(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is not in the target. A missing key conflicts with nothing."""
-    return batch.join(target.select(*keys), keys, "left_anti").select(*batch.columns)
+def new_keys_only(batch: DataFrame, target: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
+    """Rows whose key is not in the target. A missing key conflicts with nothing.
+
+    Keys that the target repeats are reduced by its map tasks; say ``unique`` where it has none."""
+    known = target.select(*keys)
+    return batch.join(known if unique else known.distinct(), keys, "left_anti").select(*batch.columns)
 
 
 def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

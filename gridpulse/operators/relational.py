@@ -16,7 +16,7 @@ MAX_CHILDREN = 100_000
 
 def split_existing(batch: DataFrame, target: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows by whether ``column`` already occurs in the target."""
-    known = target.select(column)
+    known = target.select(column).distinct()
     sides = [batch.join(known, column, kind).select(*batch.columns) for kind in ("left_anti", "left_semi")]
     return sides[0], sides[1]
 

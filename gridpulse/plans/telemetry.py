@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gridpulse.functions.frames import clean_numbers, with_derived, with_labels, with_time_parts
-from gridpulse.operators.align import align_feeds
+from gridpulse.operators.align import align_feeds, keys_are_unique
 from gridpulse.operators.fill import fill_gaps
 from gridpulse.schema import KEY, RiskRules
 from gridpulse.sources.readers import read_feeds
@@ -24,11 +26,16 @@ def telemetry_frame(
     """Align, fill, derive and label. With ``by``, every device is a series of its own; without, all
     rows are one series."""
     by = list(by or [])
-    aligned = align_feeds(
-        {name: clean_numbers(f) for name, f in feeds.items()}, [*by, KEY], how, align
+    keys = [*by, KEY]
+    clean = [clean_numbers(f) for f in feeds.values()]
+    if align == "auto":
+        align = "union" if keys_are_unique(clean, keys) else "join"
+    timed = with_time_parts(align_feeds(clean, keys, how, align))
+    # With unique keys, a series has no more rows than the feeds have together.
+    outline = reduce(DataFrame.unionAll, [f.select(*keys) for f in clean]) if align == "union" else None
+    filled = fill_gaps(
+        timed, time_column=KEY, by=by, tiebreak=tiebreak, strategy=fill, chunks=chunks, outline=outline
     )
-    timed = with_time_parts(aligned)
-    filled = fill_gaps(timed, time_column=KEY, by=by, tiebreak=tiebreak, strategy=fill, chunks=chunks)
     return with_labels(with_derived(filled, rules), rules)
 
 

@@ -52,16 +52,16 @@ def append_idempotent(
     that the tally counts what was written and lost executors cannot change the outcome. A plain
     table enforces no key: one writer at a time.
     """
-    spark = batch.sparkSession
     batch = batch.withColumn(DATE_PARTITION, F.to_date(time_column))
+    day = F.col(DATE_PARTITION)
+    seen = batch.agg(F.count("*").alias("n"), F.min(day).alias("lo"), F.max(day).alias("hi")).first()
     accepted = dedupe_keep_first(batch, list(keys), list(order))
-    table = existing_readings(spark, path)
+    table = existing_readings(batch.sparkSession, path)
     if table is not None:
-        span = batch.agg(F.min(DATE_PARTITION).alias("lo"), F.max(DATE_PARTITION).alias("hi")).first()
-        recent = table.filter(F.col(DATE_PARTITION).between(F.lit(span.lo), F.lit(span.hi)))
-        accepted = new_keys_only(accepted, recent, list(keys))
+        recent = table.filter(day.between(F.lit(seen.lo), F.lit(seen.hi)))
+        accepted = new_keys_only(accepted, recent, list(keys), unique=True)
     staged = materialize(accepted)
-    tally = ImportTally(total=batch.count(), inserted=staged.count())
+    tally = ImportTally(total=seen.n, inserted=staged.count())
     if tally.inserted:
         # Rebalancing splits a day that holds most of the rows and merges small ones.
         staged.hint("rebalance", DATE_PARTITION).write.mode("append").partitionBy(DATE_PARTITION).parquet(path)

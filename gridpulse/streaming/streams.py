@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +70,11 @@ def ingest_stream(
         stream = stream.withWatermark(time_column, watermark).dropDuplicatesWithinWatermark(list(keys))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tally = append_idempotent(batch, path, keys, order, time_column)
+        batch.persist(StorageLevel.MEMORY_AND_DISK)  # read twice
+        try:
+            tally = append_idempotent(batch, path, keys, order, time_column)
+        finally:
+            batch.unpersist()
         if on_tally:
             on_tally(batch_id, tally)
 

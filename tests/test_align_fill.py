@@ -68,6 +68,21 @@ def test_union_alignment_shuffles_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("how", ["outer", "inner"])
+def test_hot_keys_are_spread_and_whole(spark, how):
+    """Keys 2 and null count as hot here; copies of a row are dealt out like other rows."""
+    rng = random.Random(4)
+    rows = {
+        "a": [(2, 1.0)] * 9 + [(rng.choice([1, 2, 3, None]), float(i)) for i in range(30)],
+        "b": [(2, 5.0), (4, 6.0)] + [(None, float(i)) for i in range(7)],
+        "c": [(2, 7.0), (1, 8.0), (None, 9.0)],
+    }
+    feeds = [feed(spark, r, n) for n, r in rows.items()]
+    plain = shown(align_feeds(feeds, "k", how, "join"))
+    assert len(plain) > 40
+    assert shown(align_feeds(feeds, "k", how, "join", hot_rows=4)) == plain
+
+
 def test_hot_key_multiplies_completely(spark):
     hot = spark.range(3000).select(F.lit(7).alias("k"), F.col("id").cast("double").alias("a"))
     other = spark.createDataFrame([(7, 1.0), (7, 2.0), (8, 3.0)], "k int, b double")
