@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridpulse.schema import KEY
 from gridpulse.session import materialize
 
 _FEED, _KEY = "_feed", "_key"
 HOT_ROWS = 1_000_000
+MAX_LISTED_KEYS = 10_000
 
 
 def _names(on: str | list[str]) -> list[str]:
@@ -55,23 +57,29 @@ def keys_are_unique(feeds: list[DataFrame], on: str | list[str] = KEY) -> bool:
 
 
 def _align_by_union(feeds: list[DataFrame], on: list[str], how: str) -> DataFrame:
-    """One exchange for any number of feeds: stack them and take, per key, the one value of each
-    column. Rows are combined before the shuffle. A repeated key fails the job."""
-    tagged = [feed.withColumn(_FEED, F.lit(i)) for i, feed in enumerate(feeds)]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    values = [c for feed in feeds for c in feed.columns if c not in on]
+    """One exchange for any number of feeds: stack them and take, per key, the one row of each feed.
+    A feed's columns travel as one struct, so a stacked row carries no empty columns of other feeds.
+    A repeated key fails the job."""
+    names = [f"_feed_{i}" for i in range(len(feeds))]
     rows = [f"_rows_{i}" for i in range(len(feeds))]
+    values = [[c for c in feed.columns if c not in on] for feed in feeds]
+    packed = [
+        feed.select(*on, F.struct(*(columns or [F.lit(1).alias("_present")])).alias(name))
+        for feed, columns, name in zip(feeds, values, names, strict=True)
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
     grouped = stacked.groupBy(*on).agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in values],
-        *[F.count_if(F.col(_FEED) == i).alias(r) for i, r in enumerate(rows)],
+        *[F.first(n, ignorenulls=True).alias(n) for n in names],
+        *[F.count(n).alias(r) for n, r in zip(names, rows, strict=True)],
     )
-    repeated = F.greatest(*[F.col(r) for r in rows]) > 1
+    repeated = F.greatest(F.lit(0), *[F.col(r) for r in rows]) > 1
     checked = grouped.filter(
         F.assert_true(~repeated, F.lit("a feed repeats a key: align with strategy='join'")).isNull()
     )
     if how == "inner":
-        checked = checked.filter(F.least(*[F.col(r) for r in rows]) >= 1)
-    return checked.select(*on, *values)
+        checked = checked.filter(F.least(F.lit(1), *[F.col(r) for r in rows]) >= 1)
+    unpacked = [F.col(n)[c].alias(c) for n, columns in zip(names, values, strict=True) for c in columns]
+    return checked.select(*on, *unpacked)
 
 
 def _pad(feeds: list[DataFrame]) -> list[DataFrame]:
@@ -127,6 +135,20 @@ def _align_by_join(feeds: list[DataFrame], on: list[str], how: str, hot_rows: in
     return joined.select(*[F.col(_KEY)[c].alias(c) for c in on], *values)
 
 
+def _align_apart(
+    feeds: list[DataFrame], on: list[str], how: str, repeated: list[Row], hot_rows: int
+) -> DataFrame:
+    """Few repeated keys: those by joins, all others by the union. The listed keys are small and broadcast."""
+    kind = T.StructType([T.StructField(_KEY, feeds[0].select(F.struct(*on).alias(_KEY)).schema[_KEY].dataType)])
+    listed = feeds[0].sparkSession.createDataFrame(repeated, kind)
+    keyed = [f.withColumn(_KEY, F.struct(*on)) for f in feeds]
+    plain, multiple = (
+        [f.join(listed, _KEY, side).select(*original.columns) for f, original in zip(keyed, feeds, strict=True)]
+        for side in ("left_anti", "left_semi")
+    )
+    return _align_by_union(plain, on, how).unionByName(_align_by_join(multiple, on, how, hot_rows))
+
+
 def align_feeds(
     feeds: list[DataFrame] | dict[str, DataFrame],
     on: str | list[str] = KEY,
@@ -139,7 +161,8 @@ def align_feeds(
 
     ``strategy="union"`` needs unique keys per feed and costs one exchange; ``"join"`` multiplies
     repeated keys, hot ones (more than ``hot_rows`` rows in a feed) spread over many tasks; ``"auto"``
-    looks at the keys first (one job over the key columns) and picks.
+    looks at the keys first (one job over the key columns) and joins the repeated ones only, as long
+    as they are few.
     Missing keys match each other (``"match"``) or are left out (``"drop"``). The result has no
     order: sort where it is shown.
     """
@@ -149,7 +172,11 @@ def align_feeds(
     frames = [_present(f, keys, null_keys) for f in (feeds.values() if isinstance(feeds, dict) else feeds)]
     _check_columns(frames, keys)
     if strategy == "auto":
-        strategy = "union" if keys_are_unique(frames, keys) else "join"
+        repeated = _rows_per_key(frames, keys).filter("_n > 1").select(_KEY).distinct()
+        repeated = repeated.limit(MAX_LISTED_KEYS + 1).collect()
+        if repeated and len(repeated) <= MAX_LISTED_KEYS:
+            return _align_apart(frames, keys, how, repeated, hot_rows)
+        strategy = "join" if repeated else "union"
     if strategy == "union":
         return _align_by_union(frames, keys, how)
     if strategy == "join":

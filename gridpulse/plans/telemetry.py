@@ -28,8 +28,8 @@ def telemetry_frame(
     by = list(by or [])
     keys = [*by, KEY]
     clean = [clean_numbers(f) for f in feeds.values()]
-    if align == "auto":
-        align = "union" if keys_are_unique(clean, keys) else "join"
+    if align == "auto" and keys_are_unique(clean, keys):
+        align = "union"
     timed = with_time_parts(align_feeds(clean, keys, how, align))
     # With unique keys, a series has no more rows than the feeds have together.
     outline = reduce(DataFrame.unionAll, [f.select(*keys) for f in clean]) if align == "union" else None
