@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridpulse.schema import KEY
+from gridpulse.session import materialize
 
 _CHUNK, _OWNER, _TIME = "_chunk", "_owner", "_time"
 _LAST_TIME = (1 << 63) - 1
 MAX_CHUNKS = 4096
 LONG_SERIES = 1_000_000
 MAX_LISTED_SERIES = 10_000
+_FIT_A_DOUBLE = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)
 
 
 def _micros(column: str) -> Column:
@@ -115,18 +117,51 @@ def _fill_by_window(df, columns, time_column, by, tiebreak, forward, backward, c
     return df.withColumns({c: value(c) for c in columns})
 
 
-def _seeds(data, columns, time_column, tiebreak, owner, forward, backward, constant):
-    """One row per (owner, chunk): what its leading (forward) or trailing (backward only) gap takes."""
+def _edge_values(data: DataFrame, columns: list[str], time_column: str, tiebreak: list[str], owner: list[str]) -> DataFrame:
+    """Last and first value per (owner, chunk) of columns that fit a double, as ``_last_*``/``_first_*``.
+
+    Cells become rows: one aggregate over (chunk, column) runs in compact compiled code, where two
+    aggregates per column would not, and missing cells drop out before it. One more cell per row, always
+    present, keeps chunks without any value.
+    """
+    cells = F.array(*[F.col(c).cast("double") for c in columns], F.lit(0.0))
+    order = F.struct("_at", *tiebreak) if tiebreak else F.col("_at")
+    edges = (
+        data.select(*owner, _CHUNK, _micros(time_column).alias("_at"), *tiebreak, F.posexplode(cells).alias("_cell", "_value"))
+        .filter(F.col("_value").isNotNull())
+        .groupBy(*owner, _CHUNK, "_cell")
+        .agg(F.max_by("_value", order).alias("_last"), F.min_by("_value", order).alias("_first"))
+    )
+    entry = F.struct("_cell", F.struct("_last", "_first"))
+    table = edges.groupBy(*owner, _CHUNK).agg(F.map_from_entries(F.collect_list(entry)).alias("_edges"))
+    found = {
+        f"{side}_{c}": F.try_element_at("_edges", F.lit(i))[side].cast(data.schema[c].dataType)
+        for i, c in enumerate(columns)
+        for side in ("_last", "_first")
+    }
+    return table.select(*owner, _CHUNK, *[v.alias(n) for n, v in found.items()])
+
+
+def _other_edge_values(data: DataFrame, columns: list[str], time_column: str, tiebreak: list[str], owner: list[str]) -> DataFrame:
+    """The same for columns of any type, two aggregates each."""
     position = _micros(time_column)
     order = F.struct(position, *tiebreak) if tiebreak else position
+    sides = (("_last", F.max_by), ("_first", F.min_by))
+    return data.groupBy(*owner, _CHUNK).agg(*[
+        pick(c, F.when(F.col(c).isNotNull(), order)).alias(f"{side}_{c}") for c in columns for side, pick in sides
+    ])
 
-    def edge(function, c):
-        return function(c, F.when(F.col(c).isNotNull(), order))
 
-    summary = data.groupBy(*owner, _CHUNK).agg(
-        *([edge(F.max_by, c).alias(f"_last_{c}") for c in columns] if forward else []),
-        *([edge(F.min_by, c).alias(f"_first_{c}") for c in columns] if backward else []),
-    )
+def _seeds(data, columns, time_column, tiebreak, owner, forward, backward, constant):
+    """One row per (owner, chunk): what its leading (forward) or trailing (backward only) gap takes."""
+    compact = [c for c in columns if isinstance(data.schema[c].dataType, _FIT_A_DOUBLE)]
+    other = [c for c in columns if c not in compact]
+    tables = [
+        summarize(data, group, time_column, tiebreak, owner)
+        for summarize, group in ((_edge_values, compact), (_other_edge_values, other))
+        if group
+    ]
+    summary = reduce(lambda a, b: a.join(b, [*owner, _CHUNK]), tables)
     series = Window.partitionBy(*owner).orderBy(_CHUNK)
     earlier = series.rowsBetween(Window.unboundedPreceding, -1)
     # After a forward fill, only the series' own leading gap is left: it takes the first value of all.
@@ -151,7 +186,8 @@ def _fill_in_two_passes(df, columns, time_column, by, tiebreak, forward, backwar
     data = df.withColumn(_OWNER, F.struct(*by)) if by else df
     owner = [_OWNER] if by else []
     data = with_time_chunks(data, time_column, tiebreak, chunks)
-    seeds = _seeds(data, columns, time_column, tiebreak, owner, forward, backward, constant)
+    # Written first, so that the planner knows its size and broadcasts it where it is small.
+    seeds = materialize(_seeds(data, columns, time_column, tiebreak, owner, forward, backward, constant))
     joined = data.join(seeds, [_CHUNK, *owner], "inner")
     order = _row_order(time_column, tiebreak, reverse=not forward)
 
