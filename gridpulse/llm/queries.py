@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import suffixes
+from gridpulse.llm import bpe, suffixes
 from gridpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +52,20 @@ def op7_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", suffixes.n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op10_two_tier_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests."""
+    docs = table(spark, folder, "documents")
+    return token_digests(bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
