@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gridpulse.llm.common import Scratch
+from gridpulse.llm.common import Scratch, units_of_work
 from gridpulse.llm.components import components
 from gridpulse.llm.textbytes import SLICE, SOLID, cuts
 
@@ -185,7 +185,7 @@ def _unit_edges(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy() for k in range(3)]))
+            held.append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)]))
             if sum(x.shape[1] for x in held) >= UNIT_ROWS:
                 rows = np.concatenate(held, 1)
                 whole = int(np.searchsorted(rows[0], rows[0, -1]))  # the last unit may go on
@@ -213,22 +213,7 @@ def near_pairs(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, shar
     masks = [_signed(x | y) for x, y in combinations(parts(radius + 2), 2)]
     shards = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "bits"))
     shards = shards.select("fp", F.xxhash64("mask", "bits").alias("shard"))
-    counts = shards.groupBy("shard").count().filter("count > 1")
-    cut = F.ceil(F.col("count") / shard_rows).cast("int").alias("cut")
-    # A shard's rows are wanted together only once it is known to be small, or in numbered parts.
-    rows = scratch.table(shards.join(counts.select("shard", cut), "shard"))
-    small = rows.filter("cut = 1").select(F.col("shard").alias("unit"), F.lit(0).cast("bigint").alias("part"), "fp")
-    own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("cut")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("cut") - 1),
-        lambda other: F.struct(
-            F.xxhash64("shard", F.least("own", other), F.greatest("own", other)).alias("unit"),
-            F.when(other < F.col("own"), 1).otherwise(0).cast("bigint").alias("part"),
-        ),
-    )
-    large = rows.filter("cut > 1").select("shard", "cut", own.alias("own"), "fp")
-    large = large.select("fp", F.inline(meets)).select("unit", "part", "fp")
-    units = small.unionAll(large).repartition(F.col("unit")).sortWithinPartitions("unit")
+    units = units_of_work(scratch.table(shards), "shard", "fp", shard_rows).select("unit", "part", "fp")
     return units.mapInArrow(_unit_edges(radius), "a bigint, b bigint").distinct()
 
 

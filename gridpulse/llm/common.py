@@ -55,3 +55,27 @@ class Scratch:
         for df in frames:
             if path := self._paths.pop(id(df), None):
                 self._files().delete(self._path(path), True)
+
+
+def units_of_work(rows: DataFrame, shard: str, key: str, limit: int) -> DataFrame:
+    """The rows of every shard with two or more of them, dealt to units in which they are compared:
+    (``unit``, ``part``, and the columns of ``rows``).
+
+    A shard of up to ``limit`` rows is one unit, all in part 0. A larger one is cut at random, by the hash
+    of ``key``, into parts of about ``limit`` rows; each two of them make a unit as part 0 and part 1, and
+    each alone one more. So a unit has about twice ``limit`` rows at most, however large a shard is.
+    """
+    counts = rows.groupBy(shard).count().filter("count > 1")
+    cut = F.ceil(F.col("count") / limit).cast("int").alias("_cut")
+    dealt = rows.join(counts.select(shard, cut), shard)
+    own = F.pmod(F.xxhash64(key, F.lit("part")), F.col("_cut").cast("bigint")).cast("int")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("_cut") - 1),
+        lambda other: F.struct(
+            F.when(F.col("_cut") == 1, F.col(shard))
+            .otherwise(F.xxhash64(shard, F.least("_own", other), F.greatest("_own", other))).alias("unit"),
+            F.when(other < F.col("_own"), 1).otherwise(0).alias("part"),
+        ),
+    )
+    dealt = dealt.withColumn("_own", own).select(*rows.columns, F.inline(meets))
+    return dealt.repartition(F.col("unit")).sortWithinPartitions("unit")

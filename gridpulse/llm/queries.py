@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bktree, bpe, suffixes
+from gridpulse.llm import bktree, bpe, rpforest, suffixes
 from gridpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
+
+@query(OP2_SQL)
+def op2_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    return rpforest.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query()
 def op6_bk_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
