@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,30 @@ def units_of_work(rows: DataFrame, shard: str, key: str, limit: int) -> DataFram
     )
     dealt = dealt.withColumn("_own", own).select(*rows.columns, F.inline(meets))
     return dealt.repartition(F.col("unit")).sortWithinPartitions("unit")
+
+
+def fit_in_one_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """``fit`` of all rows of a sample of bounded size, run by one task; only the model comes back."""
+    schema = sample.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = pa.Table.from_batches(held) if held else pa.table({f.name: [] for f in schema})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    # Unlike coalesce, this leaves the work before it in many tasks; and a task runs even without rows.
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first().model)
+
+
+def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, size: int, id_column: str = "doc_id") -> DataFrame:
+    """(id, label) of up to ``size`` labelled ids of each class that are not held out, those with the
+    smallest hash; ids whose labels differ are left out."""
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull() & ~is_held_out(folds, held_out, id_column))
+    agreed = usable.groupBy(id_column).agg(F.min(label).alias("y"), F.max(label).alias("other")).filter("y = other")
+    ids = [agreed.filter(F.col("y") == y).orderBy(F.xxhash64(id_column), id_column).limit(size) for y in (0, 1)]
+    return ids[0].unionAll(ids[1]).select(F.col(id_column), F.col("y").cast("int").alias("y"))
+
+
+def is_held_out(folds: int, remainder: int, id_column: str = "doc_id") -> Column:
+    """Whether crc32 of the id, as text, leaves this remainder; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds == remainder

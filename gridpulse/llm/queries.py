@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bktree, bpe, chat, rpforest, shards, suffixes
-from gridpulse.llm.common import table
+from gridpulse.llm import bktree, bpe, chat, linededup, quality, rpforest, secrets, shards, suffixes
+from gridpulse.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +76,46 @@ def op2_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
     return rpforest.near_duplicates(table(spark, folder, "embeddings"))
 
 
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?][ \t]|$)'), lambda x: x <> '') AS parts FROM documents),
+b AS (SELECT doc_id, parts, list_transform(parts, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(10))) AS bare FROM l),
+e AS (SELECT doc_id, len(bare) AS n, bare, unnest(range(0, len(bare))) AS i FROM b),
+grams AS (SELECT doc_id, i, 3 AS k, array_to_string(list_slice(bare, i + 1, i + 3), chr(31)) AS g FROM e WHERE i + 3 <= n
+  UNION ALL SELECT doc_id, i, 1, bare[i + 1] FROM e WHERE len(string_split(bare[i + 1], ' ')) >= 25),
+later AS (SELECT doc_id, i, k FROM (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY doc_id, i) AS r FROM grams) WHERE r > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM later),
+islands AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM covered),
+counted AS (SELECT doc_id, i, island, CASE WHEN bare[i + 1] = '' THEN 0 ELSE len(string_split(bare[i + 1], ' ')) END AS words FROM islands JOIN b USING (doc_id)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, sum(words) OVER (PARTITION BY doc_id, island) AS words FROM counted) WHERE words >= 25),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY i) AS text, count(*) AS n FROM
+  (SELECT doc_id, unnest(range(0, len(parts))) AS i, unnest(parts) AS part FROM l) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(len(parts) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS text_sha256
+FROM l LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(OP4_SQL)
+def op4_winnowed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the runs of lines that an earlier place has."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    left = linededup.delete_repeated_runs(docs, counts=True)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def predicted(scored: DataFrame, folds: int, remainder: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", is_held_out(folds, remainder).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query()
+def op5_subword_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return predicted(quality.score(docs, model), quality.FOLDS, quality.HELD_OUT, quality.THRESHOLD)
+
+
 @query()
 def op6_bk_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
@@ -111,6 +151,42 @@ def op7_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+
+def _op8_sql() -> str:
+    kinds = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS kind, '{x.role}' AS role, {x.strong} AS strong, string_split_regex(text, $r${x.pattern}$r$) AS gaps,
+        regexp_extract_all(text, $r${x.pattern}$r$) AS found, regexp_extract_all(text, $r${x.pattern}$r$, {x.group}) AS value, {x.at_least} AS least, '{x.holds}' AS holds FROM d"""
+        for k, x in enumerate(secrets.KINDS)
+    )
+    names = "['" + "', '".join(x.name for x in secrets.KINDS) + "']"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, kind, role, strong, least, holds, unnest(range(1, len(found) + 1)) AS k, gaps, found, value FROM ({kinds})),
+s AS (SELECT doc_id, kind, role, strong, length(found[k]) AS size, length(value[k]) >= least AND regexp_matches(value[k], holds) AS counts,
+      sum(length(gaps[k]) + length(found[k])) OVER (PARTITION BY doc_id, kind ORDER BY k) AS stop FROM m),
+parts AS (SELECT doc_id, kind, role, strong, stop - size AS start, stop FROM s WHERE counts),
+free AS (SELECT * FROM parts a WHERE strong OR NOT EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = a.doc_id AND b.strong AND b.start < a.stop AND b.stop > a.start)),
+told AS (SELECT * FROM free a WHERE strong OR EXISTS (SELECT 1 FROM free b WHERE b.doc_id = a.doc_id AND b.start <= a.stop + 200 AND b.stop >= a.start - 200
+      AND ((a.role = 'secret' AND b.role <> 'secret') OR (a.role <> 'secret' AND b.role = 'secret')))),
+texts AS (SELECT *, {names}[kind + 1] || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS t FROM told),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+      string_agg(t, ',' ORDER BY start, kind) FILTER (strong) AS base, string_agg(t, ',' ORDER BY start, kind) AS spans FROM texts GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query(_op8_sql())
+def op8_linked_credentials(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, the weak ones where their parts co-occur."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    count = lambda k: F.size(F.filter("parts", lambda x: x["kind"] == k)).cast("bigint")
+    base = F.filter("parts", lambda x: x["kind"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("parts")).alias("spans"),
+    )
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
