@@ -1,7 +1,8 @@
 """Quality classifier by supervised subword embeddings (5).
 
-A document's features are its words, as written, and the 3- to 5-grams of its UTF-8 bytes that do not
-reach across a blank, each hashed to one of ``BUCKETS`` learned vectors. Their average goes through a
+A document's features are its words, as written, the 3- to 5-grams of its UTF-8 bytes that do not reach
+across a blank, each hashed to one of ``BUCKETS`` learned vectors, and one for a word that repeats the
+word before. Their average goes through a
 softmax over the two classes. Vectors and weights are trained by numpy stochastic gradient descent, one
 document a step, on at most ``fit_docs`` labelled documents of each class (those with the smallest hash
 of their id, whole texts), in one task.
@@ -29,7 +30,8 @@ from gridpulse.llm.textbytes import SLICE, SOLID, cuts, groups, hash_words, text
 
 BITS = 15
 BUCKETS, DIM, GRAMS = 1 << BITS, 16, (3, 4, 5)
-FIT_DOCS, EPOCHS, RATE = 1500, 12, 4.0
+END, AGAIN = 0, 1  # buckets of a document's end and of a word that repeats the one before
+FIT_DOCS, EPOCHS, RATE = 1500, 8, 2.0
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -69,7 +71,12 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             breaks = np.zeros(0, np.int64) if alone else offsets[i + 1 : j] - a
             own = data[a + s : a + e]
             start, word = hash_words(own, breaks, SOLID)
-            buckets, places = [(word >> np.uint64(64 - BITS)).astype(np.int32)], [start]
+            again = np.flatnonzero(word[1:] == word[:-1]) + 1
+            if len(breaks):  # not across documents
+                text = np.searchsorted(breaks, start, "right")
+                again = again[text[again] == text[again - 1]]
+            buckets = [(word >> np.uint64(64 - BITS)).astype(np.int32), np.full(len(again), AGAIN, np.int32)]
+            places = [start, start[again]]
             for bucket, valid in _grams(data[a + s : min(b, a + e + max(GRAMS) - 1)], e - s, breaks):
                 at = np.flatnonzero(valid)
                 buckets.append(bucket[at])
@@ -102,14 +109,13 @@ def train(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, se
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label, distinct buckets and their counts of each sampled document; bucket 0 has its end."""
+    """Label, distinct buckets and their counts of each sampled document."""
     for batch in batches:
-        total = np.zeros((batch.num_rows, BUCKETS), np.int32) if batch.num_rows <= 64 else None
         rows_at, rows_n = [], []
         for k in range(0, batch.num_rows, 64):
             part = batch.column(1)[k : k + 64]
             total = np.zeros((len(part), BUCKETS), np.int32)
-            total[:, 0] = 1
+            total[:, END] = 1
             for i, _, bucket, text in features(part):
                 np.add.at(total, (i + text, bucket), 1)
             for row in total:
@@ -144,7 +150,7 @@ def score(docs: DataFrame, model: np.ndarray, text_column: str = "text", name: s
 
     def run(texts: pa.Array) -> pa.Array:
         table = shared.value.astype(np.float64)
-        n, total = np.ones(len(texts), np.int64), np.full(len(texts), table[0])
+        n, total = np.ones(len(texts), np.int64), np.full(len(texts), table[END])
         for i, j, bucket, text in features(texts):
             n[i:j] += np.bincount(text, minlength=j - i)
             total[i:j] += np.bincount(text, table[bucket], minlength=j - i)
