@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bktree, bpe, chat, linededup, quality, rpforest, secrets, shards, suffixes
+from gridpulse.llm import bktree, bpe, chat, linededup, quality, rpforest, secrets, shards, suffixes, toxicity
 from gridpulse.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,13 @@ def op8_linked_credentials(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("parts")).alias("spans"),
     )
 
+@query()
+def op9_nearest_toxic(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, table(spark, folder, "labels"))
+    return predicted(toxicity.score(docs, index), toxicity.FOLDS, toxicity.HELD_OUT, toxicity.THRESHOLD)
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
