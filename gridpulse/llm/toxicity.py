@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gridpulse.llm.common import fit_in_one_task, is_held_out, labelled_sample
 from gridpulse.llm.textbytes import column_words
 
-EXAMPLES, TERMS, MIN_DOCS = 2000, 2000, 8
+EXAMPLES, TERMS, MIN_DOCS = 2000, 200, 8
 BLOCK, NEIGHBOURS, PULL = 64, 15, 0.5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
