@@ -3,7 +3,7 @@
 A pre-token that is itself in the vocabulary is resolved by a minimal perfect hash: one displacement
 and one slot, then one comparison. The others are merged pair by pair, lowest rank and then leftmost
 first, from a heap over a linked list of their bytes, so a pre-token of n bytes takes n log n steps.
-Each Python worker keeps up to ``KEPT`` results, whatever the input size. Texts are encoded where they
+Each task keeps up to ``KEPT`` results, whatever the input size. Texts are encoded where they
 are read; nothing is shuffled.
 
 The vocabulary (a rank file: base64 of the bytes, blank, id) is read by the driver and broadcast; its
@@ -17,8 +17,9 @@ vocabulary lacks makes ``decode`` fail.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-KEPT = 250_000
+KEPT = 400_000
 BLOCK = 100_000  # pre-tokens of a long text that are held at a time
 LONG = 1 << 20
 MASK = (1 << 64) - 1
@@ -105,30 +106,37 @@ class Merger:
                     self.pairs[left << 32 | right] = rank
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Place i of the list holds an id, -1 once it was merged into the place before. A heap entry is
-        rank and place in one integer; it is stale if its pair is no longer there."""
+        """Place i of the list holds an id, -1 once it was merged into the place before, and the rank of its
+        pair with the next place. A heap entry is rank and place in one integer; it is stale if the place
+        has another rank by now."""
         single, get = self.single, self.pairs.get
         ids = [single[b] for b in piece]
         n = len(ids)
-        heap = [r << 32 | i for i, r in enumerate([get(x << 32 | y) for x, y in zip(ids, ids[1:])]) if r is not None]
+        ranks = [get(x << 32 | y) for x, y in zip(ids, ids[1:])]
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r is not None]
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n))
         while heap:
             entry = heappop(heap)
-            i = entry & 0xFFFFFFFF
-            j, left = after[i], ids[i]
-            if j >= n or left < 0:
+            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            if ranks[i] != rank:
                 continue
-            rank = entry >> 32
-            if get(left << 32 | ids[j]) != rank:
-                continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
             after[i] = k = after[j]
-            before[k] = i
-            if k < n and (r := get(rank << 32 | ids[k])) is not None:
-                heappush(heap, r << 32 | i)
-            if (p := before[i]) >= 0 and (r := get(ids[p] << 32 | rank)) is not None:
-                heappush(heap, r << 32 | p)
+            ids[i], ids[j] = rank, -1
+            if k < n:
+                before[k] = i
+                ranks[j] = None
+                ranks[i] = r = get(rank << 32 | ids[k])
+                if r is not None:
+                    heappush(heap, r << 32 | i)
+            else:
+                ranks[i] = None
+            p = before[i]
+            if p >= 0:
+                ranks[p] = r = get(ids[p] << 32 | rank)
+                if r is not None:
+                    heappush(heap, r << 32 | p)
         return tuple([x for x in ids if x >= 0])
 
 
@@ -160,9 +168,14 @@ class Encoder(dict):
         return b"".join(parts)
 
 
-@lru_cache(maxsize=1)
-def _encoder(vocabulary: Vocabulary) -> Encoder:
-    return Encoder(vocabulary)
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """The tuples and lists made here hold no cycles; searching them again and again takes a quarter of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def _with_type(df: DataFrame, id_column: str, *more: str) -> StructType:
@@ -173,41 +186,52 @@ def _vocabulary(df: DataFrame, ranks_path: str, pattern: str):
     return df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(ranks_path), pattern))
 
 
-def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", vocabulary=None
-) -> DataFrame:
-    """Per row its id and ``token_ids`` (packed). ``vocabulary``: a broadcast one, instead of the file."""
-    shared = vocabulary or _vocabulary(docs, ranks_path, pattern)
+def _packed(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    with no_cycle_search():
+        return pa.array([encoder.packed(t.as_py() or "") for t in texts], pa.binary())
+
+
+def _unpacked(tokens: dict[int, bytes], packed: pa.Array) -> pa.Array:
+    get = tokens.__getitem__
+    return pa.array([b"".join(map(get, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in packed], pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row its id and ``token_ids`` (packed)."""
+    shared = _vocabulary(docs, ranks_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = Encoder(shared.value)
         for batch in batches:
-            packed = [encoder.packed(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], [id_column, "token_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(encoder, batch.column(1))], [id_column, "token_ids"])
 
-    columns = docs.select(F.col(id_column).alias(id_column), F.col(text_column))
-    return columns.mapInArrow(run, _with_type(docs, id_column, "token_ids"))
+    return docs.select(id_column, text_column).mapInArrow(run, _with_type(docs, id_column, "token_ids"))
 
 
-def decode(tokens: DataFrame, ranks_path: str, pattern: str = "", id_column: str = "doc_id", vocabulary=None) -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, id_column: str = "doc_id") -> DataFrame:
     """Per row its id, ``token_ids`` and ``decoded``, the bytes that the ids stand for."""
-    shared = vocabulary or _vocabulary(tokens, ranks_path, pattern)
+    shared = tokens.sparkSession.sparkContext.broadcast({i: t for t, i in read_ranks(ranks_path).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.tokens.__getitem__
         for batch in batches:
-            text = [b"".join(map(get, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(text, pa.binary())], [id_column, "token_ids", "decoded"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, _unpacked(shared.value, batch.column(1))], [id_column, "token_ids", "decoded"])
 
     return tokens.select(id_column, "token_ids").mapInArrow(run, _with_type(tokens, id_column, "token_ids", "decoded"))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``encode``, then ``decode`` of its ids, with one broadcast vocabulary."""
+    """What ``decode`` of ``encode`` gives, with both in one pass over a batch, so that ids cross over to
+    Python and back only once and a task needs one worker."""
     shared = _vocabulary(docs, ranks_path, pattern)
-    return decode(encode(docs, ranks_path, pattern, id_column, text_column, shared), ranks_path, pattern, id_column, shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in batches:
+            packed = _packed(encoder, batch.column(1))
+            back = _unpacked(shared.value.tokens, packed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, back], [id_column, "token_ids", "decoded"])
+
+    return docs.select(id_column, text_column).mapInArrow(run, _with_type(docs, id_column, "token_ids", "decoded"))
 
 
 def n_tokens(column: str = "token_ids") -> Column:
