@@ -321,7 +321,7 @@ def test_secrets(spark):
     ]
     got = [(r.doc_id, r.spans) for r in secrets.scan(docs(spark, rows)).select("doc_id", secrets.written(F.col("parts")).alias("spans")).collect()]
     want = [
-        (1, "assign:2:29,access:31:47,hex:48:80"), (2, ""), (3, ""), (4, ""), (5, "blob:0:22,ident:23:32"), (6, ""), (7, ""), (8, "endpoint:0:13,blob:14:36"),
+        (1, "assign:2:28,access:30:46,hex:47:79"), (2, ""), (3, ""), (4, ""), (5, "blob:0:22,ident:23:32"), (6, ""), (7, ""), (8, "endpoint:0:13,blob:14:36"),
         (9, ""), (10, ""), (None, "access:0:16"), (1, "access:0:16"), (1, "access:0:16"), (11, "assign:48:64"),
     ]
     same(got, want)
