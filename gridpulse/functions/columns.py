@@ -44,8 +44,9 @@ def difference(left: str, right: str) -> Column:
 
 
 def above(column: str, limit: float) -> Column:
-    """false, not null, where the value is missing."""
-    return F.coalesce(F.col(column) > F.lit(float(limit)), F.lit(False))
+    """false, not null, where the value is missing or NaN, which Spark orders above every number."""
+    value = F.col(column).cast("double")
+    return F.coalesce((value > F.lit(float(limit))) & ~F.isnan(value), F.lit(False))
 
 
 def below(column: str, limit: float) -> Column:

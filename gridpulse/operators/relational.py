@@ -46,6 +46,19 @@ def _accept_in_order(batch: DataFrame, unique: list[str], order: list[str]) -> D
     return batch.limit(0) if accepted is None else accepted
 
 
+def _with_reason(rejected: DataFrame, accepted: DataFrame, target: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
+    """Names the first unique column whose value the target, or a row accepted earlier, has already."""
+    reason, marked = None, rejected
+    for k, c in enumerate(unique):
+        known = target.filter(F.col(c).isNotNull()).select(c).distinct().withColumn(f"_known{k}", F.lit(True))
+        earlier = accepted.filter(F.col(c).isNotNull()).select(c, F.struct(*order).alias(f"_earlier{k}"))
+        marked = marked.join(known, c, "left").join(earlier, c, "left")
+        taken = F.coalesce(F.col(f"_known{k}"), F.lit(False)) | F.coalesce(F.col(f"_earlier{k}") < F.struct(*order), F.lit(False))
+        text = F.lit(f"{c.capitalize()} already registered")
+        reason = F.when(taken, text) if reason is None else reason.when(taken, text)
+    return marked.select(*rejected.columns, reason.alias("reason"))
+
+
 def insert_unique(
     batch: DataFrame, target: DataFrame, unique: list[str], order: list[str], id_column: str = "id"
 ) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +77,7 @@ def insert_unique(
     numbered = row_index(accepted, order, name="_index")
     inserted = numbered.select((F.col("_index") + F.lit(highest + 1)).alias(id_column), *batch.columns)
     rejected = batch.join(accepted.select(*order), order, "left_anti")
-    reason = F.lit(f"{unique[0].capitalize()} already registered")
-    return inserted, rejected.select(*batch.columns, reason.alias("reason"))
+    return inserted, _with_reason(rejected.select(*batch.columns), accepted, target, unique, order)
 
 
 def insert_children(

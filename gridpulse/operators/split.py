@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 HASH_BITS = 31
 HASH_RANGE = 1 << HASH_BITS
 BIN_BITS = 16  # low bits of the hash: at most 2^15 bins first, 2^16 values inside one of them then
-MAX_LISTED_CLASSES = 1000
 _CLASS, _HASH, _BIN, _CUT = "_class", "_hash", "_bin", "_cut"
 
 
@@ -30,13 +29,6 @@ def _crossing(counts: DataFrame, step: str, wanted: Column) -> DataFrame:
     return hit.select(_CLASS, step, (F.col("_wanted") - before).alias("_rest"))
 
 
-def _per_class(column: Column, listed: list, value: str) -> Column:
-    out = F.lit(-1)
-    for row in listed:
-        out = F.when(column.eqNullSafe(F.lit(row[_CLASS])), F.lit(row[value])).otherwise(out)
-    return out
-
-
 def with_test_flag(
     df: DataFrame,
     key: list[str] | None = None,
@@ -58,23 +50,15 @@ def with_test_flag(
     bins = hashed.groupBy(_CLASS, F.shiftright(_HASH, BIN_BITS).alias(_BIN)).agg(F.count("*").alias("_n"))
     rank = F.ceil(F.col("_total") * F.lit(float(test_share)))
     found = _crossing(bins, _BIN, rank)
-    listed = found.limit(MAX_LISTED_CLASSES + 1).collect()
-    few = len(listed) <= MAX_LISTED_CLASSES
-    if few:
-        spark = df.sparkSession
-        found = spark.createDataFrame(listed, found.schema)
-        inside = hashed.filter(F.shiftright(_HASH, BIN_BITS) == _per_class(F.col(_CLASS), listed, _BIN))
-    else:
-        bounds = found.select(F.col(_CLASS).alias("_c"), _BIN)
-        inside = hashed.join(
-            bounds, F.col(_CLASS).eqNullSafe(F.col("_c")) & (F.shiftright(_HASH, BIN_BITS) == F.col(_BIN)), "left_semi"
-        )
+    bounds = found.select(F.col(_CLASS).alias("_c"), _BIN)
+    inside = hashed.join(
+        bounds, F.col(_CLASS).eqNullSafe(F.col("_c")) & (F.shiftright(_HASH, BIN_BITS) == F.col(_BIN)), "left_semi"
+    )
     values = inside.groupBy(_CLASS, _HASH).agg(F.count("*").alias("_n"))
     ranked = values.join(found.select(F.col(_CLASS).alias("_c"), "_rest"), F.col(_CLASS).eqNullSafe(F.col("_c")))
     cuts = _crossing(ranked.select(_CLASS, _HASH, "_n", "_rest"), _HASH, F.col("_rest"))
     cuts = cuts.select(_CLASS, F.col(_HASH).alias(_CUT))
-    if few:
-        return df.withColumn(name, h <= _per_class(group, cuts.collect(), _CUT))
+    # One row a class: Spark broadcasts it where it is small, and joins it by class where it is not.
     joined = df.join(cuts, group.eqNullSafe(F.col(_CLASS)), "left")
     return joined.select(*df.columns, F.coalesce(h <= F.col(_CUT), F.lit(False)).alias(name))
 

@@ -838,6 +838,19 @@ def _(spark, folder):
     return _with_side(frame, lambda d: split.with_test_flag(d, key=DIMS, label=RISK))
 
 
+@query(
+    "m1_stratified_split_many",
+    "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) " + _SIDES.format(by="l_partkey,"),
+)
+def _(spark, folder):
+    # Lines repeat in all their columns, so each gets a number; it is written before it is hashed.
+    numbered = S.table(spark, folder, "lineitem").select("l_partkey", F.monotonically_increasing_id().alias("row"))
+    flagged = split.with_test_flag(materialize(numbered), key=["row"], label="l_partkey")
+    sides = flagged.groupBy("l_partkey").agg(F.count_if("is_test").alias("t"), F.count_if(~F.col("is_test")).alias("f"))
+    pairs = F.array(*[F.struct(F.lit(side).alias("is_test"), F.col(c).alias("n")) for side, c in ((True, "t"), (False, "f"))])
+    return sides.select("l_partkey", F.inline(pairs))
+
+
 @query("m2_random_split", "WITH c AS (SELECT count(*) AS n FROM events) " + _SIDES.format(by=""))
 def _(spark, folder):
     return _with_side(S.events(spark, folder), lambda d: split.with_test_flag(d, key=["event_id"]))

@@ -69,11 +69,11 @@ def read_readings(
     ``lowerBound``, ``upperBound`` and ``numPartitions`` among the JDBC options to read in parallel;
     credentials come from those options only."""
     if path:
-        return spark.read.parquet(path)
+        return clean_numbers(spark.read.parquet(path))
     if table:
-        return spark.read.table(table)
+        return clean_numbers(spark.read.table(table))
     if jdbc:
-        return spark.read.format("jdbc").options(**jdbc).load()
+        return clean_numbers(spark.read.format("jdbc").options(**jdbc).load())
     raise ValueError("give path, table or jdbc options")
 
 
@@ -86,4 +86,5 @@ def read_json_readings(spark: SparkSession, path: str, schema: T.StructType | No
 def parse_json_readings(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
     """S4 for payloads that arrive as text in a column (a message queue, say)."""
     kept = [c for c in df.columns if c != column]
-    return df.select(*kept, F.from_json(column, schema).alias("_reading")).select(*kept, "_reading.*")
+    parsed = df.select(*kept, F.from_json(column, schema).alias("_reading")).select(*kept, "_reading.*")
+    return clean_numbers(parsed, skip=kept)

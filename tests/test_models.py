@@ -38,12 +38,11 @@ def test_split_is_exact_complete_and_repeatable(frame):
     assert {r.id for r in split.random_split(frame, key=["id"], seed=7)[1].collect()} != {r.id for r in test.collect()}
 
 
-def test_split_with_many_classes(spark, frame, monkeypatch):
-    monkeypatch.setattr(split, "MAX_LISTED_CLASSES", 2)
-    few = split.with_test_flag(frame, key=["id"], label=RISK)
-    monkeypatch.undo()
-    many = split.with_test_flag(frame, key=["id"], label=RISK)
-    assert {tuple(r) for r in few.select("id", "is_test").collect()} == {tuple(r) for r in many.select("id", "is_test").collect()}
+def test_split_with_many_classes(spark):
+    many = spark.range(12_000).selectExpr("id", "CAST(id % 3000 AS INT) AS kind")
+    flagged = split.with_test_flag(many, key=["id"], label="kind", test_share=0.25)
+    counts = flagged.groupBy("kind").agg(F.count_if("is_test").alias("t")).groupBy("t").count().collect()
+    assert [tuple(r) for r in counts] == [(1, 3000)]
 
 
 @pytest.fixture(scope="module")

@@ -4,9 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridpulse.functions import columns
 from gridpulse.functions.frames import lower_columns, with_constant
 from gridpulse.operators import readings
-from gridpulse.schema import DEVICE, KEY, READING_TIME
+from gridpulse.schema import DEVICE, KEY, READING_TIME, RiskRules
 from gridpulse.sources import readers, writers
 
 START = dt.datetime(2024, 1, 1)
@@ -131,3 +132,13 @@ def test_csv_headers_must_agree(spark, tmp_path):
     (tmp_path / "b.csv").write_text(f"OTI,{KEY}\n2,2020-01-02 00:00:00\n")
     with pytest.raises(Exception, match="header|Header"):
         readers.read_feed(spark, str(tmp_path)).collect()
+
+
+def test_sources_turn_nan_into_null(spark, tmp_path):
+    rows = spark.sql("SELECT double('NaN') AS OTI, double('NaN') AS WTI, 30D AS OLI, 0D AS MOG_A, 0D AS OTI_A, 0D AS OTI_T")
+    rows.write.parquet(str(tmp_path / "stored"))
+    stored = readers.read_readings(spark, path=str(tmp_path / "stored"))
+    sent = readers.parse_json_readings(spark.sql("""SELECT 1 AS n, '{"OTI": "NaN", "OLI": 30}' AS body"""), "body", "OTI double, OLI double")
+    assert stored.first().OTI is None and sent.first().OTI is None and sent.first().OLI == 30
+    risk = rows.select(columns.warning_condition(RiskRules()).alias("w"))  # even where nothing cleaned the rows
+    assert not risk.first().w

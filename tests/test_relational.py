@@ -9,13 +9,16 @@ from gridpulse.operators import relational
 def by_hand(batch, known, columns):
     """Insert one row after the other."""
     used = {c: {r[c] for r in known} for c in columns}
-    accepted = []
+    accepted, reasons = [], {}
     for row in sorted(batch, key=lambda r: r["n"]):
-        if all(row[c] is None or row[c] not in used[c] for c in columns):
-            accepted.append(row["n"])
-            for c in columns:
-                used[c].add(row[c])
-    return accepted
+        taken = [c for c in columns if row[c] is not None and row[c] in used[c]]
+        if taken:
+            reasons[row["n"]] = f"{taken[0].capitalize()} already registered"
+            continue
+        accepted.append(row["n"])
+        for c in columns:
+            used[c].add(row[c])
+    return accepted, reasons
 
 
 @pytest.mark.parametrize("columns", [["email"], ["email", "username"]])
@@ -31,11 +34,11 @@ def test_bulk_insert_equals_row_by_row(spark, columns, seed):
     rows = spark.createDataFrame([tuple(r.values()) for r in batch], "n int, email string, username string")
     inserted, rejected = relational.insert_unique(rows, target, columns, ["n"])
     got = inserted.orderBy("id").collect()
-    want = by_hand(batch, known, columns)
+    want, reasons = by_hand(batch, known, columns)
     assert [r.n for r in got] == want
     assert [r.id for r in got] == list(range(43, 43 + len(want)))
     assert sorted(r.n for r in rejected.collect()) == sorted(set(range(60)) - set(want))
-    assert {r.reason for r in rejected.collect()} == {"Email already registered"}
+    assert {r.n: r.reason for r in rejected.collect()} == reasons
 
 
 def test_insert_into_an_empty_table(spark):
