@@ -111,7 +111,8 @@ def _fill_by_window(df, columns, time_column, by, tiebreak, forward, backward, c
         steps = [F.col(c), _so_far(c, by, order)]
         # After a forward fill only the leading gap is left: it takes the first value of the series.
         steps += [F.first(c, ignorenulls=True).over(whole)] if forward and backward else []
-        steps += [F.lit(constant)] if constant is not None else []
+        # The constant takes the column's type, not the other way round.
+        steps += [F.lit(constant).cast(df.schema[c].dataType)] if constant is not None else []
         return F.coalesce(*steps)
 
     return df.withColumns({c: value(c) for c in columns})
@@ -174,7 +175,7 @@ def _seeds(data, columns, time_column, tiebreak, owner, forward, backward, const
     def seed(c: str) -> Column:
         steps = [F.last(f"_last_{c}", ignorenulls=True).over(earlier)] if forward else []
         steps += [F.first(f"_first_{c}", ignorenulls=True).over(later)] if backward else []
-        steps += [F.lit(constant)] if constant is not None else []
+        steps += [F.lit(constant).cast(data.schema[c].dataType)] if constant is not None else []
         return F.coalesce(*steps).alias(f"_seed_{c}")
 
     return summary.select(*owner, _CHUNK, *[seed(c) for c in columns])

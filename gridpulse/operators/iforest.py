@@ -19,7 +19,6 @@ from gridpulse.schema import ANOMALY_FEATURES, CONTAMINATION
 from gridpulse.session import materialize
 
 SAMPLE = 256
-POOL_PER_TREE = 20 * SAMPLE  # rows kept as candidates per tree
 SPARE = 1.6  # drawn per tree in terms of the sample, then cut to size
 CUT_ACCURACY = 100_000
 FOREST_SCHEMA = "tree int, sample int, feature array<int>, threshold array<double>, depth array<double>"
@@ -61,36 +60,40 @@ def grow(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.n
     return feature, threshold, depth
 
 
-def draw_samples(df: DataFrame, features: list[str], n_trees: int, seed: int) -> DataFrame:
+def draw_samples(df: DataFrame, features: list[str], n_trees: int, seed: int, key: list[str] | None = None) -> DataFrame:
     """(tree, order, values): at least ``SAMPLE`` random rows per tree where the frame has as many.
 
-    A random number per row, not a hash of it, so that copies of one row are drawn like any others.
-    A first filter keeps a pool large enough for all trees; only pool rows are tried for every tree.
+    Each row draws a ticket per tree from the hash of its ``key``, which should tell rows apart: the same
+    rows then give the same samples however they are partitioned. Without a key it draws from a random
+    number per row, so that copies of one row are drawn like any others. Only tickets that win become rows.
     """
-    total = df.count()
-    pool_share = min(1.0, n_trees * POOL_PER_TREE / max(total, 1))
-    per_tree = min(1.0, SPARE * SAMPLE / max(total * pool_share, 1.0))
+    share = min(1.0, SPARE * SAMPLE / max(df.count(), 1))
     values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("values")
-    pool = df.select(values, F.rand(seed).alias("_draw")).filter(F.col("_draw") < pool_share)
-    ticket = F.pmod(F.xxhash64("_draw", "tree"), F.lit(HASH_RANGE))
-    offered = pool.select("values", "_draw", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    return offered.select("tree", ticket.alias("order"), "values").filter(F.col("order") < per_tree * HASH_RANGE)
+    rows = df.select(values, (F.xxhash64(*key, F.lit(seed)) if key else F.rand(seed)).alias("_draw"))
+    tickets = F.transform(
+        F.sequence(F.lit(0), F.lit(n_trees - 1)),
+        lambda tree: F.struct(tree.alias("tree"), F.pmod(F.xxhash64("_draw", tree), F.lit(HASH_RANGE)).alias("order")),
+    )
+    return rows.select("values", F.inline(F.filter(tickets, lambda t: t["order"] < share * HASH_RANGE)))
 
 
 def fit(
-    df: DataFrame, features: list[str] = ANOMALY_FEATURES, n_trees: int = 150, seed: int = 42
+    df: DataFrame, features: list[str] = ANOMALY_FEATURES, n_trees: int = 150, seed: int = 42, key: list[str] | None = None
 ) -> DataFrame:
-    """The forest, one row per tree. It is written once, so every use sees the same trees."""
+    """The forest, one row per tree. It is written once, so every use sees the same trees; with a
+    ``key`` (see ``draw_samples``) every fit on the same rows gives them."""
 
     def grow_tree(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        chosen = group.nsmallest(SAMPLE, "order")
+        # Rows arrive in any order: equal tickets are told apart by their values.
+        group["values"] = group["values"].map(tuple)
+        chosen = group.sort_values(["order", "values"]).head(SAMPLE)
         points = np.nan_to_num(np.array(chosen["values"].tolist(), dtype=float))
         feature, threshold, depth = grow(points, np.random.default_rng([seed, int(key[0])]))
         return pd.DataFrame({
             "tree": [key[0]], "sample": [len(points)], "feature": [feature], "threshold": [threshold], "depth": [depth],
         })
 
-    samples = draw_samples(df, features, n_trees, seed)
+    samples = draw_samples(df, features, n_trees, seed, key)
     return materialize(samples.groupBy("tree").applyInPandas(grow_tree, FOREST_SCHEMA))
 
 

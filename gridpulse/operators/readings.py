@@ -132,35 +132,18 @@ def import_tally(batch: DataFrame, target: DataFrame, keys: list[str], order: li
     )
 
 
-def _has_hot_value(df: DataFrame, columns: list[str], hot_rows: int) -> bool:
-    """Whether some combination of values occurs more than ``hot_rows`` times. A sketch of bounded size
-    names the candidates (all that hold 0.1 % of the rows or more); only those are counted."""
-    hashed = df.select(F.xxhash64(*columns).alias("h"))
-    candidates = hashed.freqItems(["h"], 0.001).first()[0]
-    counted = hashed.filter(F.col("h").isin(candidates)).groupBy("h").count()
-    return not counted.filter(F.col("count") > hot_rows).isEmpty()
-
-
-def row_index(
-    df: DataFrame,
-    order: list[str],
-    by: list[str] | None = None,
-    name: str = "row_index",
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
+def row_index(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "row_index") -> DataFrame:
     """Dense 0-based position in ``order`` (per device with ``by``), without a window.
 
     The rows are range-sorted once and written; each then knows its partition and its place there,
     and adds the rows of its device in earlier partitions. That table has one row per partition and
     device met there. No task sees more than its range, however large one device is. A range cannot
-    split equal rows, so where one ordering value repeats more than ``hot_rows`` times the rows get a
-    number first; they are written for that, as the number depends on the row order.
+    split equal rows, so rows get a number first, the last thing they are sorted by; they are written for
+    that, as the number depends on the row order.
     """
     by, columns = list(by or []), list(order)
-    source, last = df, []
-    if _has_hot_value(df, [*by, *columns], hot_rows):
-        source, last = materialize(df).withColumn("_copy", F.monotonically_increasing_id()), ["_copy"]
-    ordered = source.orderBy(*by, *columns, *last).drop(*last)
+    source = materialize(df).withColumn("_copy", F.monotonically_increasing_id())
+    ordered = source.orderBy(*by, *columns, "_copy").drop("_copy")
     placed = materialize(ordered.withColumn("_place", F.monotonically_increasing_id()))
     data = placed.withColumn("_index_owner", F.struct(*by)) if by else placed
     owner = ["_index_owner"] if by else []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 from gridpulse.operators.readings import dedupe_keep_first, row_index
 from gridpulse.session import materialize
 
-MAX_CHILDREN = 100_000
-
 
 def split_existing(batch: DataFrame, target: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows by whether ``column`` already occurs in the target."""
@@ -105,47 +104,56 @@ def insert_children(
     return marked.filter(~orphan).select(*filled.columns), marked.filter(orphan).select(*filled.columns)
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """An optional record of each child: the row of ``records`` whose ``id_column`` is the child's
+    ``reference``, as a struct ``name``."""
+
+    records: DataFrame
+    id_column: str
+    reference: str
+    name: str = "course"
+
+
+def _items(owners: DataFrame, children: DataFrame, owner_id: str, child_owner: str, fields: list[str], lookup: Lookup | None) -> DataFrame:
+    """(_owner, _item) for the children of these owners; others are left out before anything else."""
+    own = owners.select(F.col(owner_id).alias("_owner"))
+    kept = children.withColumn("_owner", F.col(child_owner)).join(own, "_owner", "left_semi")
+    if lookup is None:
+        return kept.select("_owner", F.struct(*fields).alias("_item"))
+    columns = lookup.records.columns
+    side = lookup.records.select(*[F.col(c).alias(f"_l_{c}") for c in columns])
+    record = F.struct(*[F.col(f"_l_{c}").alias(c) for c in columns])
+    joined = kept.join(side, kept[lookup.reference] == side[f"_l_{lookup.id_column}"], "left")
+    found = F.when(F.col(f"_l_{lookup.id_column}").isNotNull(), record).alias(lookup.name)
+    return joined.select("_owner", F.struct(*fields, found).alias("_item"))
+
+
+def child_rows(
+    owners: DataFrame, children: DataFrame, owner_id: str, child_owner: str, fields: list[str],
+    lookup: Lookup | None = None, name: str = "deadline",
+) -> DataFrame:
+    """One row per owner and child, with the child's ``position`` (from 0) in the sorted list of its
+    owner; nulls for an owner without children.
+
+    Positions come from one range sort, so a list may have any length. An owner with most of the
+    children is spread over many tasks; AQE splits it in the join.
+    """
+    items = _items(owners, children, owner_id, child_owner, fields, lookup)
+    placed = row_index(items, ["_item"], by=["_owner"], name="position").withColumnRenamed("_item", name)
+    return owners.join(placed, owners[owner_id] == placed["_owner"], "left").drop("_owner")
+
+
 def nest_children(
-    owners: DataFrame,
-    children: DataFrame,
-    owner_id: str,
-    child_owner: str,
-    fields: list[str],
-    lookup: DataFrame | None = None,
-    lookup_id: str | None = None,
-    child_lookup: str | None = None,
-    lookup_name: str = "course",
-    name: str = "deadlines",
-    max_children: int = MAX_CHILDREN,
+    owners: DataFrame, children: DataFrame, owner_id: str, child_owner: str, fields: list[str],
+    lookup: Lookup | None = None, name: str = "deadlines",
 ) -> DataFrame:
-    """Every owner with the sorted list of its children, each with its optional lookup record.
+    """J4, nested: exactly one row per owner, with the sorted list of its children.
 
-    Two joins replace one query per owner. An owner without children gets an empty list. A list
-    longer than ``max_children`` continues in further rows of that owner (``part`` 1, 2, ...), so no
-    task or row has to hold an unbounded list and no child is left out.
+    Two joins replace one query per owner. An owner without children gets an empty list. A list is one
+    value, so this form is for owners whose lists fit a row, such as a page; ``child_rows`` takes any.
     """
-    if lookup is not None:
-        record = F.struct(*[F.col(f"_l_{c}").alias(c) for c in lookup.columns])
-        side = lookup.select(*[F.col(c).alias(f"_l_{c}") for c in lookup.columns])
-        joined = children.join(side, children[child_lookup] == side[f"_l_{lookup_id}"], "left")
-        item = F.struct(*fields, F.when(F.col(f"_l_{lookup_id}").isNotNull(), record).alias(lookup_name))
-    else:
-        joined, item = children, F.struct(*fields)
-    items = joined.select(F.col(child_owner).alias("_owner"), item.alias("_item"))
-    large = children.groupBy(F.col(child_owner).alias("_owner")).agg(F.count("*").alias("_n"))
-    large = large.filter(F.col("_n") > max_children).select("_owner")
-    if large.isEmpty():
-        ordinary, split = items, None
-    else:
-        large = materialize(large)
-        ordinary = items.join(large, "_owner", "left_anti")
-        split = row_index(items.join(large, "_owner", "left_semi"), ["_item"], by=["_owner"], name="_at")
-    lists = ordinary.groupBy("_owner").agg(F.sort_array(F.collect_list("_item")).alias(name))
-    lists = lists.select("_owner", F.lit(0).alias("part"), name)
-    if split is not None:
-        cut = split.withColumn("part", F.floor(F.col("_at") / max_children).cast("int"))
-        more = cut.groupBy("_owner", "part").agg(F.sort_array(F.collect_list("_item")).alias(name))
-        lists = lists.unionByName(more)
+    items = _items(owners, children, owner_id, child_owner, fields, lookup)
+    lists = items.groupBy("_owner").agg(F.sort_array(F.collect_list("_item")).alias(name))
     nested = owners.join(lists, owners[owner_id] == lists["_owner"], "left").drop("_owner")
-    empty = F.array().cast(lists.schema[name].dataType)
-    return nested.withColumns({"part": F.coalesce("part", F.lit(0)), name: F.coalesce(name, empty)})
+    return nested.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))

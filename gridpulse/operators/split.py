@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpulse.operators.readings import row_index
+from gridpulse.session import materialize
+
 HASH_BITS = 31
 HASH_RANGE = 1 << HASH_BITS
 BIN_BITS = 16  # low bits of the hash: at most 2^15 bins first, 2^16 values inside one of them then
@@ -29,6 +34,22 @@ def _crossing(counts: DataFrame, step: str, wanted: Column) -> DataFrame:
     return hit.select(_CLASS, step, (F.col("_wanted") - before).alias("_rest"))
 
 
+def _quotas(bins: DataFrame, share: float) -> DataFrame:
+    """(class ``_q``, ``_wanted``): the test rows of each class, ceil(share * n) of all rows together. A class
+    gets the whole part of its share of them; those with the largest remainders (then the smallest class)
+    get one more."""
+    classes = materialize(bins.groupBy(_CLASS).agg(F.sum("_n").alias("_total")))
+    total = classes.agg(F.sum("_total")).first()[0] or 0
+    test = math.ceil(total * share)
+    product = f"CAST(_total AS DECIMAL(19,0)) * CAST({test} AS DECIMAL(19,0))"
+    shares = classes.select(
+        F.col(_CLASS).alias("_q"), F.expr(f"{product} DIV {max(total, 1)}").alias("_whole"), F.expr(f"-({product} % {max(total, 1)})").alias("_miss")
+    )
+    left = test - (shares.agg(F.sum("_whole")).first()[0] or 0)
+    ranked = row_index(shares, ["_miss", "_q"], name="_place")
+    return ranked.select("_q", (F.col("_whole") + F.when(F.col("_place") < left, 1).otherwise(0)).alias("_wanted"))
+
+
 def with_test_flag(
     df: DataFrame,
     key: list[str] | None = None,
@@ -37,8 +58,8 @@ def with_test_flag(
     seed: int = 42,
     name: str = "is_test",
 ) -> DataFrame:
-    """Adds ``name``: true for ceil(share * n) rows, those with the smallest hashes; per class with
-    ``label``.
+    """Adds ``name``: true for ceil(share * n) rows, those with the smallest hashes; with ``label``, those
+    of each class, which shares that number by largest remainders.
 
     The hash covers ``key`` (default: all columns), so rows equal there stay on one side; include
     enough columns that no value holds a large part of the rows. Two counting passes find the hash
@@ -49,6 +70,10 @@ def with_test_flag(
     hashed = df.select(group.alias(_CLASS), h.alias(_HASH))
     bins = hashed.groupBy(_CLASS, F.shiftright(_HASH, BIN_BITS).alias(_BIN)).agg(F.count("*").alias("_n"))
     rank = F.ceil(F.col("_total") * F.lit(float(test_share)))
+    if label:
+        bins = materialize(bins)
+        quotas = _quotas(bins, float(test_share))
+        bins, rank = bins.join(quotas, F.col(_CLASS).eqNullSafe(F.col("_q"))).drop("_q"), F.col("_wanted")
     found = _crossing(bins, _BIN, rank)
     bounds = found.select(F.col(_CLASS).alias("_c"), _BIN)
     inside = hashed.join(

@@ -6,6 +6,7 @@ split finding, bootstrap and boosting differ from those of other libraries.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -13,8 +14,9 @@ from typing import Any
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Normalizer, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import ElementwiseProduct, Normalizer, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -79,6 +81,7 @@ class Task:
 
     train: DataFrame
     rows: int
+    width: int
     label: str
     features: str
     scaled: str
@@ -87,9 +90,20 @@ class Task:
     profile: Profile
     classes: tuple[int, ...] = tuple(CLASS_NAMES)
 
-    def scaler(self) -> StandardScaler:
+    def scaler(self) -> list:
         """M3: fitted on the training rows only."""
-        return StandardScaler(inputCol=self.features, outputCol=self.scaled, withMean=True, withStd=True)
+        return population_scaler(self.features, self.scaled, self.rows, self.width)
+
+
+def population_scaler(source: str, target: str, rows: int, width: int) -> list:
+    """Stages that centre vectors and divide them by the population deviation of the ``rows`` they are
+    fitted on; Spark's own scaler divides by the sample's."""
+    by_sample = f"{target}_by_sample"
+    factor = math.sqrt(rows / (rows - 1)) if rows > 1 else 1.0
+    return [
+        StandardScaler(inputCol=source, outputCol=by_sample, withMean=True, withStd=True),
+        ElementwiseProduct(scalingVec=Vectors.dense([factor] * width), inputCol=by_sample, outputCol=target),
+    ]
 
 
 Fit = Callable[[Task], Model]
@@ -102,7 +116,7 @@ def fit_logistic(task: Task) -> PipelineModel:
         probabilityCol=task.probability, rawPredictionCol="_risk_raw", family="multinomial",
         maxIter=task.profile.iterations, regParam=1.0 / task.rows, elasticNetParam=0.0, standardization=False,
     )
-    return Pipeline(stages=[task.scaler(), model]).fit(task.train)
+    return Pipeline(stages=[*task.scaler(), model]).fit(task.train)
 
 
 def fit_forest_classifier(task: Task) -> Model:
@@ -148,7 +162,7 @@ def fit_ridge(task: Task, alpha: float = 1.0) -> PipelineModel:
         featuresCol=task.scaled, labelCol=task.label, predictionCol=task.prediction,
         regParam=alpha * deviation / task.rows, elasticNetParam=0.0, standardization=False, solver="normal",
     )
-    return Pipeline(stages=[task.scaler(), model]).fit(task.train)
+    return Pipeline(stages=[*task.scaler(), model]).fit(task.train)
 
 
 def fit_forest_regressor(task: Task) -> Model:
@@ -219,7 +233,7 @@ def _fit_candidates(
     vectors = [v.persist(StorageLevel.MEMORY_AND_DISK) for v in vectors]
     try:
         task = Task(
-            train=vectors[0], rows=vectors[0].count(), label="_label", features=assembler.getOutputCol(),
+            train=vectors[0], rows=vectors[0].count(), width=len(features), label="_label", features=assembler.getOutputCol(),
             scaled=f"{prefix}_scaled", prediction=prediction, probability=probability, profile=profile,
         )
         models, results = {}, {}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -514,14 +515,13 @@ CHILD = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_return
     FROM orders LEFT JOIN items ON o_orderkey = l_orderkey""",
 )
 def _(spark, folder):
-    nested = relational.nest_children(
+    parts = S.table(spark, folder, "part").select("p_partkey", "p_brand")
+    flat = relational.child_rows(
         S.table(spark, folder, "orders").select("o_orderkey"), S.table(spark, folder, "lineitem"),
-        "o_orderkey", "l_orderkey", CHILD,
-        lookup=S.table(spark, folder, "part").select("p_partkey", "p_brand"), lookup_id="p_partkey",
-        child_lookup="l_partkey", lookup_name="part", name="lines",
+        "o_orderkey", "l_orderkey", CHILD, relational.Lookup(parts, "p_partkey", "l_partkey", "part"), "line",
     )
-    flat = nested.select("o_orderkey", F.posexplode_outer("lines").alias("place", "line"))
-    return flat.select("o_orderkey", "place", *[F.col(f"line.{c}").alias(c) for c in CHILD], F.col("line.part.p_brand").alias("p_brand"))
+    place = F.col("position").cast("int").alias("place")
+    return flat.select("o_orderkey", place, *[F.col(f"line.{c}").alias(c) for c in CHILD], F.col("line.part.p_brand").alias("p_brand"))
 
 
 def _split_customers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -825,13 +825,25 @@ def _with_side(df: DataFrame, flagged: Callable[[DataFrame], DataFrame]) -> Data
     return flagged(df).groupBy("is_test", *([RISK] if RISK in df.columns else [])).agg(F.count("*").alias("n"))
 
 
-# The cut is the hash of rank ceil(share * n), so the sizes follow.
+# The cut is the hash of the wanted rank, so the sizes follow: ceil(share * n) rows in all, shared among
+# the classes by largest remainders.
 _SIDES = "SELECT {by} true AS is_test, CAST(ceil(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS n FROM c UNION ALL SELECT {by} false, n - CAST(ceil(n * CAST(0.2 AS DOUBLE)) AS BIGINT) FROM c"
+_CLASS_SIDES = """, t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(ceil(CAST(sum(n) AS BIGINT) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS wanted FROM c),
+q AS (SELECT {by}, n, n * wanted // total AS whole, n * wanted % total AS rest, wanted FROM c, t),
+r AS (SELECT {by}, n, whole, row_number() OVER (ORDER BY rest DESC, {by}) AS place, wanted - sum(whole) OVER () AS spare FROM q),
+s AS (SELECT {by}, n, CAST(whole + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS test FROM r)
+"""
+
+
+def _class_sides(by: str, every_side: bool) -> str:
+    """Sizes per class and side; a side without rows only if ``every_side``."""
+    some = "" if every_side else " WHERE n > 0"
+    return _CLASS_SIDES.format(by=by) + f"SELECT * FROM (SELECT {by}, true AS is_test, test AS n FROM s UNION ALL SELECT {by}, false, n - test FROM s){some}"
 
 
 @query(
     "m1_stratified_split",
-    f"WITH {S.features_sql()}, c AS (SELECT {RISK}, count(*) AS n FROM features GROUP BY 1) " + _SIDES.format(by=f"{RISK},"),
+    f"WITH {S.features_sql()}, c AS (SELECT {RISK}, count(*) AS n FROM features GROUP BY 1)" + _class_sides(RISK, False),
 )
 def _(spark, folder):
     frame = materialize(fleet_frame(spark, folder).select(*DIMS, RISK))
@@ -840,7 +852,7 @@ def _(spark, folder):
 
 @query(
     "m1_stratified_split_many",
-    "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) " + _SIDES.format(by="l_partkey,"),
+    "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)" + _class_sides("l_partkey", True),
 )
 def _(spark, folder):
     # Lines repeat in all their columns, so each gets a number; it is written before it is hashed.
@@ -859,20 +871,31 @@ def _(spark, folder):
 @query(
     "m3_scale",
     f"WITH {S.features_sql()} SELECT {DEVICE}, {TIME}, "
-    "round((OTI - avg(OTI) OVER ()) / stddev_samp(OTI) OVER (), 5) AS OTI, "
-    "round((VL3 - avg(VL3) OVER ()) / stddev_samp(VL3) OVER (), 5) AS VL3 FROM features",
+    "round((OTI - avg(OTI) OVER ()) / stddev_pop(OTI) OVER (), 5) AS OTI, "
+    "round((VL3 - avg(VL3) OVER ()) / stddev_pop(VL3) OVER (), 5) AS VL3 FROM features",
 )
 def _(spark, folder):
-    frame = VectorAssembler(inputCols=["OTI", "VL3"], outputCol="v").transform(fleet_frame(spark, folder))
-    scaler = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(frame)
-    z = scaler.transform(frame).select(*DIMS, vector_to_array("s").alias("s"))
+    frame = VectorAssembler(inputCols=["OTI", "VL3"], outputCol="v").transform(materialize(fleet_frame(spark, folder)))
+    z = Pipeline(stages=training.population_scaler("v", "s", frame.count(), 2)).fit(frame).transform(frame)
+    z = z.select(*DIMS, vector_to_array("s").alias("s"))
     return text_time(z.select(*DIMS, *[F.round(F.col("s")[i], 5).alias(c) for i, c in enumerate(["OTI", "VL3"])]))
 
 
 def _fit_query(name: str, model: str, classifier: bool) -> None:
+    """A model fitted and applied to all rows: how many got a usable answer, and whether those answers beat
+    the best constant one (the largest class, or the mean)."""
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
         if classifier:
             frame, result = _small_training(spark, folder, (model,))
+            pairs = result.model.transform(frame).select(F.col(RISK).alias("y"), F.col(training.RISK_PREDICTION).alias("p"))
+            known = F.col("p").isin(*C.CLASS_NAMES)
+            by_class = pairs.groupBy("y").agg(
+                F.count("*").alias("n"), F.count_if(known).alias("known"), F.count_if(F.col("p") == F.col("y")).alias("hits")
+            )
+            return by_class.agg(
+                F.sum("n").alias("n_rows"), F.sum("known").alias("n_known"), (F.sum("hits") >= F.max("n")).alias("beats_constant")
+            )
         else:
             frame = materialize(fleet_frame(spark, folder))
             features = P.feature_columns(frame, [*training.NOT_REGRESSOR_FEATURES, DEVICE])
@@ -880,10 +903,14 @@ def _fit_query(name: str, model: str, classifier: bool) -> None:
             result = training.compare_regressors(
                 *sides, features, profile=training.SMALL, candidates={model: training.REGRESSORS[model]}
             )
-        column = training.RISK_PREDICTION if classifier else training.TEMPERATURE_PREDICTION
-        return result.model.transform(frame).select(*DIMS, F.col(column).alias("prediction"))
+        pairs = result.model.transform(frame).select(F.col("OTI").cast("double").alias("y"), F.col(training.TEMPERATURE_PREDICTION).alias("p"))
+        error = F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))
+        known = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
+        return pairs.agg(
+            F.count("*").alias("n_rows"), F.count_if(known).alias("n_known"), (error < F.var_pop("y") * F.count("*")).alias("beats_constant")
+        )
 
-    query(name)(run)
+    query(name, f"WITH {S.aligned_sql()} SELECT count(*) AS n_rows, count(*) AS n_known, true AS beats_constant FROM aligned")(run)
 
 
 _fit_query("m4_logistic", "LogisticRegression", True)
@@ -894,9 +921,17 @@ _fit_query("m8a_rf_regressor", "RandomForest", False)
 _fit_query("m8b_gbt_regressor", "HistGradientBoosting", False)
 
 
-@query("m9_fit_candidates")
+@query(
+    "m9_fit_candidates",
+    f"WITH {S.aligned_sql()} SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_candidates, CAST(1 AS BIGINT) AS n_best, true AS best_is_highest FROM aligned",
+)
 def _(spark, folder):
-    return _small_training(spark, folder, ("LogisticRegression", "RandomForest"))[1].metrics
+    frame, result = _small_training(spark, folder, tuple(training.CLASSIFIERS))
+    highest = F.max_by("model", F.struct("test_f1_macro", -F.col("position")))
+    return result.metrics.agg(
+        F.lit(frame.count()).cast("long").alias("n_rows"), F.count("*").alias("n_candidates"), F.count_if("is_best").alias("n_best"),
+        (highest == F.max(F.when(F.col("is_best"), F.col("model")))).alias("best_is_highest"),
+    )
 
 
 @query(
@@ -916,15 +951,21 @@ ISOLATED = ["OTI", "WTI", "ATI", "OLI"]
     "CAST(256 AS INTEGER) AS leaves FROM range(150) AS t(tree) WHERE (SELECT count(*) FROM events) >= 256",
 )
 def _(spark, folder):
-    forest = iforest.fit(S.readings(spark, folder), ISOLATED)
+    forest = iforest.fit(S.readings(spark, folder), ISOLATED, key=["event_id"])
     return forest.select("tree", "sample", F.size("feature").alias("inner_nodes"), F.size("depth").alias("leaves"))
 
 
-@query("m11_iforest_flag")
+@query("m11_iforest_flag", "SELECT count(*) AS n_rows, count(*) AS n_scored, true AS within_share, true AS parted FROM events")
 def _(spark, folder):
+    """5 % of the rows are flagged, less those that tie with the cut; all have higher scores than the rest."""
     rows = S.readings(spark, folder)
-    flagged = iforest.flag(rows, iforest.fit(rows, ISOLATED, n_trees=50), ISOLATED)
-    return flagged.select(DEVICE, "event_id", "anomaly_score", "anomaly_flag")
+    flagged = iforest.flag(rows, iforest.fit(rows, ISOLATED, key=["event_id"]), ISOLATED)
+    score, odd = F.col("anomaly_score"), F.col("anomaly_flag") == -1
+    low, high = F.min(F.when(odd, score)), F.max(F.when(~odd, score))
+    return flagged.agg(
+        F.count("*").alias("n_rows"), F.count_if((score > 0) & (score <= 1)).alias("n_scored"),
+        F.count_if(odd).between(1, F.count("*") * 0.05 + 1).alias("within_share"), (low > high).alias("parted"),
+    )
 
 
 @query(
@@ -945,14 +986,26 @@ def _(spark, folder):
     return text_time(score_batch(S.readings(spark, folder), _rule_classifier(), _rule_regressor(), needed=SENSORS), fine=True)
 
 
-@query("m13_score_batch_fitted")
+@query(
+    "m13_score_batch_fitted",
+    f"WITH {S.aligned_sql()} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_risk_differs, CAST(0 AS BIGINT) AS n_heat_differs FROM aligned",
+)
 def _(spark, folder):
+    """Scoring the sensors alone gives what both models say of the whole feature frame."""
     frame, risk = _small_training(spark, folder, ("RandomForest",))
     features = P.feature_columns(frame, [*training.NOT_REGRESSOR_FEATURES, DEVICE])
     heat = training.compare_regressors(
         *split.random_split(frame, key=DIMS), features, profile=training.SMALL, candidates={"Ridge": training.fit_ridge}
     )
-    return score_batch(frame.select(*DIMS, *S.SENSOR_COLUMNS), risk.model, heat.model, nulls="zero")
+    scored = score_batch(frame.select(*DIMS, *S.SENSOR_COLUMNS), risk.model, heat.model, nulls="zero")
+    own = heat.model.transform(risk.model.transform(frame)).select(
+        *DIMS, F.col(training.RISK_PREDICTION).cast("int").alias("risk"), F.col(training.TEMPERATURE_PREDICTION).alias("heat")
+    )
+    both = scored.join(own, DIMS)
+    return both.agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("risk") != F.col("Predicted_Fault_Risk")).alias("n_risk_differs"),
+        F.count_if(F.abs(F.col("heat") - F.col("Predicted_OTI_Temp_C")) > 0.00501).alias("n_heat_differs"),
+    )
 
 
 @query(

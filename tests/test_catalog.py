@@ -8,7 +8,6 @@ from tests.oracle import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-SLOW = {"m5_rf_classifier", "m6_gbt_classifier", "m8a_rf_regressor", "m8b_gbt_regressor", "m9_fit_candidates", "m13_score_batch_fitted"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_query_equals_sql(spark, database, name):
     assert differences(QUERIES[name](spark, FOLDER), database, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 

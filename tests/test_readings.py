@@ -51,12 +51,11 @@ def test_dedupe_keeps_rows_without_key(spark):
 
 
 @pytest.mark.parametrize("by", [None, ["g"]])
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_row_index_is_dense_with_copies_of_a_row(spark, by, hot_rows):
+def test_row_index_is_dense_with_copies_of_a_row(spark, by):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), rng.randrange(5)) for _ in range(300)] + [("a", 2)] * 400
     df = spark.createDataFrame(rows, "g string, x int").repartition(6)
-    out = readings.row_index(df, ["x"], by, hot_rows=hot_rows).collect()
+    out = readings.row_index(df, ["x"], by).collect()
     for g in ("a", "b") if by else (None,):
         mine = sorted((r.row_index, r.x) for r in out if g is None or r.g == g)
         assert [i for i, _ in mine] == list(range(len(mine)))

@@ -65,23 +65,33 @@ def test_children_get_defaults_and_orphans_are_reported(spark):
     assert {r.title for r in orphans.collect()} == {"c", "d", "e"}
 
 
-@pytest.mark.parametrize("most", [3, 1000])
-def test_nested_lists_are_whole_and_sorted(spark, most):
+def test_nested_lists_are_whole_and_sorted(spark):
     users = spark.createDataFrame([(1, "u"), (2, "v"), (3, "w")], "id int, name string")
     courses = spark.createDataFrame([(7, "math")], "id int, code string")
-    lines = [(i, 1 if i < 40 else 2, 7 if i % 2 else None) for i in range(43)] + [(5, 1, 7)] * 8
+    lines = [(i, 1 if i < 40 else 2, 7 if i % 2 else None) for i in range(43)] + [(5, 1, 7)] * 8 + [(9, 4, 7)]
     deadlines = spark.createDataFrame(lines, "due int, owner_id int, course_id int")
-    nested = relational.nest_children(
-        users, deadlines, "id", "owner_id", ["due"], courses, "id", "course_id", max_children=most
-    ).orderBy("id", "part").collect()
-    assert max(len(r.deadlines) for r in nested) <= most
-    for owner in (1, 2, 3):
-        parts = [r for r in nested if r.id == owner]
-        items = [(d.due, d.course.code if d.course else None) for r in parts for d in r.deadlines]
-        want = sorted((due, "math" if c else None) for due, o, c in lines if o == owner)
+    lookup = relational.Lookup(courses, "id", "course_id")
+    nested = relational.nest_children(users, deadlines, "id", "owner_id", ["due"], lookup).orderBy("id").collect()
+    long = relational.child_rows(users, deadlines, "id", "owner_id", ["due"], lookup).collect()
+    assert [r.id for r in nested] == [1, 2, 3]
+    for r in nested:
+        items = [(d.due, d.course.code if d.course else None) for d in r.deadlines]
+        want = sorted((due, "math" if c else None) for due, o, c in lines if o == r.id)
         assert items == sorted(items, key=lambda x: x[0]) and sorted(items, key=repr) == sorted(want, key=repr)
-        assert [r.part for r in parts] == list(range(len(parts)))
-    assert [r.deadlines for r in nested if r.id == 3] == [[]]
+        own = sorted((x.position, x.deadline.due) for x in long if x.id == r.id and x.deadline)
+        assert own == [(k, due) for k, (due, _) in enumerate(items)]
+    assert nested[2].deadlines == []
+    assert [(x.position, x.deadline) for x in long if x.id == 3] == [(None, None)]
+
+
+def test_one_owner_of_very_many_children(spark):
+    owners = spark.range(2)
+    children = spark.range(250_000).select(F.lit(1).cast("bigint").alias("owner"), "id")
+    rows = relational.child_rows(owners, children, "id", "owner", ["id"], name="child")
+    found = rows.groupBy("id").agg(F.count("position").alias("n"), F.max("position").alias("last"), F.count_if(F.col("position") != F.col("child.id")).alias("bad"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 0, None, 0), (1, 250_000, 249_999, 0)]
+    nested = relational.nest_children(owners, children, "id", "owner", ["id"])
+    assert sorted((r.id, r.n) for r in nested.select("id", F.size("deadlines").alias("n")).collect()) == [(0, 0), (1, 250_000)]
 
 
 def test_existing_rows_are_split_off(spark):
