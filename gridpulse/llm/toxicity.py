@@ -171,10 +171,14 @@ class Index:
             start = self.posting_of[pairs[own]]
             size = self.posting_of[pairs[own] + 1] - start
             postings = _ranges(start, size)
-            who, which = np.unique(self.example[postings], return_inverse=True)
-            total = np.bincount(which, self.weight[postings] * np.repeat(q[own], size))
-            keep = who != but
-            found, cosine = np.concatenate([found, who[keep]]), np.concatenate([cosine, total[keep]])
+            # All weights are above 0, so the examples of these blocks that share a term have a sum above 0.
+            total = np.bincount(self.example[postings], self.weight[postings] * np.repeat(q[own], size))
+            who = np.flatnonzero(total)
+            who = who[who != but]
+            found, cosine = np.concatenate([found, who]), np.concatenate([cosine, total[who]])
+            if len(cosine) > k:  # those below the k-th best need no sorting; ties with it stay
+                near = cosine >= np.partition(cosine, -k)[-k]
+                found, cosine = found[near], cosine[near]
             best = np.lexsort((found, -cosine))[:k]
             found, cosine = found[best], cosine[best]
             at, step = at + step, step * 2
