@@ -26,7 +26,7 @@ from gridpulse.session import materialize
 
 _CHUNK, _OWNER, _TIME = "_chunk", "_owner", "_time"
 _LAST_TIME = (1 << 63) - 1
-MAX_CHUNKS = 4096
+CHUNK_ROWS = 1_000_000
 LONG_SERIES = 1_000_000
 MAX_LISTED_SERIES = 10_000
 _FIT_A_DOUBLE = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)
@@ -82,9 +82,11 @@ def with_time_chunks(
     return out.withColumn(name, F.col(name) * step + within).drop("_inner")
 
 
-def default_chunks(df: DataFrame) -> int:
+def default_chunks(df: DataFrame, outline: DataFrame | None = None) -> int:
+    """Chunks of about ``CHUNK_ROWS`` rows, as many as the rows ask for, and at least one per shuffle
+    partition. Counts ``outline``, where there is a cheaper frame with as many rows."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_CHUNKS, partitions))
+    return max(2, partitions, -(-(df if outline is None else outline).count() // CHUNK_ROWS))
 
 
 def _row_order(time_column: str, tiebreak: list[str], reverse: bool = False) -> list[Column]:
@@ -201,7 +203,7 @@ def _fill_in_two_passes(df, columns, time_column, by, tiebreak, forward, backwar
 def _by_length(df: DataFrame, outline: DataFrame, by: list[str], limit: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(short series, long series); None for a side without any."""
     if not by:
-        return (df, None) if outline.limit(limit + 1).count() <= limit else (None, df)
+        return (df, None) if outline.count() <= limit else (None, df)
     sizes = outline.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by)
     long = sizes.limit(MAX_LISTED_SERIES + 1).collect()
     if not long:
@@ -245,12 +247,12 @@ def fill_gaps(
         short, long = _by_length(df, df if outline is None else outline, by, long_series)
         parts = [_fill_by_window(short, *options)] if short is not None else []
         if long is not None:
-            parts.append(_fill_in_two_passes(long, *options, chunks or default_chunks(df)))
+            parts.append(_fill_in_two_passes(long, *options, chunks or default_chunks(df, outline)))
         return reduce(DataFrame.unionAll, parts)
     if strategy == "window":
         return _fill_by_window(df, *options)
     if strategy == "two_pass":
-        return _fill_in_two_passes(df, *options, chunks or default_chunks(df))
+        return _fill_in_two_passes(df, *options, chunks or default_chunks(df, outline))
     raise ValueError(f"unknown strategy: {strategy}")
 
 

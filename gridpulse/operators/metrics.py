@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.schema import REPORT_NAMES
@@ -83,9 +83,11 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
-def _class_metrics(confusion: DataFrame) -> DataFrame:
-    """Per class in actual or predicted: precision, recall, F1, support, predicted count, hits."""
+def _class_metrics(confusion: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per class in actual or predicted (and value of ``by``): precision, recall, F1, support, predicted
+    count, hits."""
     sides = confusion.select(
+        *by,
         F.inline(F.array(
             F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("chosen"),
                      F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hits")),
@@ -93,7 +95,7 @@ def _class_metrics(confusion: DataFrame) -> DataFrame:
                      F.lit(0).cast("long").alias("hits")),
         ))
     )
-    totals = sides.groupBy("class").agg(
+    totals = sides.groupBy(*by, "class").agg(
         F.sum("support").alias("support"), F.sum("chosen").alias("chosen"), F.sum("hits").alias("hits")
     )
     rated = totals.withColumns({
@@ -154,6 +156,21 @@ def classifier_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
+def candidate_scores(df: DataFrame, actual: str, predictions: dict[str, str]) -> DataFrame:
+    """A8 for several candidates, each with its own column of predictions: ``position``, ``model``,
+    accuracy and macro F1, from one pass over the data into one small confusion table."""
+    combined = df.groupBy(actual, *predictions.values()).agg(F.count("*").alias("n"))
+    each = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(name).alias("model"), F.col(column).cast("int").alias("predicted"))
+        for i, (name, column) in enumerate(predictions.items())
+    ])
+    confusion = combined.select(F.col(actual).cast("int").alias("actual"), "n", F.inline(each))
+    rated = _class_metrics(confusion, ("position", "model"))
+    return rated.groupBy("position", "model").agg(
+        _ratio(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg("f1").alias("f1_macro")
+    )
+
+
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One pass."""
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
@@ -183,10 +200,10 @@ def select_best(metrics: DataFrame, metric: str, position: str = "position") ->
 
 
 def model_comparison(metrics: DataFrame, metric: str, position: str = "position") -> DataFrame:
-    """Every candidate with a flag on the winner. One row per candidate."""
-    best = select_best(metrics, metric, position).select(F.col(position).alias("_best"))
-    joined = metrics.join(F.broadcast(best), metrics[position] == F.col("_best"), "left")
-    return joined.withColumn("is_best", F.col("_best").isNotNull()).drop("_best")
+    """Every candidate with a flag on the winner. One row per candidate, so one task may rank them,
+    and the candidates are computed once."""
+    ranking = Window.orderBy(F.col(metric).desc_nulls_last(), position)
+    return metrics.withColumn("is_best", F.row_number().over(ranking) == 1)
 
 
 def batch_summary(df: DataFrame, column: str = "Predicted_Fault_Risk", classes=RISK_CLASSES) -> DataFrame:

@@ -47,6 +47,12 @@ def history(
     return ranked.filter(F.col("_rank") <= limit).drop("_rank")
 
 
+def counted_history(df: DataFrame, limit: int = 50, by: list[str] | None = None, **options) -> DataFrame:
+    """T3 with its count: the rows of ``history`` and, in ``count``, how many they are (per device with
+    ``by``). At most ``limit`` rows share a window."""
+    return history(df, limit, by=by, **options).withColumn("count", F.count("*").over(Window.partitionBy(*by or [])))
+
+
 def latest_reading(df: DataFrame, **options) -> DataFrame:
     """The newest row (of each device with ``by``); no row if there is none."""
     return history(df, limit=1, **options)

@@ -84,11 +84,15 @@ def insert_children(
     parents: dict[str, DataFrame],
     defaults: dict[str, Column],
     required: tuple[str, ...] = (),
+    order: list[str] | None = None,
+    highest: int = 0,
+    id_column: str = "id",
 ) -> tuple[DataFrame, DataFrame]:
     """B2: (accepted, orphans) after filling absent or missing values with ``defaults``.
 
     ``parents`` maps a reference column to a frame whose first column holds the known ids. A missing
-    reference is allowed unless the column is ``required``.
+    reference is allowed unless the column is ``required``. With an ``order`` the accepted rows get ids
+    in it, dense and above ``highest``, the highest id so far.
     """
     filled = batch.withColumns({
         c: F.coalesce(F.col(c), v) if c in batch.columns else v for c, v in defaults.items()
@@ -101,7 +105,11 @@ def insert_children(
         absent = F.col(flag).isNull()
         unknown.append(absent if column in required else absent & F.col(column).isNotNull())
     orphan = reduce(or_, unknown)
-    return marked.filter(~orphan).select(*filled.columns), marked.filter(orphan).select(*filled.columns)
+    accepted = marked.filter(~orphan).select(*filled.columns)
+    if order:
+        numbered = row_index(accepted, order, name="_index")
+        accepted = numbered.select((F.col("_index") + F.lit(highest + 1)).alias(id_column), *filled.columns)
+    return accepted, marked.filter(orphan).select(*filled.columns)
 
 
 @dataclass(frozen=True)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.operators.readings import dedupe_keep_first, new_keys_only
 from gridpulse.schema import DEVICE, READING_TIME, metadata_schema
-from gridpulse.session import materialize
+from gridpulse.session import staged
 
 DATE_PARTITION = "reading_date"
 
@@ -29,13 +29,14 @@ class ImportTally:
         return self.total - self.inserted
 
 
-def existing_readings(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def readings_of_days(spark: SparkSession, path: str, days: list[date]) -> DataFrame | None:
+    """The table's rows of these days, or None if it has none of them. Only their folders are looked at,
+    however many days the table has."""
+    folders = [f"{path.rstrip('/')}/{DATE_PARTITION}={day.isoformat()}" for day in days]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    targets = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+    there = [f for f, t in zip(folders, targets, strict=True) if t.getFileSystem(conf).exists(t)]
+    return spark.read.option("basePath", path).parquet(*there) if there else None
 
 
 def append_idempotent(
@@ -48,23 +49,22 @@ def append_idempotent(
     """Append the rows whose key is neither in the table nor earlier in the batch.
 
     One set-based job replaces a transaction per row. The table is partitioned by day, and only the
-    days of the batch are read to look for known keys. Accepted rows go to a staging table first, so
-    that the tally counts what was written and lost executors cannot change the outcome. A plain
-    table enforces no key: one writer at a time.
+    days that occur in the batch are listed and read to look for known keys; the driver gets those days,
+    one row each. Accepted rows go to a staging table first, so that the tally counts what was written
+    and lost executors cannot change the outcome; it is removed after the append. A plain table enforces
+    no key: one writer at a time.
     """
     batch = batch.withColumn(DATE_PARTITION, F.to_date(time_column))
-    day = F.col(DATE_PARTITION)
-    seen = batch.agg(F.count("*").alias("n"), F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    days = batch.groupBy(DATE_PARTITION).count().collect()
     accepted = dedupe_keep_first(batch, list(keys), list(order))
-    table = existing_readings(batch.sparkSession, path)
-    if table is not None:
-        recent = table.filter(day.between(F.lit(seen.lo), F.lit(seen.hi)))
-        accepted = new_keys_only(accepted, recent, list(keys), unique=True)
-    staged = materialize(accepted)
-    tally = ImportTally(total=seen.n, inserted=staged.count())
-    if tally.inserted:
-        # Rebalancing splits a day that holds most of the rows and merges small ones.
-        staged.hint("rebalance", DATE_PARTITION).write.mode("append").partitionBy(DATE_PARTITION).parquet(path)
+    known = readings_of_days(batch.sparkSession, path, [r[DATE_PARTITION] for r in days if r[DATE_PARTITION]])
+    if known is not None:
+        accepted = new_keys_only(accepted, known, list(keys), unique=True)
+    with staged(accepted) as rows:
+        tally = ImportTally(total=sum(r["count"] for r in days), inserted=rows.count())
+        if tally.inserted:
+            # Rebalancing splits a day that holds most of the rows and merges small ones.
+            rows.hint("rebalance", DATE_PARTITION).write.mode("append").partitionBy(DATE_PARTITION).parquet(path)
     return tally
 
 
