@@ -20,7 +20,7 @@ HEADLINE = [
     "w123_fill_gaps", "w123_fill_gaps_single_series", "w4_dedupe_keep_first", "w5_row_index",
     "t2_latest_by_device", "t3_history", "a7_classification_report", "a9_regression_metrics",
     "b1_insert_unique", "b2_insert_children", "m2_random_split", "m4_logistic", "m5_rf_classifier",
-    "m7_ridge", "m10_iforest_fit", "m11_iforest_flag", "m13_score_batch", "risk_levels_by_hour",
+    "m6_gbt_classifier", "m7_ridge", "m8a_rf_regressor", "m8b_gbt_regressor", "m9_fit_candidates", "m10_iforest_fit", "m11_iforest_flag", "m13_score_batch", "risk_levels_by_hour",
     "telemetry_frame", "st1_monitor_stream", "st2_ingest_stream",
 ]
 

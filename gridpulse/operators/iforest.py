@@ -11,6 +11,9 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,5 +150,64 @@ def flag(
     scored = score(df, forest, features)
     if cut is None:
         cut = score_cut(scored, contamination)
-    limit = F.lit(cut).cast("double")
-    return scored.withColumn("anomaly_flag", F.when(F.col("anomaly_score") > limit, -1).otherwise(1))
+    return mark(scored, cut)
+
+
+def mark(scored: DataFrame, cut: float | None) -> DataFrame:
+    """Adds ``anomaly_flag`` by a fixed cut; without one (a forest of no rows) nothing is an anomaly."""
+    return scored.withColumn("anomaly_flag", F.when(F.col("anomaly_score") > F.lit(cut).cast("double"), -1).otherwise(1))
+
+
+class IsolationForestModel(Transformer, MLReadable, MLWritable):
+    """M10, M11 as one model: the forest, its features in order, and the cut that the training rows gave.
+    Being row-wise it takes a batch or a stream, and is saved and loaded like any other model."""
+
+    features = Param(Params._dummy(), "features", "columns in the order that the trees know", TypeConverters.toListString)
+    cut = Param(Params._dummy(), "cut", "rows with a score above it are anomalies", TypeConverters.toFloat)
+
+    def __init__(self, forest: DataFrame | None = None, features: list[str] | None = None, cut: float | None = None) -> None:
+        super().__init__()
+        self.forest = forest
+        if features is not None:
+            self._set(features=list(features))
+        if cut is not None:
+            self._set(cut=cut)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        scored = score(dataset, self.forest, self.getOrDefault("features"))
+        return mark(scored, self.getOrDefault("cut") if self.isSet("cut") else None)
+
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader()
+
+
+class _ModelWriter(MLWriter):
+    def __init__(self, model: IsolationForestModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.forest.coalesce(1).write.parquet(f"{path}/forest")  # one row of fixed size per tree
+
+
+class _ModelReader(MLReader):
+    def load(self, path: str) -> IsolationForestModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = IsolationForestModel(self.sparkSession.read.schema(FOREST_SCHEMA).parquet(f"{path}/forest"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+def fit_model(
+    df: DataFrame, features: list[str] = ANOMALY_FEATURES, n_trees: int = 150, seed: int = 42,
+    contamination: float = CONTAMINATION, key: list[str] | None = None,
+) -> IsolationForestModel:
+    """The forest with the cut that ``contamination`` of these rows exceed."""
+    forest = fit(df, features, n_trees, seed, key)
+    return IsolationForestModel(forest, features, score_cut(score(df, forest, features), contamination))

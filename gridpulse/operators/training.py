@@ -9,16 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import StorageLevel, keyword_only
+from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, Normalizer, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from gridpulse.schema import (
     RISK,
 )
 from gridpulse.session import checkpoint_root, materialize
+from gridpulse.sources.writers import save_model, write_metadata
 
 RISK_PREDICTION, RISK_PROBABILITY = "risk_prediction", "risk_probability"
 TEMPERATURE_PREDICTION = "temperature_prediction"
@@ -52,6 +54,7 @@ class Profile:
     boost_depth: int = 5
     boost_leaf: int = 20
     bins: int = 256
+    early_stop_rows: int = 10_000  # with more training rows, boosting holds out a tenth and may stop early
     iterations: int = 2000
     forest_trees: int = 150
     seed: int = 42
@@ -129,6 +132,27 @@ def fit_forest_classifier(task: Task) -> Model:
     ).fit(task.train)
 
 
+VALIDATION, VALIDATION_TOLERANCE = "_is_validation", 1e-7
+
+
+def _with_early_stop(booster, train: DataFrame, task: Task):
+    """The booster and its rows. As in the published setting, boosting on more than ``early_stop_rows``
+    rows is checked after each round on a tenth of them, drawn by a hash of the features; it stops at the
+    first round that does not lower their loss."""
+    if task.rows <= task.profile.early_stop_rows:
+        return booster, train
+    drawn = F.pmod(F.xxhash64(vector_to_array(task.features), F.lit(task.profile.seed)), F.lit(10)) == 0
+    booster = booster.setValidationIndicatorCol(VALIDATION)
+    return booster.copy({booster.validationTol: VALIDATION_TOLERANCE}), train.withColumn(VALIDATION, drawn)
+
+
+def boosting_rounds(model: Model) -> list[int]:
+    """Rounds that each booster in a fitted model used."""
+    inner = model.stages if isinstance(model, PipelineModel) else [model]
+    found = [boosting_rounds(m) if isinstance(m, PipelineModel) else [m.getNumTrees] for m in inner if isinstance(m, (PipelineModel, GBTClassificationModel, GBTRegressionModel))]
+    return [n for part in found for n in part]
+
+
 def fit_boosted_classifier(task: Task) -> PipelineModel:
     """M6: one binary booster per class; a class's probability is its share of the boosters' votes.
 
@@ -136,14 +160,22 @@ def fit_boosted_classifier(task: Task) -> PipelineModel:
     consists of row-wise stages, so it is saved, loaded and streamed like any other model.
     """
     p, stages, helpers = task.profile, [], []
-    for k in task.classes:
+
+    def fit_class(k: int) -> Model:
         booster = GBTClassifier(
             featuresCol=task.features, labelCol="_is_class", predictionCol=f"_hit_{k}", maxIter=p.rounds,
             stepSize=0.1, maxDepth=p.boost_depth, minInstancesPerNode=p.boost_leaf, maxBins=p.bins, seed=p.seed,
         )
         booster.setProbabilityCol(f"_chance_{k}").setRawPredictionCol(f"_raw_{k}")
         binary = task.train.withColumn("_is_class", (F.col(task.label) == k).cast("double"))
-        stages += [booster.fit(binary), VectorSlicer(inputCol=f"_chance_{k}", outputCol=f"_vote_{k}", indices=[1])]
+        booster, rows = _with_early_stop(booster, binary, task)
+        return booster.fit(rows)
+
+    # The boosters do not depend on each other: their jobs share the cluster.
+    with ThreadPool(len(task.classes)) as pool:
+        boosters = pool.map(inheritable_thread_target(task.train.sparkSession)(fit_class), task.classes)
+    for k, fitted in zip(task.classes, boosters, strict=True):
+        stages += [fitted, VectorSlicer(inputCol=f"_chance_{k}", outputCol=f"_vote_{k}", indices=[1])]
         helpers += [f"_hit_{k}", f"_chance_{k}", f"_raw_{k}", f"_vote_{k}"]
     votes = [f"_vote_{k}" for k in task.classes]
     stages += [
@@ -177,10 +209,12 @@ def fit_forest_regressor(task: Task) -> Model:
 def fit_boosted_regressor(task: Task) -> Model:
     """M8."""
     p = task.profile
-    return GBTRegressor(
+    booster = GBTRegressor(
         featuresCol=task.features, labelCol=task.label, predictionCol=task.prediction, maxIter=p.rounds,
         stepSize=0.1, maxDepth=p.boost_depth, minInstancesPerNode=p.boost_leaf, maxBins=p.bins, seed=p.seed,
-    ).fit(task.train)
+    )
+    booster, rows = _with_early_stop(booster, task.train, task)
+    return booster.fit(rows)
 
 
 CLASSIFIERS: dict[str, Fit] = {
@@ -304,10 +338,17 @@ def compare_regressors(
 class Training:
     classifiers: Comparison
     regressors: Comparison
-    forest: DataFrame
+    detector: iforest.IsolationForestModel
     anomalies: DataFrame
     metadata: dict[str, Any]
 
+    def save(self, path: str) -> None:
+        """The winners, the anomaly model and the metadata that says what they read, in one folder;
+        ``predictor.load_predictor`` takes it from there."""
+        for name, model in (("classifier", self.classifiers.model), ("regressor", self.regressors.model), ("detector", self.detector)):
+            save_model(model, f"{path}/{name}")
+        write_metadata(self.anomalies.sparkSession, self.metadata, f"{path}/metadata")
+
 
 def train_all(
     frame: DataFrame,
@@ -326,8 +367,8 @@ def train_all(
     reg = feature_columns(frame, [*NOT_REGRESSOR_FEATURES, *also_exclude])
     classifiers = compare_classifiers(*stratified_split(frame, RISK, key=key), cls, profile=profile)
     regressors = compare_regressors(*random_split(frame, key=key), reg, profile=profile)
-    forest = iforest.fit(frame, anomaly_features, n_trees=profile.forest_trees, seed=profile.seed)
-    anomalies = iforest.flag(frame, forest, anomaly_features, CONTAMINATION)
+    detector = iforest.fit_model(frame, anomaly_features, profile.forest_trees, profile.seed, CONTAMINATION, key)
+    anomalies = detector.transform(frame)
     metadata = {
         "dataset": DATASET,
         "records": frame.count(),
@@ -343,4 +384,4 @@ def train_all(
         "anomaly_contamination": CONTAMINATION,
         "classes": {str(k): v for k, v in CLASS_NAMES.items()},
     }
-    return Training(classifiers, regressors, forest, anomalies, metadata)
+    return Training(classifiers, regressors, detector, anomalies, metadata)

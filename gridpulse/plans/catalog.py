@@ -15,6 +15,7 @@ from gridpulse.functions import columns as C
 from gridpulse.functions import frames as P
 from gridpulse.operators import fill, iforest, metrics, readings, relational, split, training
 from gridpulse.operators.align import align_feeds
+from gridpulse.operators.predictor import load_predictor, score_upload
 from gridpulse.operators.scoring import score_batch, score_detail
 from gridpulse.plans import standins as S
 from gridpulse.plans.telemetry import telemetry_frame
@@ -983,6 +984,28 @@ def _(spark, folder):
     )
 
 
+@query(
+    "m10_saved_anomaly_model",
+    f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed, true AS some_flagged FROM events WHERE ts >= TIMESTAMP '{HALF}'",
+)
+def _(spark, folder):
+    """Fitted on the first half of the period, saved and loaded again: the second half is flagged alike, by
+    the stored cut."""
+    rows, path = S.readings(spark, folder), scratch_path(spark)
+    half = F.lit(HALF).cast("timestamp")
+    model = iforest.fit_model(rows.filter(F.col(KEY) < half), ISOLATED, key=["event_id"])
+    writers.save_model(model, path)
+    later = rows.filter(F.col(KEY) >= half)
+    before, after = [
+        m.transform(later).select("event_id", F.struct("anomaly_score", "anomaly_flag").alias(c))
+        for m, c in ((model, "a"), (iforest.IsolationForestModel.load(path), "b"))
+    ]
+    return before.join(after, "event_id").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("a") != F.col("b")).alias("n_changed"),
+        (F.count_if(F.col("b.anomaly_flag") == -1) > 0).alias("some_flagged"),
+    )
+
+
 @query(
     "m12_engineer_features",
     f"WITH {S.features_sql()} SELECT {DEVICE}, {TIME}, {', '.join(S.derived_sql())}, CAST(0 AS DOUBLE) AS PFL1, OTI FROM features",
@@ -1023,6 +1046,25 @@ def _(spark, folder):
     )
 
 
+@query(
+    "m13_score_upload",
+    SCORED + f""", totals AS (SELECT count(*) AS total_rows, count(*) FILTER (risk = 0) AS risk_0, count(*) FILTER (risk = 1) AS risk_1,
+        count(*) FILTER (risk = 2) AS risk_2 FROM scored)
+    SELECT CAST(event_id AS DOUBLE) AS event_id, OTI, risk AS Predicted_Fault_Risk, name AS Risk_Status, temperature AS Predicted_OTI_Temp_C, totals.*
+    FROM (SELECT * FROM named ORDER BY event_id LIMIT 20), totals""",
+)
+def _(spark, folder):
+    """The bulk scoring flow over all readings, uploaded as CSV: what its page shows."""
+    upload = scratch_path(spark)
+    text_time(S.readings(spark, folder), fine=True).write.option("header", True).csv(upload)
+    shown = ["event_id", "OTI", "KW", "Predicted_Fault_Risk", "Risk_Status", "Predicted_OTI_Temp_C"]
+    result = score_upload(
+        spark, upload, scratch_path(spark), _rule_classifier(), _rule_regressor(), shown, ["event_id"], needed=SENSORS
+    )
+    totals = result.summary.first()  # one row
+    return result.preview.withColumns({c: F.lit(n) for c, n in totals.asDict().items()})
+
+
 @query(
     "m14_score_detail",
     SCORED + "SELECT event_id, risk AS predicted_risk_level, name AS risk_label, temperature AS predicted_oil_temperature_celsius, "

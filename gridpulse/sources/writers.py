@@ -7,6 +7,7 @@ from datetime import date
 from typing import Any
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def append_idempotent(
     return tally
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: MLWritable, path: str) -> None:
     """S7."""
     model.write().overwrite().save(path)
 

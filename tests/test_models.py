@@ -1,3 +1,4 @@
+import dataclasses
 import math
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from gridpulse.operators import iforest, scoring, split, training
+from gridpulse.operators import iforest, predictor, scoring, split, training
 from gridpulse.operators.metrics import anomaly_rate
 from gridpulse.schema import CLASS_NAMES, RISK
 from gridpulse.sources import writers
@@ -181,3 +182,42 @@ def test_the_whole_training_run(spark, tmp_path):
     assert row.best_regression_model == result.regressors.best
     assert set(row.classification_results) == {"LogisticRegression", "RandomForest", "HistGradientBoosting"}
     assert {r.anomaly_flag for r in result.anomalies.select("anomaly_flag").distinct().collect()} == {-1, 1}
+    result.save(str(tmp_path / "run"))
+    loaded = predictor.load_predictor(spark, str(tmp_path / "run"))
+    assert loaded.names == CLASS_NAMES and set(result.classifiers.features) <= set(loaded.needed)
+    direct = scoring.score_batch(frame, result.classifiers.model, result.regressors.model, nulls="zero")
+    key = ["transformer_id", "DeviceTimeStamp"]
+    columns = [*key, "Predicted_Fault_Risk", "Predicted_OTI_Temp_C"]
+    assert direct.select(columns).exceptAll(loaded.score(frame, nulls="zero").select(columns)).isEmpty()
+    flags = [*key, "anomaly_flag"]
+    assert result.anomalies.select(flags).exceptAll(loaded.anomalies(frame).select(flags)).isEmpty()
+
+
+def test_saved_anomaly_model_flags_a_stream(spark, tmp_path):
+    rows = spark.range(3000).select("id", F.randn(1).alias("x"), F.when(F.col("id") < 20, 50.0).otherwise(F.randn(2)).alias("y"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    model = iforest.fit_model(stored, ["x", "y"], n_trees=20, key=["id"])
+    PipelineModel([model]).write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "rows"))
+    out = loaded.transform(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).exceptAll(model.transform(stored)).isEmpty()
+    assert model.transform(stored).filter("id < 20 AND anomaly_flag = 1").isEmpty()
+    # One row alone is judged by the cut of the training rows, not by itself.
+    assert model.transform(stored.filter("id = 100")).first().anomaly_flag == 1
+    nothing = iforest.fit_model(stored.limit(0), ["x", "y"], n_trees=2)
+    assert nothing.transform(stored.limit(3)).filter("anomaly_flag = -1").isEmpty()
+
+
+def test_boosting_stops_early(frame):
+    profile = dataclasses.replace(TINY, rounds=40, early_stop_rows=1000)
+    noise = frame.withColumn("heat", F.rand(5))
+    sides = split.random_split(noise, key=["id"])
+    boosted = {"HistGradientBoosting": training.fit_boosted_regressor}
+    rounds = [
+        training.boosting_rounds(training.compare_regressors(*sides, FEATURES, label="heat", profile=p, candidates=boosted).model)
+        for p in (profile, dataclasses.replace(profile, early_stop_rows=10_000, rounds=6))
+    ]
+    assert len(rounds[0]) == 1 and rounds[0][0] < 40 and rounds[1] == [6]
