@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -339,6 +339,13 @@ def _rule_classifier(rules=S.RULES) -> SQLTransformer:
     )
 
 
+def _graded_classifier() -> PipelineModel:
+    """The rules, with shares that follow the oil temperature as probabilities."""
+    shares = SQLTransformer(statement="SELECT *, OTI / 1000 AS _p0, 1 - OTI / 1000 AS _p1, CAST(0 AS DOUBLE) AS _p2 FROM __THIS__")
+    vector = VectorAssembler(inputCols=["_p0", "_p1", "_p2"], outputCol=training.RISK_PROBABILITY)
+    return PipelineModel([_rule_classifier(), shares, vector])
+
+
 def _rule_regressor() -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, WTI / 4 + ATI AS {training.TEMPERATURE_PREDICTION} FROM __THIS__")
 
@@ -1068,11 +1075,12 @@ def _(spark, folder):
 @query(
     "m14_score_detail",
     SCORED + "SELECT event_id, risk AS predicted_risk_level, name AS risk_label, temperature AS predicted_oil_temperature_celsius, "
-    "status AS safety_status, CAST(0 AS DOUBLE) AS p_normal FROM named",
+    "status AS safety_status, round_even(OTI / 1000, 4) AS p_normal, round_even(1 - OTI / 1000, 4) AS p_warning, CAST(0 AS DOUBLE) AS p_critical FROM named",
 )
 def _(spark, folder):
-    detail = score_detail(S.readings(spark, folder), _rule_classifier(), _rule_regressor(), needed=SENSORS, keep=["event_id"])
-    return detail.withColumn("p_normal", F.col("probabilities.Normal")).drop("probabilities")
+    detail = score_detail(S.readings(spark, folder), _graded_classifier(), _rule_regressor(), needed=SENSORS, keep=["event_id"])
+    names = {"p_normal": "Normal", "p_warning": "Warning", "p_critical": "Critical_Alarm"}
+    return detail.withColumns({c: F.col(f"probabilities.{n}") for c, n in names.items()}).drop("probabilities")
 
 
 @query("m15_actual_vs_predicted", PREDICTIONS + "SELECT OTI AS actual, guess AS predicted FROM predictions")
