@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,17 @@ def test_sources_turn_nan_into_null(spark, tmp_path):
     assert stored.first().OTI is None and sent.first().OTI is None and sent.first().OLI == 30
     risk = rows.select(columns.warning_condition(RiskRules()).alias("w"))  # even where nothing cleaned the rows
     assert not risk.first().w
+
+
+def test_appends_leave_no_staging_behind(spark, tmp_path):
+    from gridpulse.session import scratch_path
+
+    path, folder = str(tmp_path / "table"), Path(scratch_path(spark).removeprefix("file:")).parent
+    before = set(folder.iterdir())
+    for d in range(4):
+        writers.append_idempotent(stamped(spark, [("a", 24 * d, d), ("a", 0, 9)]), path, order=("n",))
+    assert set(folder.iterdir()) == before
+    day = START.date() + dt.timedelta(days=1)
+    files = writers.readings_of_days(spark, path, [day, dt.date(1999, 1, 1)]).inputFiles()
+    assert files and all(f"{writers.DATE_PARTITION}={day}/" in f for f in files)
+    assert writers.readings_of_days(spark, path, [dt.date(1999, 1, 1)]) is None
