@@ -1,22 +1,25 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine (9).
 
 Examples: up to ``examples`` labelled documents of each class that are not held out (those with the
-smallest hash of their id), whole texts. Terms: the words of the examples that tell the classes apart
-best (chi-square of presence, from at least ``MIN_DOCS`` of them), ``TERMS`` at most. A term's document
-frequency is counted over all documents; a weight is (1 + ln tf) ln((1 + N) / (1 + df)), and vectors have
-length 1.
+smallest hash of their id), whole texts. Terms: all words of the examples. A term's document frequency
+is counted over all documents; a weight is (1 + ln tf) ln((1 + N) / (1 + df)), and vectors have length 1.
+The words of a query that no example has are part of its length too, with their frequencies among the
+documents scored.
 
 The index keeps, per term, its postings in blocks of ``BLOCK`` examples, and the largest weight of each
-block. A query adds up those maxima over its terms, which bounds its cosine with every example of a
-block, then scores blocks from the largest bound down and stops where no bound reaches the k-th best
-cosine found. So the neighbours are exact; ties go to the smaller example id.
+block. The ``COMMON`` terms with the most postings also are columns of a table of weights. A query first
+adds up the short postings of its other terms. To an example's sum it adds a bound of the common terms'
+share: the block's maxima of them, or the product of both lengths in them (Cauchy-Schwarz), whichever is
+smaller. The most promising examples are scored in full, then all whose bound reaches the k-th best
+cosine among those. So the neighbours are exact; ties go to the smaller example id.
 
 The neighbours vote with their cosines as weights, pulled towards the share of the class; two
 numbers, fitted on the examples themselves (each without itself) and weighted to the labels' true
 shares, turn a vote into a probability. Neighbours and cosines are returned as evidence.
 
 The model is fitted in one task on the bounded sample, counts in a narrow pass over all documents, and
-scores in another; only counts of terms are shuffled.
+scores in another. Shuffled are counts of terms, and (row, word) pairs of the words that no example has;
+as the examples are drawn by a hash, such a word is rare, and no task gets many rows for one.
 
 Defined results: texts without a known term (null and empty ones too) have no neighbours and the score
 of the bare share. Without labels all score 0. Repeated rows are scored each.
@@ -29,14 +32,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import fit_in_one_task, is_held_out, labelled_sample
+from gridpulse.llm.common import Scratch, fit_in_one_task, is_held_out, labelled_sample
 from gridpulse.llm.textbytes import column_words
 
-EXAMPLES, TERMS, MIN_DOCS = 2000, 200, 8
-BLOCK, NEIGHBOURS, PULL = 64, 15, 0.5
+EXAMPLES = 2000
+BLOCK, COMMON, NEIGHBOURS, PULL = 64, 128, 15, 0.5
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 
@@ -75,23 +78,8 @@ def _collect(rows: pa.Table) -> Examples:
     ids, y = rows["id"].to_numpy(), rows["y"].to_numpy().astype(np.int64)
     order = sorted(range(len(ids)), key=lambda d: (ids[d], terms[d].tobytes(), counts[d].tobytes()))
     ids, y, terms, counts = ids[order], y[order], [terms[d] for d in order], [counts[d] for d in order]
-    every = np.concatenate(terms)
-    label = np.repeat(y, [len(t) for t in terms])
-    names, which = np.unique(every, return_inverse=True)
-    one, both = np.bincount(which, label, len(names)), np.bincount(which, minlength=len(names))
-    n1, n = y.sum(), len(y)
-    # Chi-square of a term's presence against the class.
-    expected = both * n1 / n
-    rest = np.maximum(both * (1 - both / n) * (n1 / n) * (1 - n1 / n), 1e-12)
-    apart = np.where(both >= min(MIN_DOCS, n), (one - expected) ** 2 / rest, -1.0)
-    chosen = np.sort(np.lexsort((names, -apart))[:TERMS])
-    chosen = chosen[apart[chosen] >= 0]
-    vocabulary = names[chosen]
-    kept = []
-    for t, c in zip(terms, counts, strict=True):
-        at, found = _places(vocabulary, t)
-        kept.append((at, c[found]))
-    return Examples(ids, y, vocabulary, kept)
+    vocabulary = np.unique(np.concatenate(terms))
+    return Examples(ids, y, vocabulary, [(np.searchsorted(vocabulary, t), c) for t, c in zip(terms, counts, strict=True)])
 
 
 def _places(vocabulary: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,59 +127,65 @@ class Index:
     posting_of: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # (term, block) -> first posting
     example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    block_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each example
+    column: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of a common term, or -1
+    common: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # weights of each common term in all examples
+    length: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each example in its common terms
     slope: float = 1.0
     shift: float = 0.0
 
+    def weights(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[places]
+
     def vector(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[places]
+        w = self.weights(places, counts)
         some = w > 0
         places, w = places[some], w[some]
         return places, w / np.sqrt((w * w).sum()) if len(w) else w
 
     def nearest(self, places: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0, nearest first, and their cosines."""
+        n_examples, frequent = len(self.ids), self.column[places] >= 0
+        rest, q = places[~frequent], weights[~frequent]
+        start = self.posting_of[self.pair_of[rest]]
+        size = self.posting_of[self.pair_of[rest + 1]] - start
+        postings = _ranges(start, size)
+        total = np.bincount(self.example[postings], self.weight[postings] * np.repeat(q, size), n_examples)
+        places, weights = places[frequent], weights[frequent]
         first, n = self.pair_of[places], self.pair_of[places + 1] - self.pair_of[places]
         pairs = _ranges(first, n)
-        if not len(pairs):
-            return np.zeros(0, np.int64), np.zeros(0)
-        q = np.repeat(weights, n)
-        block = self.block[pairs]
-        bound = np.bincount(block, self.highest[pairs] * q)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        wanted = np.zeros(len(bound), bool)
-        while at < len(order):
+        highest = np.bincount(self.block[pairs], self.highest[pairs] * np.repeat(weights, n), self.block_of.max(initial=-1) + 1)
+        bound = total + np.minimum(highest[self.block_of], np.sqrt((weights * weights).sum()) * self.length)
+        if 0 <= but:
+            bound[but] = 0.0
+        columns = self.column[places]
+
+        def cosines(of: np.ndarray) -> np.ndarray:
+            # Summed term by term, so that equal examples get equal cosines.
+            if 4 * len(of) > n_examples:
+                return (total + (self.common[columns] * weights[:, None]).sum(0))[of]
+            return total[of] + (self.common[columns[:, None], of] * weights[:, None]).sum(0)
+
+        found = np.flatnonzero(bound > 0)
+        if len(found) > 4 * k:
+            likely = found[np.argpartition(-bound[found], 4 * k)[: 4 * k]]
+            least = np.partition(cosines(likely), -k)[-k]
             # A bound is a sum in another order than a cosine, so it gets some room.
-            if len(cosine) >= k and bound[order[at]] < cosine[k - 1] - 1e-9:
-                break
-            wanted[:] = False
-            wanted[order[at : at + step]] = True
-            own = wanted[block]
-            start = self.posting_of[pairs[own]]
-            size = self.posting_of[pairs[own] + 1] - start
-            postings = _ranges(start, size)
-            # All weights are above 0, so the examples of these blocks that share a term have a sum above 0.
-            total = np.bincount(self.example[postings], self.weight[postings] * np.repeat(q[own], size))
-            who = np.flatnonzero(total)
-            who = who[who != but]
-            found, cosine = np.concatenate([found, who]), np.concatenate([cosine, total[who]])
-            if len(cosine) > k:  # those below the k-th best need no sorting; ties with it stay
-                near = cosine >= np.partition(cosine, -k)[-k]
-                found, cosine = found[near], cosine[near]
-            best = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[best], cosine[best]
-            at, step = at + step, step * 2
-        return found, cosine
+            found = found[bound[found] >= least - 1e-9]
+        cosine = cosines(found)
+        some = cosine > 0
+        found, cosine = found[some], cosine[some]
+        best = np.lexsort((found, -cosine))[:k]
+        return found[best], cosine[best]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray, share: float) -> float:
         return (float((cosine * self.y[found]).sum()) + PULL * share) / (float(cosine.sum()) + PULL)
 
-    def probability(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        if not len(found):
-            return self.prior
-        v = min(max(self.vote(found, cosine, self.y.mean()), 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
+    def probability(self, toxic: Column, total: Column) -> Column:
+        """From the sums of the cosines of toxic neighbours and of all; without neighbours the prior."""
+        v = (toxic + PULL * (float(self.y.mean()) if len(self.y) else 0.0)) / (total + PULL)
+        v = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), v))
+        return F.when(total > 0, 1 / (1 + F.exp(-(self.slope * F.log(v / (1 - v)) + self.shift)))).otherwise(self.prior)
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -221,6 +215,15 @@ def build_index(examples: Examples, n_docs: int, frequencies: np.ndarray, prior:
     index.highest = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
     index.posting_of = np.append(start, len(key))
     index.pair_of = np.searchsorted(term[start], np.arange(len(examples.terms) + 1))
+    index.block_of = place // BLOCK
+    held = np.bincount(term, minlength=len(examples.terms))
+    common = np.argsort(-held, kind="stable")[:COMMON]
+    index.column = np.full(len(examples.terms), -1)
+    index.column[common] = np.arange(len(common))
+    index.common = np.zeros((len(common), len(top)))
+    own = index.column[term] >= 0
+    index.common[index.column[term[own]], example[own]] = weight[own]
+    index.length = np.sqrt((index.common * index.common).sum(0))
     # Two numbers turn votes into probabilities: logistic regression by Newton steps.
     votes = np.array([index.vote(*index.nearest(p, w, but=d), examples.y.mean()) for d, (p, w) in enumerate(vectors)])
     votes = np.clip(votes, 1e-6, 1 - 1e-6)
@@ -250,6 +253,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     return build_index(chosen, n_docs, frequencies, float(share or 0.0))
 
 
+def _other_squares(found: DataFrame) -> DataFrame:
+    """Per ``row`` the sum of the squared weights of its words that no example has."""
+    words = found.select("row", F.inline(F.arrays_zip("words", "counts"))).toDF("row", "word", "n")
+    idf = words.groupBy("word").agg(F.log(F.lit(1.0 + found.count()) / (1 + F.count("*"))).alias("idf"))
+    weight = (1 + F.log("n")) * F.col("idf")
+    # A sum of decimals is the same in any order.
+    squares = words.join(idf, "word").groupBy("row").agg(F.sum((weight * weight).cast("decimal(38,15)")).cast("double").alias("squares"))
+    return squares.withColumnRenamed("row", "_row")
+
+
 def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row its id, ``score`` and the evidence: ``neighbours`` (ids of examples) and ``cosines``."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -257,24 +270,32 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Index = shared.value
         for batch in batches:
-            scores = np.full(batch.num_rows, model.prior)
-            near: list[list[int]] = [[] for _ in scores]
-            cosines: list[list[float]] = [[] for _ in scores]
-            for i, j, words, bounds in column_words(batch.column(1)):
-                at, found = _places(model.terms, words)
-                doc = np.searchsorted(bounds, np.flatnonzero(found), "right") - 1
-                key, counts = np.unique(doc * len(model.terms) + at, return_counts=True)
-                doc, at = np.divmod(key, max(1, len(model.terms)))
-                part = np.searchsorted(doc, np.arange(j - i + 1))
-                for k in np.flatnonzero(np.diff(part)):
-                    a, b = part[k], part[k + 1]
-                    who, cosine = model.nearest(*model.vector(at[a:b], counts[a:b]))
-                    scores[i + k] = model.probability(who, cosine)
-                    near[i + k], cosines[i + k] = model.ids[who].tolist(), cosine.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],
-                [id_column, "score", "neighbours", "cosines"],
-            )
+            n = batch.num_rows
+            near, dots, toxic, words, counts = ([[] for _ in range(n)] for _ in range(5))
+            known = np.zeros(n)
+            for k, w, c in term_counts(batch.column(1)):
+                at, found = _places(model.terms, w)
+                words[k], counts[k] = w[~found].view(np.int64), c[~found]
+                weights = model.weights(at, c[found])
+                known[k] = (weights * weights).sum()
+                if known[k] > 0:
+                    some = weights > 0
+                    who, dots[k] = model.nearest(at[some], weights[some])
+                    near[k], toxic[k] = model.ids[who], model.y[who]
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((near, pa.int64()), (dots, pa.float64()), (toxic, pa.int64()), (words, pa.int64()), (counts, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), *lists], ["id", "known", "near", "dots", "toxic", "words", "counts"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, score double, neighbours array<bigint>, cosines array<double>")
+    found = docs.select(id_column, text_column).mapInArrow(
+        run, f"id {kind}, known double, near array<bigint>, dots array<double>, toxic array<bigint>, words array<bigint>, counts array<bigint>"
+    )
+    # Rows are numbered and written before anything is joined by their numbers.
+    found = Scratch(docs.sparkSession).table(found.withColumn("row", F.monotonically_increasing_id()))
+    whole = found.join(_other_squares(found), F.col("row") == F.col("_row"), "left")
+    length = F.sqrt(F.col("known") + F.coalesce("squares", F.lit(0.0)))
+    whole = whole.withColumn("length", length).select(
+        "id", "near", "toxic", F.transform("dots", lambda d: d / F.col("length")).alias("cosines")
+    )
+    total = F.aggregate("cosines", F.lit(0.0), lambda t, c: t + c)
+    toxic = F.aggregate(F.zip_with("cosines", "toxic", lambda c, y: c * y), F.lit(0.0), lambda t, c: t + c)
+    return whole.select(F.col("id").alias(id_column), index.probability(toxic, total).alias("score"), F.col("near").alias("neighbours"), "cosines")

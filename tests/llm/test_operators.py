@@ -224,6 +224,30 @@ def test_toxicity_neighbours_are_exact(spark):
     assert {r.score for r in toxicity.score(frame, none).collect()} == {0.0}
 
 
+def test_toxicity_cosines_are_of_whole_texts(spark):
+    # Far more than 200 words, each in few examples; some that no example has.
+    random = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 900, 40)) + f" own{k} and" for k in range(120)]
+    texts[-1] = texts[0].replace("and", "or else")
+    frame = docs(spark, list(enumerate(texts)) + [(500, None), (501, "alone"), (120, texts[3]), (120, texts[3])])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(100)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(frame, labels)
+    rows = frame.select("doc_id", "text").collect()
+    words = {r.text or "": (r.text or "").split() for r in rows}
+    df = {w: sum(w in words[r.text or ""] for r in rows) for t in words.values() for w in t}
+
+    def vector(text):
+        v = {w: (1 + np.log(words[text].count(w))) * np.log((1 + len(rows)) / (1 + df[w])) for w in set(words[text])}
+        return v, np.sqrt(sum(x * x for x in v.values()))
+
+    examples = {int(k): vector(texts[k]) for k in index.ids}
+    for r in toxicity.score(frame.repartition(3), index).join(frame.select("doc_id", "text").distinct(), "doc_id").collect():
+        v, length = vector(r.text or "")
+        want = {k: sum(x * e.get(w, 0) for w, x in v.items()) / length / n for k, (e, n) in examples.items()} if length else {}
+        best = sorted((c for c in want.values() if c > 1e-12), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose(r.cosines, best) and np.allclose([want[k] for k in r.neighbours], best)
+
+
 # 6
 
 
