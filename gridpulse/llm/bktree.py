@@ -220,7 +220,8 @@ def near_pairs(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, shar
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, words: int = WORDS
 ) -> DataFrame:
-    """Per row its id, ``text_hash``, ``fp`` and ``component_id``, the smallest id among all that links reach."""
+    """Per row its id, ``text_hash``, ``fp``, ``component_id``, the smallest id among all that links reach, and
+    ``component``, the smallest fingerprint among them."""
     scratch = Scratch(docs.sparkSession)
     marked = scratch.table(fingerprints(docs, id_column, text_column, words))
     first = scratch.table(marked.groupBy("fp").agg(F.min(id_column).alias("first")))
@@ -228,8 +229,8 @@ def near_duplicates(
     member = first.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     member = member.select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_column, "text_hash", "fp", "component_id")
+    named = member.join(least, "component").select("fp", "component_id", "component")
+    return marked.join(named, "fp").select(id_column, "text_hash", "fp", "component_id", "component")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -238,8 +239,8 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     scratch = Scratch(docs.sparkSession)
     marked = scratch.table(near_duplicates(docs, id_column, text_column, radius))
     key = F.struct(F.col(id_column).alias("id"), F.col("text_hash").alias("hash"))
-    # Groups are told apart by a fingerprint in them as well, as all their ids may be null.
-    chosen = marked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min(key).alias("key"))
+    # By the component itself: its smallest id may be null, or stand on rows of another component too.
+    chosen = marked.groupBy("component").agg(F.min(key).alias("key"))
     chosen = scratch.table(chosen.select("key.*").distinct())
     same = (marked[id_column].eqNullSafe(chosen["id"])) & (marked["text_hash"] == chosen["hash"])
     repeated = marked.join(chosen, same, "left_semi").groupBy(id_column, "text_hash").count().filter("count > 1")

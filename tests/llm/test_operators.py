@@ -294,6 +294,8 @@ def test_one_of_each_group_stays(spark):
     same([(r.doc_id,) for r in kept.select("doc_id").collect()], [(1,), (2,), (4,), (5,), (7,), (None,)])
     twins = docs(spark, [(6, "a b c d e"), (6, "a b c d e")])
     assert bktree.keep_first(twins).count() == 1
+    shared = docs(spark, [(6, "a b c d e"), (6, LONG), (8, LONG)])
+    same([(r.doc_id, r.text) for r in bktree.keep_first(shared).collect()], [(6, "a b c d e"), (6, LONG)])
     assert bktree.keep_first(docs(spark).limit(0)).count() == 0
 
 
