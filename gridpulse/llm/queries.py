@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bktree, bpe, chat, linededup, quality, rpforest, secrets, shards, suffixes, toxicity
+from gridpulse.llm import bktree, bpe, chat, linededup, quality, rpforest, secrets, shards, suffixes, suffixtree, toxicity
 from gridpulse.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +209,11 @@ def op10_two_tier_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     docs = table(spark, folder, "documents")
     return token_digests(bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN))
+
+
+@query()
+def op12_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document."""
+    scored = suffixtree.log_probabilities(table(spark, folder, "documents"))
+    held_out = is_held_out(suffixtree.FOLDS, suffixtree.HELD_OUT).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

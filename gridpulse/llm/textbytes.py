@@ -27,9 +27,16 @@ ALNUM[0x41:0x5B] = np.arange(0x61, 0x7B)
 ALNUM[0x61:0x7B] = np.arange(0x61, 0x7B)
 ALNUM[0x80:] = np.arange(0x80, 0x100)
 
-# All but white space, as it is written.
+# All but white space, as it is written. A class is not the byte itself: byte 0 is a word byte too, and
+# takes the class that the blank leaves free.
+BLANKS = [0x20, *range(0x09, 0x0E)]
 SOLID = np.arange(256).astype(np.uint8)
-SOLID[[0x00, 0x20, *range(0x09, 0x0E)]] = 0
+SOLID[0x00] = 0x20
+SOLID[BLANKS] = 0
+
+# The same with A-Z as a-z.
+SOLID_LOWER = SOLID.copy()
+SOLID_LOWER[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
