@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bktree, bpe, chat, linededup, quality, rpforest, secrets, shards, suffixes, suffixtree, toxicity
+from gridpulse.llm import bktree, bpe, chat, linededup, quality, resample, rpforest, secrets, shards, suffixes, suffixtree, toxicity
 from gridpulse.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,3 +217,34 @@ def op12_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
     scored = suffixtree.log_probabilities(table(spark, folder, "documents"))
     held_out = is_held_out(suffixtree.FOLDS, suffixtree.HELD_OUT).alias("held_out")
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS x FROM d), bw AS (SELECT unnest(w) AS x FROM b),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+words AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
+bucket AS (SELECT x, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+        lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1])), 4294967295) % 10000 AS k FROM words, crc),
+s AS (SELECT k, count(*) AS n FROM dw JOIN bucket USING (x) GROUP BY 1), t AS (SELECT k, count(*) AS n FROM bw JOIN bucket USING (x) GROUP BY 1),
+sizes AS (SELECT CAST((SELECT count(*) FROM dw) AS DOUBLE) AS s, CAST((SELECT count(*) FROM bw) AS DOUBLE) AS t),
+gain AS (SELECT x, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1) * (sizes.s + 10000)) / ((coalesce(s.n, 0) + 1) * (sizes.t + 10000)))) AS BIGINT) AS g
+         FROM bucket LEFT JOIN s USING (k) LEFT JOIN t USING (k), sizes),
+sums AS (SELECT doc_id, count(*) AS n, sum(g) AS g FROM dw JOIN gain USING (x) GROUP BY 1),
+scored AS (SELECT d.doc_id, coalesce(n, 0) AS n, CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+           CAST('0x' || substr(sha256('2024:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN sums USING (doc_id)),
+told AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS r FROM told)
+SELECT doc_id, n AS n_features, weight, score,
+       CASE WHEN n >= 20 AND r <= (SELECT count(*) FROM told WHERE n >= 20) * 10 // 100 THEN r END AS rank FROM ranked
+"""
+
+
+@query(OP13_SQL)
+def op13_radix_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark, and the rank of those drawn."""
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
