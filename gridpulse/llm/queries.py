@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bktree, bpe, chat, linededup, quality, resample, rpforest, secrets, shards, suffixes, suffixtree, toxicity
+from gridpulse.llm import bktree, bpe, chat, linededup, quality, resample, rpforest, runs, secrets, shards, suffixes, suffixtree, toxicity
 from gridpulse.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,17 +219,72 @@ def op12_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-OP13_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text in SQL; reads ``t``, the table of 256 numbers that ``CRC_TABLE`` makes."""
+    n = f"len(hex(encode({text}))) // 2"
+    octets = f"list_transform(range(0, {n}), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1])), 4294967295)"
+
+
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc),
+k AS (SELECT doc_id, w, h, h // 10 AS g, len(w) AS n FROM d),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM k),
+e AS (SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS x FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+same AS (SELECT b.doc_id, a.i, b.i - a.i AS q FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+told AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS sha FROM runs GROUP BY 1),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  coalesce(sha, sha256('')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, told by the checksum of the id, with a periodic end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.filter(h % 10 == 0).select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    a = F.try_mod(F.col("g"), n).cast("int")
+    some = some.select("doc_id", "w", n.alias("n"), a.alias("a"), (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    root = F.slice("w", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    whole = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(F.array_repeat(root, times)), F.lit(1), F.col("n") - F.col("a")))
+    made = some.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise("").alias("text"))
+    return docs.filter(h % 10 != 0).select("doc_id", "text").unionAll(made)
+
+
+@query(OP11_SQL)
+def op11_pattern_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words in every document, a tenth of which have a planted one."""
+    found = runs.periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    found = found.withColumn("best", runs.longest())
+    start, length, period = (F.col(f"best.{c}") for c in ("start", "length", "period"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start, length, period, F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(runs.written(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS x FROM d), bw AS (SELECT unnest(w) AS x FROM b),
-crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
-        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
-words AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM bw)),
-bucket AS (SELECT x, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
-        lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1])), 4294967295) % 10000 AS k FROM words, crc),
+words AS (SELECT x FROM dw UNION SELECT x FROM bw),
+bucket AS (SELECT x, {_crc_sql("x")} % 10000 AS k FROM words, crc),
 s AS (SELECT k, count(*) AS n FROM dw JOIN bucket USING (x) GROUP BY 1), t AS (SELECT k, count(*) AS n FROM bw JOIN bucket USING (x) GROUP BY 1),
 sizes AS (SELECT CAST((SELECT count(*) FROM dw) AS DOUBLE) AS s, CAST((SELECT count(*) FROM bw) AS DOUBLE) AS t),
 gain AS (SELECT x, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1) * (sizes.s + 10000)) / ((coalesce(s.n, 0) + 1) * (sizes.t + 10000)))) AS BIGINT) AS g
