@@ -4,16 +4,18 @@ A state of the tree is a context, the last k words before a token (k up to ``dep
 a context of length k + 1 is a candidate if its count in the training rows reaches ``least_count`` and
 the share ``least_share`` of all training tokens, so a level has 1 / ``least_share`` candidates at most,
 however large the corpus is; their next-symbol distributions are over all words and grow with it. A
-candidate is retained if the divergence of its next-symbol distribution from that of its parent (the
-context without its oldest word), times its count, exceeds ``COST`` nats for each different word that
-follows it, or if a longer retained context ends with it. Distributions are smoothed towards the parent's
-(Witten and Bell): P(w | s) = (n(s, w) + t(s) P(w | parent)) / (n(s) + t(s)), where t(s) counts the
-different words after s. The root has (c + 1/2) / (N + (V + 1) / 2). A token is scored in the longest
+candidate is retained if its next-symbol distribution diverges from that of its parent (the context
+without its oldest word): if the tokens after it, each predicted from all the others, gain ``GAIN`` nats
+in sum over the parent's distribution; or if a longer retained context ends with it. (The plain divergence
+of counts would keep nearly all rare contexts, whose followers are mostly seen once.) Distributions are
+smoothed towards the parent's (Witten and Bell): P(w | s) = (n(s, w) + t(s) P(w | parent)) / (n(s) + t(s)),
+where t(s) counts the different words after s. The root has (c + 1/2) / (N + (V + 1) / 2). A token is scored in the longest
 retained context before it; contexts do not reach across the start of a text.
 
 Counts are taken block by block (some two million tokens), each task adding up equal (context, word)
-pairs first, and are dealt by the hash of the word, packed as arrays. A part thus has a word's counts in
-all contexts, from the root down. Only the candidates (with totals) reach the driver and are sent to all
+pairs first, and are dealt by the hash of the word, packed as arrays that equal words stand together in.
+A part thus has a word's counts in all contexts, from the root down; each pair's count is written beside
+that of the parent, for the tests. Only the candidates (with totals) reach the driver and are sent to all
 tasks; their number is bounded as said. Words above ``HOT_SHARE`` are dealt by the word before them too.
 To score, a pair that is itself frequent is looked up where its text is; the others go to the part of
 their word, together with the place of their document in its block, and come back as one sum for each
@@ -26,8 +28,9 @@ as empty text would be. Other columns are not read. Words are compared by 64-bit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from gridpulse.llm.common import Scratch, is_held_out
-from gridpulse.llm.textbytes import SOLID_LOWER, column_words
+from gridpulse.llm.textbytes import SOLID_LOWER, column_words, groups, text_bytes
 
-DEPTH, LEAST_COUNT, LEAST_SHARE, COST = 2, 8, 2e-6, 1.0
+DEPTH, LEAST_COUNT, LEAST_SHARE, GAIN = 2, 8, 2e-6, 4.0
 HOT_SHARE = 1e-3
 BLOCK_TOKENS = 2_000_000
 FOLDS, HELD_OUT = 5, 1
@@ -179,21 +182,23 @@ def _block(batches: list[pa.RecordBatch]) -> Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    limit = 6 * BLOCK_TOKENS  # a token has some six bytes
     held, size = [], 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.nbytes
-        if size >= 6 * BLOCK_TOKENS:  # a token has some six bytes
-            yield _block(held)
-            held, size = [], 0
+        offsets = text_bytes(batch.column("text"))[1]
+        for i, j in groups(offsets, limit):
+            if held and size + offsets[j] - offsets[i] > limit:
+                yield _block(held)
+                held, size = [], 0
+            held.append(batch.slice(i, j - i))
+            size += int(offsets[j] - offsets[i])
     if held:
         yield _block(held)
 
 
 def _lists(part: np.ndarray, columns: dict[str, np.ndarray], schema: pa.Schema, **same: object) -> pa.RecordBatch:
     """One row for each part, with its share of every column as a list; ``same`` values go to all rows."""
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((columns["context"], columns["word"], part))
     names, start = np.unique(part[order], return_index=True)
     offsets = pa.array(np.append(start, len(part)), pa.int32())
     out = []
@@ -218,17 +223,17 @@ def _pairs(table: pa.Table) -> Pairs:
     return Pairs(_flat(table, "context").astype(np.int64), _flat(table, "word").view(np.uint64), _flat(table, "n"))
 
 
-PAIRS = "part int, context array<int>, word array<bigint>, n array<bigint>"
-PAIRS_ARROW = pa.schema([("part", pa.int32()), ("context", pa.list_(pa.int32())), ("word", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+PAIRS = "part int, context array<int>, word array<bigint>, n array<bigint>, up array<bigint>"
+PAIRS_ARROW = pa.schema([("part", pa.int32()), *[(c, pa.list_(t)) for c, t in (("context", pa.int32()), ("word", pa.int64()), ("n", pa.int64()), ("up", pa.int64()))]])
 
 
-def _row(part: object, pairs: Pairs) -> pa.Table:
-    columns = {"context": pairs.context, "word": pairs.word.view(np.int64), "n": pairs.n}
-    return pa.Table.from_batches([_lists(np.full(len(pairs.n), part), columns, PAIRS_ARROW)], PAIRS_ARROW)
+def _columns(pairs: Pairs, up: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    return {"context": pairs.context, "word": pairs.word.view(np.int64), "n": pairs.n, "up": pairs.n if up is None else up}
 
 
-def count_pairs(texts: DataFrame, tree: Tree, level: int) -> DataFrame:
-    """Counts of (context of length ``level``, word) in all training rows: one row a part."""
+def count_pairs(texts: DataFrame, tree: Tree, level: int, before: DataFrame | None) -> DataFrame:
+    """Counts of (context of length ``level``, word) in all training rows: one row a part, with the counts
+    ``up`` of (the context's parent, word), which the table ``before`` of the level before has."""
     shared = texts.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +243,25 @@ def count_pairs(texts: DataFrame, tree: Tree, level: int) -> DataFrame:
             some = np.flatnonzero(state >= 0)
             found = summed(state[some], block.tokens[some], np.ones(len(some), np.int64))
             last = model.contexts[level].last[found.context] if level else np.full(len(found.n), -1)
-            columns = {"context": found.context, "word": found.word.view(np.int64), "n": found.n}
-            yield _lists(model.part(found.word, last), columns, PAIRS_ARROW)
+            yield _lists(model.part(found.word, last), _columns(found), PAIRS_ARROW)
+
+    def add_beside(key: tuple, table: pa.Table, parents: pa.Table | None) -> pa.Table:
+        model, at = shared.value, _pairs(table)
+        at, up = summed(at.context, at.word, at.n), None
+        if parents is not None and len(at.n):
+            parent = model.contexts[level].parent[at.context]
+            up = _pairs(parents).counts(parent, at.word)
+            if level == 1:  # a hot word's own count may be in another part
+                up = np.maximum(up, model.pairs[0].counts(parent, at.word))
+        return pa.Table.from_batches([_lists(np.full(len(at.n), key[0].as_py()), _columns(at, up), PAIRS_ARROW)], PAIRS_ARROW)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        at = _pairs(table)
-        return _row(key[0].as_py(), summed(at.context, at.word, at.n))
+        return add_beside(key, table, None)
 
-    return texts.select("text").mapInArrow(run, PAIRS).groupBy("part").applyInArrow(add, PAIRS)
+    dealt = texts.select("text").mapInArrow(run, PAIRS).groupBy("part")
+    if before is None:
+        return dealt.applyInArrow(add, PAIRS)
+    return dealt.cogroup(before.groupBy("part")).applyInArrow(add_beside, PAIRS)
 
 
 def frequent(counted: DataFrame, least: int) -> Pairs:
@@ -273,35 +289,40 @@ def _next_level(tree: Tree, level: int) -> Contexts:
     return Contexts(pairs.n, np.zeros(len(pairs.n), np.int64), parent, last, np.zeros(len(pairs.n), bool))
 
 
-def _divergences(counted: DataFrame, before: DataFrame, tree: Tree, level: int) -> None:
-    """Fill in the different words after each context of a level, and which are to be retained."""
-    context = tree.contexts[level]
-    shared = counted.sparkSession.sparkContext.broadcast(tree)
+def _by_context(counted: DataFrame, many: int, value: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Sum of ``value`` of all pairs of each context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(many)
+        for batch in batches:
+            context = batch.column("context").flatten().to_numpy()
+            total += np.bincount(context, value(batch), many)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["context", "value"])
 
-    def run(key: tuple, own: pa.Table, parents: pa.Table) -> pa.Table:
-        model: Tree = shared.value
-        here, up = _pairs(own), _pairs(parents)
-        parent = model.contexts[level].parent[here.context]
-        n = up.counts(parent, here.word)
-        if level == 1:  # a hot word's own count may be in another part
-            n = np.maximum(n, model.pairs[0].counts(parent, here.word))
-        many = len(model.contexts[level].n)
-        told = np.bincount(here.context, here.n * np.log(here.n / np.maximum(n, 1)), many)
-        kinds = np.bincount(here.context, minlength=many)
-        some = np.flatnonzero(kinds)
-        return pa.table({"context": pa.array(some), "told": pa.array(told[some]), "kinds": pa.array(kinds[some])})
-
-    parts = counted.groupBy("part").cogroup(before.groupBy("part"))
-    rows = parts.applyInArrow(run, "context bigint, told double, kinds bigint")
     # Sums of decimals do not depend on their order, and so neither does what is retained.
-    exact = F.sum(F.col("told").cast("decimal(38,9)")).cast("double")
-    rows = rows.groupBy("context").agg(exact.alias("told"), F.sum("kinds").alias("kinds")).toArrow()
-    at = rows["context"].to_numpy()
-    told = np.zeros(len(context.n))
-    told[at], context.kinds[at] = rows["told"].to_numpy(), rows["kinds"].to_numpy()
-    above = tree.contexts[level - 1].n[context.parent]
-    divergence = told - context.n * np.log(context.n / np.maximum(above, 1))
-    context.kept = (context.kinds > 0) & (divergence > COST * context.kinds)
+    exact = F.sum(F.col("value").cast("decimal(38,6)")).cast("double").alias("value")
+    rows = counted.mapInArrow(run, "context bigint, value double").groupBy("context").agg(exact).toArrow()
+    out = np.zeros(many)
+    out[rows["context"].to_numpy()] = rows["value"].to_numpy()
+    return out
+
+
+def _retain(counted: DataFrame, tree: Tree, level: int) -> None:
+    """Fill in the different words after each context of a level, and which contexts are retained."""
+    own, above = tree.contexts[level], tree.contexts[level - 1]
+    many = len(own.n)
+    own.kinds = _by_context(counted, many, lambda b: np.ones(len(b.column("n").flatten()))).astype(np.int64)
+    totals, kinds = own.n, own.kinds
+    parents = above.n[own.parent]
+
+    def gain(batch: pa.RecordBatch) -> np.ndarray:
+        context, n, up = (batch.column(c).flatten().to_numpy() for c in ("context", "n", "up"))
+        share = np.maximum(up, 1) / np.maximum(parents[context], 1)
+        others = (n - 1 + kinds[context] * share) / np.maximum(totals[context] - 1 + kinds[context], 1)
+        return n * np.log(others / share)
+
+    own.kept = (own.kinds > 0) & (_by_context(counted, many, gain) > GAIN)
 
 
 def fit(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_column: str = "text",
@@ -311,7 +332,7 @@ def fit(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_colum
     texts = docs.filter(~is_held_out(FOLDS, HELD_OUT, id_column)).select(F.col(text_column).alias("text"))
     one = np.zeros(1, np.int64)
     tree = Tree(0, 0, int(spark.conf.get("spark.sql.shuffle.partitions")), [], [Contexts(one, one, one, one - 1, one == 0)])
-    counted = [scratch.table(count_pairs(texts, tree, 0))]
+    counted = [scratch.table(count_pairs(texts, tree, 0, None))]
     size = counted[0].agg(F.sum(F.size("n")), F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda t, n: t + n))).first()
     tree.words, tree.tokens = (int(x or 0) for x in size)
     tree.contexts[0].n[0], tree.contexts[0].kinds = tree.tokens, np.array([tree.words])
@@ -319,8 +340,8 @@ def fit(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text_colum
     tree.pairs.append(frequent(counted[0], least))
     for level in range(1, depth + 1):
         tree.contexts.append(_next_level(tree, level - 1))
-        counted.append(scratch.table(count_pairs(texts, tree, level)))
-        _divergences(counted[level], counted[level - 1], tree, level)
+        counted.append(scratch.table(count_pairs(texts, tree, level, counted[level - 1])))
+        _retain(counted[level], tree, level)
         tree.pairs.append(frequent(counted[level], least))
     for level in range(depth, 1, -1):
         c = tree.contexts[level]
@@ -345,112 +366,121 @@ def _longest(tree: Tree, states: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return level, state
 
 
+def _kept_only(counted: DataFrame, tree: Tree, level: int) -> DataFrame:
+    """The pairs of retained contexts."""
+    if level == 0:
+        return counted.select("part", "context", "word", "n")
+    kept = tree.contexts[level].kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                columns = {c: row.column(c).flatten().to_numpy() for c in ("context", "word", "n")}
+                some = kept[columns["context"]]
+                lists = [pa.ListArray.from_arrays(pa.array([0, int(some.sum())], pa.int32()), pa.array(columns[c][some])) for c in columns]
+                yield pa.RecordBatch.from_arrays([row.column("part"), *lists], ["part", *columns])
+
+    return counted.select("part", "context", "word", "n").mapInArrow(run, "part int, context array<int>, word array<bigint>, n array<bigint>")
+
+
 def score(docs: DataFrame, tree: Tree, counted: list[DataFrame], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row its id, ``n_tokens``, ``n_known``, ``base_score`` and ``score``."""
     kind = docs.schema[id_column].dataType
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    numbers = {"doc": IntegerType(), "base": DoubleType(), "score": DoubleType(), "known": LongType(), "tokens": LongType()}
-    out = [StructField("part", IntegerType()), StructField("block", LongType())]
-    sent = StructType([*out, *[StructField(c, ArrayType(t)) for c, t in {"word": LongType(), "level": IntegerType(), "state": IntegerType(), "id": kind, **numbers}.items()]])
-    back = StructType([f for f in sent if f.name not in ("part", "word", "level", "state")])
+    lists = {"word": LongType(), "context": IntegerType(), "id": kind, "doc": IntegerType(), "base": DoubleType(), "score": DoubleType(), "known": IntegerType(), "tokens": LongType()}
+    sent = StructType([StructField("part", IntegerType()), StructField("block", LongType()), *[StructField(c, ArrayType(t)) for c, t in lists.items()]])
+    back = StructType([f for f in sent if f.name not in ("part", "word", "context")])
+    first = np.cumsum([0, *[len(c.n) for c in tree.contexts]])  # contexts of all levels, numbered through
+
+    def one_row(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
+        out = []
+        for f in schema:
+            v = columns.get(f.name)
+            if isinstance(v, np.ndarray):
+                v = pa.array(v, f.type.value_type)
+            if isinstance(v, pa.Array):
+                v = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v, type=f.type)
+            out.append(v if isinstance(v, pa.Array) else pa.array([v], f.type))
+        return pa.RecordBatch.from_arrays(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Tree = shared.value
-        schema = None
         for number, block in enumerate(blocks(batches)):
             name = (TaskContext.get().partitionId() << 20) + number
-            if schema is None:
-                id_type = block.rows.schema.field("id").type
-                lists = [("word", pa.int64()), ("level", pa.int32()), ("state", pa.int32()), ("id", id_type), ("doc", pa.int32()), ("base", pa.float64()), ("score", pa.float64()), ("known", pa.int64()), ("tokens", pa.int64())]
-                schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), *[(c, pa.list_(t)) for c, t in lists]])
+            ids = block.rows["id"].combine_chunks()
+            ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+            types = {"word": pa.int64(), "context": pa.int32(), "id": ids.type, "doc": pa.int32(), "base": pa.float64(), "score": pa.float64(), "known": pa.int32(), "tokens": pa.int64()}
+            schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), *[(c, pa.list_(t)) for c, t in types.items()]])
             states = model.states(block, model.depth)
             level, state = _longest(model, states)
-            at = np.full(len(level), -1)
             chance = np.zeros(len(level))
             for k in range(model.depth + 1):
                 own = np.flatnonzero(level == k)
-                at[own] = found = model.pairs[k].find(state[own], block.tokens[own])
+                found = model.pairs[k].find(state[own], block.tokens[own])
                 chance[own[found >= 0]] = model.chance[k][found[found >= 0]]
-            told = np.flatnonzero(at >= 0)
+            told, rest = np.flatnonzero(chance), np.flatnonzero(chance == 0)
             many = block.rows.num_rows
             # A frequent pair's word is frequent, so its own count is at hand as well.
             word = model.pairs[0].find(np.zeros(len(told), np.int64), block.tokens[told])
             doc = block.doc[told]
-            base = np.bincount(doc, np.log10(model.root(model.pairs[0].n[word])), many) if len(told) else np.zeros(many)
-            total = np.bincount(doc, np.log10(chance[told]), many)
-            known = np.bincount(doc, minlength=many)
-            whole = {"doc": np.arange(many), "base": base, "score": total, "known": known, "tokens": block.sizes}
-            offsets = pa.array([0, many], pa.int32())
-            columns = {c: pa.ListArray.from_arrays(offsets, pa.array(v, schema.field(c).type.value_type), type=schema.field(c).type) for c, v in whole.items()}
-            ids = block.rows["id"].combine_chunks()
-            columns["id"] = pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids)
-            columns |= {"part": pa.array([(name * 0x9E3779B1 >> 7) % model.parts], pa.int32()), "block": pa.array([name], pa.int64())}
-            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(1, f.type) for f in schema], schema=schema)
-            rest = np.flatnonzero(at < 0)
+            yield one_row(
+                schema, part=(name * 0x9E3779B1 >> 7) % model.parts, block=name, id=ids, doc=np.arange(many), tokens=block.sizes,
+                base=np.bincount(doc, np.log10(model.root(model.pairs[0].n[word])) if len(told) else None, many) + 0.0,
+                score=np.bincount(doc, np.log10(chance[told]), many), known=np.bincount(doc, minlength=many),
+            )
             if len(rest):
-                w, last = block.tokens[rest], states[1][rest] if model.depth else np.full(len(rest), -1)
-                order = np.argsort(w, kind="stable")  # equal words side by side, which compresses well
-                rest, w, last = rest[order], w[order], last[order]
-                yield _lists(
-                    model.part(w, last), {"word": w.view(np.int64), "level": level[rest], "state": state[rest], "doc": block.doc[rest]}, schema, block=name
-                )
+                words = block.tokens[rest]
+                last = states[1][rest] if model.depth else np.full(len(rest), -1)
+                columns = {"word": words.view(np.int64), "context": first[level[rest]] + state[rest], "doc": block.doc[rest]}
+                yield _lists(model.part(words, last), columns, schema, block=name)
 
     def look_up(key: tuple, entries: pa.Table, counts: pa.Table) -> pa.Table:
         model: Tree = shared.value
         levels = [_pairs(counts.filter(pc.equal(counts["level"], k))) for k in range(model.depth + 1)]
-        whole = entries.filter(pc.is_null(entries["word"]))
-        found = [whole.select(back.names)]
-        for k in range(entries.num_rows):
+        found = [entries.filter(pc.is_null(entries["word"])).select(back.names)]
+        for k in np.flatnonzero(entries["word"].is_valid().to_numpy()).tolist():
             row = entries.slice(k, 1)
-            if not row["word"][0].is_valid:
-                continue
-            word, level, state = _flat(row, "word").view(np.uint64), _flat(row, "level"), _flat(row, "state").astype(np.int64)
-            zero = np.zeros(len(word), np.int64)
-            n = np.maximum(levels[0].counts(zero, word), model.pairs[0].counts(zero, word))
+            word, context = _flat(row, "word").view(np.uint64), _flat(row, "context").astype(np.int64)
+            level = np.searchsorted(first, context, "right") - 1
+            n = levels[0].counts(np.zeros(len(word), np.int64), word)
+            n = np.maximum(n, model.pairs[0].counts(np.zeros(len(word), np.int64), word))
             base = model.root(n)
-            chance = base.copy()
-            chain = {model.depth: np.where(level == model.depth, state, -1)}
-            for j in range(model.depth - 1, 0, -1):
-                up = chain[j + 1]
-                chain[j] = np.where(level == j, state, np.where(up >= 0, model.contexts[j + 1].parent[up] if len(model.contexts[j + 1].parent) else -1, -1))
-            for j in range(1, model.depth + 1):
-                some = np.flatnonzero(chain[j] >= 0)
-                context = chain[j][some]
-                chance[some] = model.smoothed(j, context, levels[j].counts(context, word[some]), chance[some])
+            chance, up = base.copy(), np.full(len(word), -1)
+            chain = []  # of each token, the retained contexts from the longest to the shortest
+            for j in range(model.depth, 0, -1):
+                longer = np.flatnonzero(up >= 0)
+                up[longer] = model.contexts[j + 1].parent[up[longer]] if len(longer) else up[longer]
+                own = level == j
+                up[own] = context[own] - first[j]
+                chain.append((j, up.copy()))
+            for j, at in reversed(chain):
+                some = np.flatnonzero(at >= 0)
+                n_pair = levels[j].counts(at[some], word[some])
+                chance[some] = model.smoothed(j, at[some], n_pair, chance[some])
             doc, at = np.unique(_flat(row, "doc"), return_inverse=True)
-            columns = {
-                "block": pa.array([row["block"][0].as_py()], pa.int64()), "doc": doc, "base": np.bincount(at, np.log10(base)),
-                "score": np.bincount(at, np.log10(chance)), "known": np.bincount(at[n > 0], minlength=len(doc)),
-            }
-            arrays = []
-            for f in found[0].schema:
-                v = columns.get(f.name)
-                if isinstance(v, np.ndarray):
-                    v = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, f.type.value_type), type=f.type)
-                arrays.append(v if v is not None else pa.nulls(1, f.type))
-            found.append(pa.Table.from_arrays(arrays, schema=found[0].schema))
+            found.append(pa.Table.from_batches([one_row(
+                found[0].schema, block=row["block"][0].as_py(), doc=doc, base=np.bincount(at, np.log10(base)),
+                score=np.bincount(at, np.log10(chance)), known=np.bincount(at[n > 0], minlength=len(doc)),
+            )]))
         return pa.concat_tables(found)
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         whole = rows.filter(pc.is_valid(rows["id"]))
-        ids = whole["id"].combine_chunks()
-        ids = (pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
+        ids = pa.concat_arrays([c.flatten() for c in whole["id"].chunks])
         # Added in a fixed order, so that a task that runs again gives the same sums.
         doc, total, base, known = (_flat(rows, c) for c in ("doc", "score", "base", "known"))
         order = np.lexsort((base, total, doc))
-        many = len(ids)
-        sums = [np.bincount(doc[order], x[order], many) for x in (base, total)]
+        sums = [np.bincount(doc[order], x[order], len(ids)) for x in (base, total)]
         return pa.table({
-            id_column: ids, "n_tokens": pa.array(_flat(whole, "tokens")), "n_known": pa.array(np.bincount(doc, known, many).astype(np.int64)),
+            id_column: ids, "n_tokens": pa.array(_flat(whole, "tokens")), "n_known": pa.array(np.bincount(doc, known, len(ids)).astype(np.int64)),
             "base_score": pa.array(sums[0]), "score": pa.array(sums[1]),
         })
 
-    model_rows = counted[0].withColumn("level", F.lit(0))
-    for level in range(1, len(counted)):
-        model_rows = model_rows.unionAll(counted[level].withColumn("level", F.lit(level)))
+    model_rows = [_kept_only(counted[level], tree, level).withColumn("level", F.lit(level)) for level in range(len(counted))]
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    entries = texts.mapInArrow(run, sent)
-    looked_up = entries.groupBy("part").cogroup(model_rows.groupBy("part")).applyInArrow(look_up, back)
+    entries = texts.mapInArrow(run, sent).groupBy("part")
+    looked_up = entries.cogroup(reduce(DataFrame.unionAll, model_rows).groupBy("part")).applyInArrow(look_up, back)
     result = StructType([
         StructField(id_column, kind), StructField("n_tokens", LongType()), StructField("n_known", LongType()),
         StructField("base_score", DoubleType()), StructField("score", DoubleType()),
