@@ -8,16 +8,17 @@ broadcast forest, whose size depends on the number of trees only.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.operators.split import HASH_RANGE
 from gridpulse.schema import ANOMALY_FEATURES, CONTAMINATION
 from gridpulse.session import materialize
 
@@ -63,21 +64,47 @@ def grow(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.n
     return feature, threshold, depth
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit hashes, well mixed."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+
+
+def draws(h: np.ndarray, n_trees: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tree, order) of the trees that rows with these hashes are drawn for, each with the chance
+    ``share``. One number a row tells how many trees go by before its first; only rows that have one go on."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    first = np.zeros(len(h)) if share >= 1 else np.floor(np.log(_mixed(h)) / np.log1p(-share))
+    row = np.flatnonzero(first < n_trees)
+    first = first[row].astype(np.int64)
+    tree = np.arange(n_trees)
+    order = _mixed(h[row][:, None] + step * (tree.astype(np.uint64) + np.uint64(1)))
+    # The order among those drawn is uniform below the share, for the first tree as for the others.
+    own = tree[None] == first[:, None]
+    order = np.where(own, order * share, order)
+    at, drawn = np.nonzero(own | ((tree[None] > first[:, None]) & (order < share)))
+    return row[at], drawn, order[at, drawn]
+
+
 def draw_samples(df: DataFrame, features: list[str], n_trees: int, seed: int, key: list[str] | None = None) -> DataFrame:
     """(tree, order, values): at least ``SAMPLE`` random rows per tree where the frame has as many.
 
-    Each row draws a ticket per tree from the hash of its ``key``, which should tell rows apart: the same
-    rows then give the same samples however they are partitioned. Without a key it draws from a random
-    number per row, so that copies of one row are drawn like any others. Only tickets that win become rows.
+    A row's draws come from one hash of its ``key``, which should tell rows apart: the same rows then give
+    the same samples however they are partitioned. Without a key it draws from a random number per row, so
+    that copies of one row are drawn like any others. Only rows that are drawn leave the task.
     """
     share = min(1.0, SPARE * SAMPLE / max(df.count(), 1))
     values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("values")
-    rows = df.select(values, (F.xxhash64(*key, F.lit(seed)) if key else F.rand(seed)).alias("_draw"))
-    tickets = F.transform(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda tree: F.struct(tree.alias("tree"), F.pmod(F.xxhash64("_draw", tree), F.lit(HASH_RANGE)).alias("order")),
-    )
-    return rows.select("values", F.inline(F.filter(tickets, lambda t: t["order"] < share * HASH_RANGE)))
+    rows = df.select(values, (F.xxhash64(*key, F.lit(seed)) if key else F.xxhash64(F.rand(seed))).alias("draw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, tree, order = draws(batch.column("draw").to_numpy().view(np.uint64), n_trees, share)
+            columns = [pa.array(tree.astype(np.int32)), pa.array(order), batch.column("values").take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays(columns, ["tree", "order", "values"])
+
+    return rows.mapInArrow(run, "tree int, order double, values array<double>")
 
 
 def fit(

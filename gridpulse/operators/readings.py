@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gridpulse.schema import KEY
 from gridpulse.session import materialize
 
+SALTS = 32
+SHALLOW = 1000  # a page that starts later is found by counting, not by sorting all before it
 PARTITION_BITS = 33  # monotonically_increasing_id(): partition number above, row number below
 
 
@@ -33,9 +35,10 @@ def history(
 ) -> DataFrame:
     """The newest rows, of all devices together or (``by``) of each device.
 
-    Either way every task keeps at most ``limit`` rows (per device) before anything is shuffled, so
-    a device with most of the data costs no more than another. Rows without a time never count as
-    newest. ``since`` narrows the scan when the caller knows a bound.
+    Either way no task gets all rows of a device with most of the data. Up to Spark's own bound for it
+    (``spark.sql.optimizer.windowGroupLimitThreshold``) every task keeps at most ``limit`` rows per device
+    before anything is shuffled; above it, a device's rows are dealt to ``SALTS`` groups, whose newest rows
+    are ranked again together. Rows without a time never count as newest. ``since`` narrows the scan when the caller knows a bound.
     """
     timed = df.filter(F.col(time_column).isNotNull())
     if since is not None:
@@ -43,7 +46,15 @@ def history(
     order = _newest_first(time_column, list(tiebreak or []))
     if not by:
         return timed.orderBy(*order).limit(limit)
-    ranked = timed.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    if limit > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        # By all columns: rows that are alike in all of them may stay in one group.
+        salted = timed.withColumn("_salt", F.pmod(F.xxhash64(*timed.columns), F.lit(SALTS)).cast("int"))
+        timed = _top(salted, [*by, "_salt"], order, limit).drop("_salt")
+    return _top(timed, by, order, limit)
+
+
+def _top(df: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.filter(F.col("_rank") <= limit).drop("_rank")
 
 
@@ -78,14 +89,36 @@ def page(
     df: DataFrame, order: str, skip: int = 0, limit: int = 100, after=None, descending: bool = False
 ) -> DataFrame:
     """One page in the order of a unique column. ``after`` (the last key of the page before)
-    starts there without sorting all that precedes it, which is the way to reach deep pages."""
+    starts there without sorting all that precedes it, which is the way to reach deep pages. A deep ``skip``
+    counts the keys in ranges first, and sorts only the ranges that the page lies in."""
     c = F.col(order)
     if after is not None:
         df = df.filter(c < F.lit(after) if descending else c > F.lit(after))
+    if skip > SHALLOW:
+        df, skip = _around(df, order, skip, limit, descending)
     ordered = df.orderBy(c.desc() if descending else c.asc())
     return (ordered.offset(skip) if skip else ordered).limit(limit)
 
 
+def _around(df: DataFrame, order: str, skip: int, limit: int, descending: bool) -> tuple[DataFrame, int]:
+    """The rows whose keys lie in the ranges of the ranks from ``skip`` on, and how many of them to skip.
+    Only keys are shuffled; the driver sees one row per range."""
+    c = F.col(order)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32)
+    dealt = df.select(c.alias("key")).repartitionByRange(ranges, F.col("key").desc() if descending else F.col("key").asc())
+    told = dealt.groupBy(F.spark_partition_id().alias("range")).agg(
+        F.count("*").alias("n"), F.count("key").alias("known"), F.min("key").alias("low"), F.max("key").alias("high")
+    )
+    before, start, wanted = 0, 0, []
+    for r in told.orderBy("range").collect():
+        if before + r.n > skip and before < skip + limit:
+            start = start if wanted else before
+            inside = c.between(F.lit(r.low), F.lit(r.high)) if r.known else F.lit(False)
+            wanted.append(inside | c.isNull() if r.n > r.known else inside)
+        before += r.n
+    return df.filter(reduce(or_, wanted)) if wanted else df.limit(0), skip - start if wanted else 0
+
+
 def equals(df: DataFrame, column: str, value) -> DataFrame:
     """F2."""
     return df.filter(F.col(column) == F.lit(value))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridpulse.operators.readings import dedupe_keep_first, row_index
 from gridpulse.session import materialize
@@ -20,29 +22,89 @@ def split_existing(batch: DataFrame, target: DataFrame, column: str) -> tuple[Da
     return sides[0], sides[1]
 
 
+GROUP_ROWS = 200_000  # rows of one group of conflicts that a task works off at a time
+
+
+def _first_in_all(open_rows: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
+    """Rows that come first among those with the same value, in every column."""
+    leading = open_rows.select("_row", *dict.fromkeys([*order, *unique]))
+    for c in unique:
+        first = leading.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min(F.struct(*order)).alias(f"_first_{c}"))
+        leading = leading.join(first, c, "left")
+    here = F.struct(*order)
+    firsts = [F.col(c).isNull() | (F.col(f"_first_{c}") == here) for c in unique]
+    return leading.filter(reduce(and_, firsts)).select("_row", *unique)
+
+
+def _not_blocked(open_rows: DataFrame, accepted: DataFrame, unique: list[str]) -> DataFrame:
+    """Rows that are neither accepted nor share a value with one that is."""
+    rest = open_rows.join(accepted.select("_row"), "_row", "left_anti")
+    for c in unique:
+        rest = rest.join(accepted.filter(F.col(c).isNotNull()).select(c), c, "left_anti")
+    return rest
+
+
+def conflict_groups(rows: DataFrame, unique: list[str]) -> DataFrame:
+    """(``_row``, ``_group``): rows that values of the unique columns connect, however indirectly, have one
+    group, named after its smallest row. Every value ties its rows to the smallest of them; then stars of
+    neighbours are drawn together in turn until each group is one star, in a number of rounds that grows
+    with the logarithm of the longest chain."""
+    ties = []
+    for c in unique:
+        known = rows.filter(F.col(c).isNotNull()).select("_row", c)
+        heads = known.groupBy(c).agg(F.min("_row").alias("b"), F.count("*").alias("n")).filter("n > 1")
+        ties.append(known.join(heads, c).select(F.col("_row").alias("a"), "b").filter("a <> b"))
+    edges = materialize(reduce(DataFrame.unionAll, ties).distinct())
+    before = None
+    while True:
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = materialize(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialize(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    found = edges.select(F.col("a").alias("_row"), F.col("b").alias("_group"))
+    return rows.select("_row").join(found, "_row", "left").select("_row", F.coalesce("_group", "_row").alias("_group"))
+
+
 def _accept_in_order(batch: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
     """Rows that inserting one by one in ``order`` would accept under several unique columns.
 
-    A round accepts every open row that comes first in all its columns, and closes the open rows
-    that share a value with it; a row blocked only by a closed one gets its turn in the next round.
+    Rows that come first in all their columns are accepted at once, and those that share a value with them
+    are settled. The rest falls into groups of rows that block each other through shared values; each group
+    is worked off in order by one task. A group above ``GROUP_ROWS`` rows is cut: its first rows are worked
+    off, what their values settle goes, and the remaining rows are grouped anew.
     """
-    open_rows, accepted = materialize(batch), None
+    open_rows = materialize(batch.withColumn("_row", F.monotonically_increasing_id()))
+    numbered, accepted = open_rows, []
+
+    def greedy(group: pd.DataFrame) -> pd.DataFrame:
+        taken: list[set] = [set() for _ in unique]
+        kept = []
+        for row, *values in group.sort_values("_rank")[["_row", *unique]].astype(object).itertuples(index=False, name=None):
+            known = [None if pd.isna(v) else v for v in values]
+            if not any(v is not None and v in t for v, t in zip(known, taken, strict=True)):
+                kept.append((row, *known))
+                for v, t in zip(known, taken, strict=True):
+                    t.add(v)
+        return pd.DataFrame(kept, columns=["_row", *unique])
+
+    first = materialize(_first_in_all(open_rows, unique, order))
+    accepted.append(first.select("_row"))
+    open_rows = materialize(_not_blocked(open_rows, first, unique))
+    schema = T.StructType([open_rows.schema["_row"], *[open_rows.schema[c] for c in unique]])
     while not open_rows.isEmpty():
-        firsts = [
-            dedupe_keep_first(open_rows, [c], order).filter(F.col(c).isNotNull()).select(*order, c)
-            for c in unique
-        ]
-        leading = open_rows
-        for c, first in zip(unique, firsts, strict=True):
-            present = leading.filter(F.col(c).isNotNull()).join(first, [*order, c], "left_semi")
-            leading = present.unionByName(leading.filter(F.col(c).isNull()))
-        leading = materialize(leading)
-        accepted = leading if accepted is None else accepted.unionByName(leading)
-        rest = open_rows.join(leading.select(*order), order, "left_anti")
-        for c in unique:
-            rest = rest.join(leading.select(c), c, "left_anti")
-        open_rows = materialize(rest)
-    return batch.limit(0) if accepted is None else accepted
+        grouped = open_rows.select("_row", *order, *[c for c in unique if c not in order]).join(conflict_groups(open_rows, unique), "_row")
+        ranked = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
+        turn = materialize(ranked.filter(F.col("_rank") <= GROUP_ROWS).select("_row", "_group", "_rank", *unique))
+        won = materialize(turn.groupBy("_group").applyInPandas(greedy, schema))
+        accepted.append(won.select("_row"))
+        open_rows = materialize(_not_blocked(open_rows.join(turn.select("_row"), "_row", "left_anti"), won, unique))
+    return numbered.join(reduce(DataFrame.unionAll, accepted), "_row", "left_semi").select(*batch.columns)
 
 
 def _with_reason(rejected: DataFrame, accepted: DataFrame, target: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
@@ -87,12 +149,13 @@ def insert_children(
     order: list[str] | None = None,
     highest: int = 0,
     id_column: str = "id",
+    target: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """B2: (accepted, orphans) after filling absent or missing values with ``defaults``.
 
     ``parents`` maps a reference column to a frame whose first column holds the known ids. A missing
     reference is allowed unless the column is ``required``. With an ``order`` the accepted rows get ids
-    in it, dense and above ``highest``, the highest id so far.
+    in it, dense and above the highest id of the stored children, ``target``, and above ``highest``.
     """
     filled = batch.withColumns({
         c: F.coalesce(F.col(c), v) if c in batch.columns else v for c, v in defaults.items()
@@ -107,8 +170,9 @@ def insert_children(
     orphan = reduce(or_, unknown)
     accepted = marked.filter(~orphan).select(*filled.columns)
     if order:
+        stored = target.agg(F.max(id_column).alias("m")).first().m if target is not None else None
         numbered = row_index(accepted, order, name="_index")
-        accepted = numbered.select((F.col("_index") + F.lit(highest + 1)).alias(id_column), *filled.columns)
+        accepted = numbered.select((F.col("_index") + F.lit(max(highest, stored or 0) + 1)).alias(id_column), *filled.columns)
     return accepted, marked.filter(orphan).select(*filled.columns)
 
 

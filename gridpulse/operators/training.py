@@ -1,7 +1,7 @@
 """M3-M9: candidate models, their comparison, and the full training run.
 
 The definitions of the metrics equal the published ones; the fitted models do not have to: Spark's
-split finding, bootstrap and boosting differ from those of other libraries.
+split finding and bootstrap differ from those of other libraries. Boosting is in ``boosting``.
 """
 
 from __future__ import annotations
@@ -9,23 +9,20 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import StorageLevel, inheritable_thread_target, keyword_only
-from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import ElementwiseProduct, Normalizer, SQLTransformer, StandardScaler, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
+from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.frames import feature_columns
 from gridpulse.operators import iforest
+from gridpulse.operators.boosting import HistogramBoostingModel, fit_boosting
 from gridpulse.operators.metrics import classifier_scores, model_comparison, regression_metrics, select_best
 from gridpulse.operators.split import random_split, stratified_split
 from gridpulse.schema import (
@@ -51,31 +48,18 @@ class Profile:
     trees: int = 200
     depth: int = 14
     rounds: int = 200
-    boost_depth: int = 5
+    boost_leaves: int = 31
     boost_leaf: int = 20
     bins: int = 256
-    early_stop_rows: int = 10_000  # with more training rows, boosting holds out a tenth and may stop early
+    early_stop_rows: int = 10_000  # with more training rows, boosting holds out a tenth and may stop early:
+    patience: int = 10  # after so many rounds in a row without a lower loss of that tenth
     iterations: int = 2000
     forest_trees: int = 150
     seed: int = 42
 
 
 FULL = Profile()
-SMALL = Profile(trees=10, depth=5, rounds=5, boost_depth=3, bins=32, iterations=50, forest_trees=25)
-
-
-class ArgMax(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Index of the largest entry of a vector; the first one on a tie."""
-
-    @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        values = vector_to_array(F.col(self.getInputCol()))
-        place = F.array_position(values, F.array_max(values)) - 1
-        return dataset.withColumn(self.getOutputCol(), place.cast("double"))
+SMALL = Profile(trees=10, depth=5, rounds=5, boost_leaves=8, bins=32, iterations=50, forest_trees=25)
 
 
 @dataclass(frozen=True)
@@ -132,59 +116,23 @@ def fit_forest_classifier(task: Task) -> Model:
     ).fit(task.train)
 
 
-VALIDATION, VALIDATION_TOLERANCE = "_is_validation", 1e-7
-
-
-def _with_early_stop(booster, train: DataFrame, task: Task):
-    """The booster and its rows. As in the published setting, boosting on more than ``early_stop_rows``
-    rows is checked after each round on a tenth of them, drawn by a hash of the features; it stops at the
-    first round that does not lower their loss."""
-    if task.rows <= task.profile.early_stop_rows:
-        return booster, train
-    drawn = F.pmod(F.xxhash64(vector_to_array(task.features), F.lit(task.profile.seed)), F.lit(10)) == 0
-    booster = booster.setValidationIndicatorCol(VALIDATION)
-    return booster.copy({booster.validationTol: VALIDATION_TOLERANCE}), train.withColumn(VALIDATION, drawn)
+def _boosting(task: Task, classes: int, probability: str | None) -> HistogramBoostingModel:
+    p = task.profile
+    return fit_boosting(
+        task.train, task.features, task.label, task.prediction, probability, classes, rounds=p.rounds, leaves=p.boost_leaves,
+        least_rows=p.boost_leaf, bins=p.bins, early_stop_rows=p.early_stop_rows, patience=p.patience, seed=p.seed,
+    )
 
 
-def boosting_rounds(model: Model) -> list[int]:
-    """Rounds that each booster in a fitted model used."""
+def boosting_models(model: Model) -> list[HistogramBoostingModel]:
+    """The boosting models in a fitted one, with ``rounds_used`` and their losses."""
     inner = model.stages if isinstance(model, PipelineModel) else [model]
-    found = [boosting_rounds(m) if isinstance(m, PipelineModel) else [m.getNumTrees] for m in inner if isinstance(m, (PipelineModel, GBTClassificationModel, GBTRegressionModel))]
-    return [n for part in found for n in part]
+    return [m for part in inner for m in (boosting_models(part) if isinstance(part, PipelineModel) else [part]) if isinstance(m, HistogramBoostingModel)]
 
 
-def fit_boosted_classifier(task: Task) -> PipelineModel:
-    """M6: one binary booster per class; a class's probability is its share of the boosters' votes.
-
-    Spark's booster is binary. This is a substitute for multi-class boosting, not the same loss. It
-    consists of row-wise stages, so it is saved, loaded and streamed like any other model.
-    """
-    p, stages, helpers = task.profile, [], []
-
-    def fit_class(k: int) -> Model:
-        booster = GBTClassifier(
-            featuresCol=task.features, labelCol="_is_class", predictionCol=f"_hit_{k}", maxIter=p.rounds,
-            stepSize=0.1, maxDepth=p.boost_depth, minInstancesPerNode=p.boost_leaf, maxBins=p.bins, seed=p.seed,
-        )
-        booster.setProbabilityCol(f"_chance_{k}").setRawPredictionCol(f"_raw_{k}")
-        binary = task.train.withColumn("_is_class", (F.col(task.label) == k).cast("double"))
-        booster, rows = _with_early_stop(booster, binary, task)
-        return booster.fit(rows)
-
-    # The boosters do not depend on each other: their jobs share the cluster.
-    with ThreadPool(len(task.classes)) as pool:
-        boosters = pool.map(inheritable_thread_target(task.train.sparkSession)(fit_class), task.classes)
-    for k, fitted in zip(task.classes, boosters, strict=True):
-        stages += [fitted, VectorSlicer(inputCol=f"_chance_{k}", outputCol=f"_vote_{k}", indices=[1])]
-        helpers += [f"_hit_{k}", f"_chance_{k}", f"_raw_{k}", f"_vote_{k}"]
-    votes = [f"_vote_{k}" for k in task.classes]
-    stages += [
-        VectorAssembler(inputCols=votes, outputCol="_votes"),
-        Normalizer(p=1.0, inputCol="_votes", outputCol=task.probability),
-        ArgMax(inputCol=task.probability, outputCol=task.prediction),
-        SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join([*helpers, '_votes'])}) FROM __THIS__"),
-    ]
-    return PipelineModel(stages)
+def fit_boosted_classifier(task: Task) -> Model:
+    """M6: one model for all classes, on the multinomial loss."""
+    return _boosting(task, len(task.classes), task.probability)
 
 
 def fit_ridge(task: Task, alpha: float = 1.0) -> PipelineModel:
@@ -208,13 +156,7 @@ def fit_forest_regressor(task: Task) -> Model:
 
 def fit_boosted_regressor(task: Task) -> Model:
     """M8."""
-    p = task.profile
-    booster = GBTRegressor(
-        featuresCol=task.features, labelCol=task.label, predictionCol=task.prediction, maxIter=p.rounds,
-        stepSize=0.1, maxDepth=p.boost_depth, minInstancesPerNode=p.boost_leaf, maxBins=p.bins, seed=p.seed,
-    )
-    booster, rows = _with_early_stop(booster, task.train, task)
-    return booster.fit(rows)
+    return _boosting(task, 0, None)
 
 
 CLASSIFIERS: dict[str, Fit] = {

@@ -19,7 +19,7 @@ from gridpulse.operators.predictor import load_predictor, score_upload
 from gridpulse.operators.scoring import score_batch, score_detail
 from gridpulse.plans import standins as S
 from gridpulse.plans.telemetry import telemetry_frame
-from gridpulse.schema import ANY_ALARM, DEVICE, KEY, READING_TIME, RISK, SENSORS, metadata_schema
+from gridpulse.schema import ANOMALY_FEATURES, ANY_ALARM, DEVICE, KEY, READING_TIME, RISK, SENSORS, metadata_schema
 from gridpulse.session import materialize, scratch_path
 from gridpulse.sources import readers, writers
 from gridpulse.streaming import streams
@@ -173,12 +173,12 @@ def _(spark, folder):
     return spark.createDataFrame(rows, "run int, total long, inserted long, skipped long")
 
 
-def _small_training(spark: SparkSession, folder: str, names: tuple[str, ...] = ("LogisticRegression",)):
+def _small_training(spark: SparkSession, folder: str, names: tuple[str, ...] = ("LogisticRegression",), profile: training.Profile = training.SMALL):
     frame = materialize(fleet_frame(spark, folder))
     features = P.feature_columns(frame, [*training.NOT_CLASSIFIER_FEATURES, DEVICE])
     train, test = split.stratified_split(frame, RISK, key=DIMS)
     chosen = {n: training.CLASSIFIERS[n] for n in names}
-    return frame, training.compare_classifiers(train, test, features, profile=training.SMALL, candidates=chosen)
+    return frame, training.compare_classifiers(train, test, features, profile=profile, candidates=chosen)
 
 
 @query(
@@ -904,44 +904,121 @@ def _(spark, folder):
     return text_time(z.select(*DIMS, *[F.round(F.col("s")[i], 5).alias(c) for i, c in enumerate(["OTI", "VL3"])]))
 
 
-def _fit_query(name: str, model: str, classifier: bool) -> None:
-    """A model fitted and applied to all rows: how many got a usable answer, and whether those answers beat
-    the best constant one (the largest class, or the mean)."""
+# All as published but the number of rounds or trees, which takes minutes on one machine (see README).
+BOOSTED, WOODED = replace(training.FULL, rounds=8), replace(training.FULL, trees=20)
+
+
+def _fitted(spark: SparkSession, folder: str, model: str, classifier: bool, profile: training.Profile):
+    """(frame, model, names of the features) of one candidate."""
+    if classifier:
+        frame, result = _small_training(spark, folder, (model,), profile)
+    else:
+        frame = materialize(fleet_frame(spark, folder))
+        features = P.feature_columns(frame, [*training.NOT_REGRESSOR_FEATURES, DEVICE])
+        sides = split.random_split(frame, key=DIMS)
+        result = training.compare_regressors(*sides, features, profile=profile, candidates={model: training.REGRESSORS[model]})
+    return frame, result
+
+
+def _answers(frame: DataFrame, result: training.Comparison, classifier: bool) -> DataFrame:
+    """How many rows got a usable answer, and whether those answers beat the best constant one (the largest
+    class, or the mean)."""
+    scored = result.model.transform(frame)
+    if classifier:
+        pairs = scored.select(F.col(RISK).alias("y"), F.col(training.RISK_PREDICTION).alias("p"), vector_to_array(training.RISK_PROBABILITY).alias("c"))
+        whole = F.abs(F.aggregate("c", F.lit(0.0), lambda t, x: t + x) - 1) < 1e-9
+        known = F.col("p").isin(*C.CLASS_NAMES) & whole & (F.size("c") == len(C.CLASS_NAMES))
+        by_class = pairs.groupBy("y").agg(
+            F.count("*").alias("n"), F.count_if(known).alias("known"), F.count_if(F.col("p") == F.col("y")).alias("hits")
+        )
+        return by_class.agg(F.sum("n").alias("n_rows"), F.sum("known").alias("n_known"), (F.sum("hits") >= F.max("n")).alias("beats_constant"))
+    pairs = scored.select(F.col("OTI").cast("double").alias("y"), F.col(training.TEMPERATURE_PREDICTION).alias("p"))
+    error = F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))
+    known = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
+    return pairs.agg(F.count("*").alias("n_rows"), F.count_if(known).alias("n_known"), (error < F.var_pop("y") * F.count("*")).alias("beats_constant"))
+
+
+def _fit_query(name: str, model: str, classifier: bool, profile: training.Profile, facts: dict[str, str], told: Callable[[training.Comparison], dict]) -> None:
+    """A model fitted and applied to all rows: ``_answers``, and facts about the model itself."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        if classifier:
-            frame, result = _small_training(spark, folder, (model,))
-            pairs = result.model.transform(frame).select(F.col(RISK).alias("y"), F.col(training.RISK_PREDICTION).alias("p"))
-            known = F.col("p").isin(*C.CLASS_NAMES)
-            by_class = pairs.groupBy("y").agg(
-                F.count("*").alias("n"), F.count_if(known).alias("known"), F.count_if(F.col("p") == F.col("y")).alias("hits")
-            )
-            return by_class.agg(
-                F.sum("n").alias("n_rows"), F.sum("known").alias("n_known"), (F.sum("hits") >= F.max("n")).alias("beats_constant")
-            )
-        else:
-            frame = materialize(fleet_frame(spark, folder))
-            features = P.feature_columns(frame, [*training.NOT_REGRESSOR_FEATURES, DEVICE])
-            sides = split.random_split(frame, key=DIMS)
-            result = training.compare_regressors(
-                *sides, features, profile=training.SMALL, candidates={model: training.REGRESSORS[model]}
-            )
-        pairs = result.model.transform(frame).select(F.col("OTI").cast("double").alias("y"), F.col(training.TEMPERATURE_PREDICTION).alias("p"))
-        error = F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))
-        known = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
-        return pairs.agg(
-            F.count("*").alias("n_rows"), F.count_if(known).alias("n_known"), (error < F.var_pop("y") * F.count("*")).alias("beats_constant")
-        )
+        frame, result = _fitted(spark, folder, model, classifier, profile)
+        return _answers(frame, result, classifier).withColumns({c: F.lit(v) for c, v in told(result).items()})
+
+    more = "".join(f", {v} AS {c}" for c, v in facts.items())
+    query(name, f"WITH {S.aligned_sql()} SELECT count(*) AS n_rows, count(*) AS n_known, true AS beats_constant{more} FROM aligned")(run)
+
+
+def _forest_facts(result: training.Comparison) -> dict:
+    forest = result.model.stages[-1]
+    depths = [t.depth for t in forest.trees]
+    return {"n_trees": len(depths), "deepest_within": 1 < max(depths) <= training.FULL.depth}
+
+
+def _boosting_facts(result: training.Comparison) -> dict:
+    (model,) = training.boosting_models(result.model)
+    losses = model.getOrDefault("trainLoss")
+    held = model.getOrDefault("heldOutLoss")
+    stopped = len(held) > training.FULL.patience and min(held[-training.FULL.patience :]) > min(held[: -training.FULL.patience]) - 1e-6
+    return {
+        "all_rounds_or_patience": model.rounds_used == BOOSTED.rounds or stopped,
+        "loss_falls_every_round": all(b < a for a, b in zip(losses, losses[1:])),
+        "largest_tree_within": 2 < max((len(t["feature"]) + 1) // 2 for r in model.rounds for t in r) <= BOOSTED.boost_leaves,
+    }
+
+
+def _forest_sql(trees: int) -> dict[str, str]:
+    return {"n_trees": f"CAST({trees} AS INTEGER)", "deepest_within": "true"}
 
-    query(name, f"WITH {S.aligned_sql()} SELECT count(*) AS n_rows, count(*) AS n_known, true AS beats_constant FROM aligned")(run)
 
+BOOSTING_FACTS = {"all_rounds_or_patience": "true", "loss_falls_every_round": "true", "largest_tree_within": "true"}
+_fit_query("m5_rf_classifier", "RandomForest", True, training.FULL, _forest_sql(200), _forest_facts)
+_fit_query("m6_gbt_classifier", "HistGradientBoosting", True, BOOSTED, BOOSTING_FACTS, _boosting_facts)
+_fit_query("m8a_rf_regressor", "RandomForest", False, WOODED, _forest_sql(20), _forest_facts)
+_fit_query("m8b_gbt_regressor", "HistGradientBoosting", False, BOOSTED, BOOSTING_FACTS, _boosting_facts)
 
-_fit_query("m4_logistic", "LogisticRegression", True)
-_fit_query("m5_rf_classifier", "RandomForest", True)
-_fit_query("m6_gbt_classifier", "HistGradientBoosting", True)
-_fit_query("m7_ridge", "Ridge", False)
-_fit_query("m8a_rf_regressor", "RandomForest", False)
-_fit_query("m8b_gbt_regressor", "HistGradientBoosting", False)
+
+def _slopes(train: DataFrame, errors: list, weights: list[list[float]], penalty: float, names: list[str], many: int, scaled: str) -> DataFrame:
+    """Slope of the penalised mean loss at the fitted weights, one row per output and feature: 0 at the
+    minimum. ``errors`` are the derivatives by each output."""
+    z = vector_to_array(scaled)
+    sums = train.select(*[F.sum(e * z[f]).alias(f"s{k}_{f}") for k, e in enumerate(errors) for f in range(len(names))])
+    entries = F.array(*[
+        F.struct(F.lit(k).alias("output"), F.lit(n).alias("feature"), (F.round(F.col(f"s{k}_{f}") / many + penalty * weights[k][f], 2) + F.lit(0.0)).alias("slope"))
+        for k in range(len(errors)) for f, n in enumerate(names)
+    ])
+    return sums.select(F.inline(entries))
+
+
+def _slope_sql(outputs: int) -> str:
+    names = ", ".join(f"'{c}'" for c in dict.fromkeys([*S.SENSOR_COLUMNS, *S.derived_sql()]))
+    return f"WITH n AS (SELECT unnest([{names}]) AS feature) SELECT CAST(o AS INTEGER) AS output, feature, CAST(0 AS DOUBLE) AS slope FROM n, range({outputs}) AS t(o)"
+
+
+@query("m4_logistic", _slope_sql(3) + " WHERE feature NOT IN ('OTI_A', 'OTI_T', 'MOG_A')")
+def _(spark, folder):
+    """The fitted weights minimise the penalised loss: its slope along every weight is 0 to two digits."""
+    frame = materialize(fleet_frame(spark, folder))
+    names = P.feature_columns(frame, [*training.NOT_CLASSIFIER_FEATURES, DEVICE])
+    train, test = split.stratified_split(frame, RISK, key=DIMS)
+    result = training.compare_classifiers(train, test, names, candidates={"LogisticRegression": training.fit_logistic})
+    model, many = result.model.stages[-1].stages[-1], train.count()
+    scored = result.model.transform(train)
+    chance = vector_to_array(training.RISK_PROBABILITY)
+    errors = [chance[k] - (F.col(RISK) == k).cast("int") for k in range(3)]
+    return _slopes(scored, errors, model.coefficientMatrix.toArray().tolist(), 1.0 / many, names, many, "_risk_scaled")
+
+
+@query("m7_ridge", _slope_sql(1) + " WHERE feature NOT IN ('OTI_A', 'OTI_T', 'MOG_A', 'OTI', 'WTI', 'OTI_ATI_Diff', 'WTI_ATI_Diff', 'WTI_OTI_Diff')")
+def _(spark, folder):
+    """As for the logistic model: slopes of the squared loss with its penalty."""
+    frame = materialize(fleet_frame(spark, folder))
+    names = P.feature_columns(frame, [*training.NOT_REGRESSOR_FEATURES, DEVICE])
+    train, test = split.random_split(frame, key=DIMS)
+    result = training.compare_regressors(train, test, names, candidates={"Ridge": training.fit_ridge})
+    model, many = result.model.stages[-1].stages[-1], train.count()
+    errors = [F.col(training.TEMPERATURE_PREDICTION) - F.col("OTI")]
+    return _slopes(result.model.transform(train), errors, [model.coefficients.toArray().tolist()], 1.0 / many, names, many, "_temperature_scaled")
 
 
 @query(
@@ -970,19 +1047,26 @@ ISOLATED = ["OTI", "WTI", "ATI", "OLI"]
 
 @query(
     "m10_iforest_fit",
-    "SELECT CAST(tree AS INTEGER) AS tree, CAST(256 AS INTEGER) AS sample, CAST(255 AS INTEGER) AS inner_nodes, "
-    "CAST(256 AS INTEGER) AS leaves FROM range(150) AS t(tree) WHERE (SELECT count(*) FROM events) >= 256",
+    f"WITH {S.aligned_sql()} SELECT CAST(tree AS INTEGER) AS tree, CAST(least(256, n) AS INTEGER) AS sample, CAST(13 AS INTEGER) AS n_features, "
+    "true AS in_reach FROM range(150) AS t(tree), (SELECT count(*) AS n FROM aligned) WHERE n > 0",
 )
 def _(spark, folder):
-    forest = iforest.fit(S.readings(spark, folder), ISOLATED, key=["event_id"])
-    return forest.select("tree", "sample", F.size("feature").alias("inner_nodes"), F.size("depth").alias("leaves"))
+    """Every tree has its full sample, and cuts each feature within the range of the data only."""
+    frame = materialize(fleet_frame(spark, folder).select(*DIMS, *ANOMALY_FEATURES))
+    forest = iforest.fit(frame, key=DIMS)
+    reach = frame.agg(F.array(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")) for c in ANOMALY_FEATURES]).alias("reach"))
+    cuts = F.filter(F.zip_with("feature", "threshold", lambda f, t: F.struct(f.alias("f"), t.alias("t"))), lambda x: x["t"] < float("inf"))
+    inside = F.forall(cuts, lambda x: (x["t"] > F.get("reach", x["f"])["low"]) & (x["t"] <= F.get("reach", x["f"])["high"]))
+    return forest.crossJoin(F.broadcast(reach)).select(
+        "tree", "sample", F.lit(len(ANOMALY_FEATURES)).alias("n_features"), (inside & (F.size(cuts) > 0)).alias("in_reach")
+    )
 
 
-@query("m11_iforest_flag", "SELECT count(*) AS n_rows, count(*) AS n_scored, true AS within_share, true AS parted FROM events")
+@query("m11_iforest_flag", f"WITH {S.aligned_sql()} SELECT count(*) AS n_rows, count(*) AS n_scored, true AS within_share, true AS parted FROM aligned")
 def _(spark, folder):
     """5 % of the rows are flagged, less those that tie with the cut; all have higher scores than the rest."""
-    rows = S.readings(spark, folder)
-    flagged = iforest.flag(rows, iforest.fit(rows, ISOLATED, key=["event_id"]), ISOLATED)
+    rows = materialize(fleet_frame(spark, folder).select(*DIMS, *ANOMALY_FEATURES))
+    flagged = iforest.flag(rows, iforest.fit(rows, key=DIMS))
     score, odd = F.col("anomaly_score"), F.col("anomaly_flag") == -1
     low, high = F.min(F.when(odd, score)), F.max(F.when(~odd, score))
     return flagged.agg(
@@ -1136,6 +1220,25 @@ def _(spark, folder):
     return _insert_customers(spark, folder)[1]
 
 
+@query(
+    "b1_insert_two_unique",
+    """WITH RECURSIVE batch AS (SELECT c_custkey AS n, CAST(floor(c_acctbal / 10) * 10 AS BIGINT) AS email, substr(c_phone, 12) AS username,
+        row_number() OVER (ORDER BY c_custkey) AS k FROM customer),
+    step AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS emails, CAST([] AS VARCHAR[]) AS names, false AS fresh
+        UNION ALL SELECT b.k, CASE WHEN ok THEN list_append(s.emails, b.email) ELSE s.emails END, CASE WHEN ok THEN list_append(s.names, b.username) ELSE s.names END, ok
+        FROM step s JOIN (SELECT * FROM batch) b ON b.k = s.k + 1, LATERAL (SELECT NOT list_contains(s.emails, b.email) AND NOT list_contains(s.names, b.username) AS ok))
+    SELECT 7 + row_number() OVER (ORDER BY n) AS id, n, email, username FROM batch JOIN step USING (k) WHERE fresh""",
+)
+def _(spark, folder):
+    """Both the e-mail and the user name are unique: a row blocked by one that is itself blocked goes in."""
+    customers = S.table(spark, folder, "customer")
+    batch = customers.select(
+        F.col("c_custkey").alias("n"), (F.floor(F.col("c_acctbal") / 10) * 10).cast("long").alias("email"), F.substring("c_phone", 12, 9).alias("username")
+    )
+    known = spark.range(7, 8).select("id", F.lit(None).cast("long").alias("email"), F.lit(None).cast("string").alias("username"))
+    return relational.insert_unique(batch, known, ["email", "username"], ["n"])[0]
+
+
 _DEADLINES_SQL = """WITH rows AS (SELECT l_orderkey AS owner_id, l_partkey AS course_id, l_linenumber AS title,
     strftime(CASE WHEN l_returnflag = 'N' THEN TIMESTAMP '2024-01-01' ELSE l_shipdate END, '%Y-%m-%d %H:%M:%S') AS due_date,
     false AS is_completed,

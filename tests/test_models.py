@@ -11,7 +11,7 @@ from gridpulse.operators.metrics import anomaly_rate
 from gridpulse.schema import CLASS_NAMES, RISK
 from gridpulse.sources import writers
 
-TINY = training.Profile(trees=4, depth=4, rounds=3, boost_depth=3, boost_leaf=1, bins=16, iterations=30, forest_trees=10)
+TINY = training.Profile(trees=4, depth=4, rounds=3, boost_leaves=8, boost_leaf=1, bins=16, iterations=30, forest_trees=10)
 FEATURES = ["OTI", "WTI", "OLI"]
 
 
@@ -209,15 +209,3 @@ def test_saved_anomaly_model_flags_a_stream(spark, tmp_path):
     assert model.transform(stored.filter("id = 100")).first().anomaly_flag == 1
     nothing = iforest.fit_model(stored.limit(0), ["x", "y"], n_trees=2)
     assert nothing.transform(stored.limit(3)).filter("anomaly_flag = -1").isEmpty()
-
-
-def test_boosting_stops_early(frame):
-    profile = dataclasses.replace(TINY, rounds=40, early_stop_rows=1000)
-    noise = frame.withColumn("heat", F.rand(5))
-    sides = split.random_split(noise, key=["id"])
-    boosted = {"HistGradientBoosting": training.fit_boosted_regressor}
-    rounds = [
-        training.boosting_rounds(training.compare_regressors(*sides, FEATURES, label="heat", profile=p, candidates=boosted).model)
-        for p in (profile, dataclasses.replace(profile, early_stop_rows=10_000, rounds=6))
-    ]
-    assert len(rounds[0]) == 1 and rounds[0][0] < 40 and rounds[1] == [6]

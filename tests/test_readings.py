@@ -156,3 +156,32 @@ def test_appends_leave_no_staging_behind(spark, tmp_path):
     files = writers.readings_of_days(spark, path, [day, dt.date(1999, 1, 1)]).inputFiles()
     assert files and all(f"{writers.DATE_PARTITION}={day}/" in f for f in files)
     assert writers.readings_of_days(spark, path, [dt.date(1999, 1, 1)]) is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [1000, 100_000])
+def test_history_of_a_hot_device_is_cut_before_it_meets(spark, limit):
+    rows = spark.range(5000).select(F.when(F.col("id") < 4900, "hot").otherwise("cold").alias("device"), "id", F.timestamp_seconds("id").alias(KEY))
+    newest = readings.history(rows, limit, by=["device"])
+    # Rows are ranked once before the exchange by device alone, whatever the limit.
+    assert ("WindowGroupLimit" in _plan(newest)) == (limit <= 1000) and ("_salt" in _plan(newest)) == (limit > 1000)
+    want = sorted(("hot", i) for i in range(max(0, 4900 - limit), 4900)) + sorted(("cold", i) for i in range(4900, 5000))
+    assert sorted((r.device, r.id) for r in newest.collect()) == sorted(want)
+
+
+def test_history_above_the_bound_takes_the_newest(spark, monkeypatch):
+    rows = spark.range(6000).select((F.col("id") % 2).alias("device"), "id", F.timestamp_seconds("id").alias(KEY))
+    got = readings.history(rows, 1500, by=["device"])
+    assert sorted(r.id for r in got.collect()) == list(range(3000, 6000))
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("skip", [1001, 2995, 4990, 6000])
+def test_deep_pages(spark, descending, skip):
+    rows = spark.range(5000).select(F.when(F.col("id") >= 3, F.col("id") * 7 % 5003).alias("k")).repartition(7)
+    keys = sorted((r.k for r in rows.collect()), key=lambda k: (k is not None, k or 0), reverse=descending)
+    got = [r.k for r in readings.page(rows, "k", skip, 20, descending=descending).collect()]
+    assert got == keys[skip : skip + 20]

@@ -41,6 +41,38 @@ def test_bulk_insert_equals_row_by_row(spark, columns, seed):
     assert {r.n: r.reason for r in rejected.collect()} == reasons
 
 
+@pytest.mark.parametrize("group_rows", [200_000, 40])
+def test_long_chains_need_few_rounds(spark, monkeypatch, group_rows):
+    """Each row shares a value with the next; with small groups the chain is cut, and grouped anew."""
+    monkeypatch.setattr(relational, "GROUP_ROWS", group_rows)
+    many = 120
+    rows = [(i, f"e{(i + 1) // 2}", f"u{i // 2}") for i in range(many)]
+    # A second chain in which the first rows come last in one column, so that nothing is first in all but its head.
+    rows += [(1000 + i, f"x{i}", f"x{i - 1}") for i in range(many)]
+    batch = [dict(zip(("n", "email", "username"), (n, e, u))) for n, e, u in rows]
+    # Names and addresses share no values: tie them the way that a chain needs.
+    target = spark.createDataFrame([], "id long, email string, username string")
+    df = spark.createDataFrame(rows, "n int, email string, username string")
+    inserted, rejected = relational.insert_unique(df, target, ["email", "username"], ["n"])
+    want, _ = by_hand(batch, [], ["email", "username"])
+    assert [r.n for r in inserted.orderBy("id").collect()] == want
+    assert rejected.count() == len(rows) - len(want)
+
+
+def test_groups_of_conflicts(spark):
+    rows = spark.createDataFrame([(0, "a", 1), (1, "b", 1), (2, "b", 2), (3, "c", 3), (4, None, 3), (5, None, None), (6, None, None), (7, "d", 9)], "_row long, x string, y int")
+    got = {r["_row"]: r["_group"] for r in relational.conflict_groups(rows, ["x", "y"]).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
+
+
+def test_child_ids_continue_the_stored_ones(spark):
+    users = spark.createDataFrame([(1,)], "id long")
+    stored = spark.createDataFrame([(41,), (12,)], "id long")
+    batch = spark.createDataFrame([("a", 1), ("b", 1)], "title string, owner_id long")
+    ok, _ = relational.insert_children(batch, {"owner_id": users}, {}, order=["title"], target=stored)
+    assert [(r.id, r.title) for r in ok.orderBy("id").collect()] == [(42, "a"), (43, "b")]
+
+
 def test_insert_into_an_empty_table(spark):
     target = spark.createDataFrame([], "id long, code string")
     batch = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "code string, n int")
