@@ -1222,7 +1222,7 @@ def _(spark, folder):
 
 @query(
     "b1_insert_two_unique",
-    """WITH RECURSIVE batch AS (SELECT c_custkey AS n, CAST(floor(c_acctbal / 10) * 10 AS BIGINT) AS email, substr(c_phone, 12) AS username,
+    """WITH RECURSIVE batch AS (SELECT c_custkey AS n, CAST(floor(c_acctbal / 10) * 10 AS BIGINT) AS email, CAST(c_nationkey AS VARCHAR) || ':' || CAST(c_custkey * 7 % 50 AS VARCHAR) AS username,
         row_number() OVER (ORDER BY c_custkey) AS k FROM customer),
     step AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS emails, CAST([] AS VARCHAR[]) AS names, false AS fresh
         UNION ALL SELECT b.k, CASE WHEN ok THEN list_append(s.emails, b.email) ELSE s.emails END, CASE WHEN ok THEN list_append(s.names, b.username) ELSE s.names END, ok
@@ -1233,7 +1233,7 @@ def _(spark, folder):
     """Both the e-mail and the user name are unique: a row blocked by one that is itself blocked goes in."""
     customers = S.table(spark, folder, "customer")
     batch = customers.select(
-        F.col("c_custkey").alias("n"), (F.floor(F.col("c_acctbal") / 10) * 10).cast("long").alias("email"), F.substring("c_phone", 12, 9).alias("username")
+        F.col("c_custkey").alias("n"), (F.floor(F.col("c_acctbal") / 10) * 10).cast("long").alias("email"), F.concat_ws(":", "c_nationkey", F.col("c_custkey") * 7 % 50).alias("username"),
     )
     known = spark.range(7, 8).select("id", F.lit(None).cast("long").alias("email"), F.lit(None).cast("string").alias("username"))
     return relational.insert_unique(batch, known, ["email", "username"], ["n"])[0]
