@@ -1,22 +1,25 @@
 """Fill gaps in time order, per device or over one single series.
 
-A window over a whole series puts that series into one task, which suits any number of short ones.
-For long series, the two-pass form cuts time into chunks of about equal row counts instead:
-
-1. per (device, chunk), the last and first value of every column that is not missing; this combines
-   before the shuffle and yields one row per device and chunk;
-2. a window over those few rows gives each chunk its *seed*: the value the rows at its start inherit;
-3. a window inside (device, chunk), whose gaps at the start take the seed.
-
-The data is shuffled once. How the chunks are cut never changes the result, only the balance.
+A window over a whole series puts that series into one task, which suits any number of short ones. The
+scan takes series of any length: rows are dealt once by ranges of (device, time, tiebreak), so a long series
+lies in several ranges, and each task fills the rows of its range in order. A series that may go on
+before or after the rows a task holds is a *segment*: the first and the last of a range, and each piece of
+a series that is longer than ``FLUSH_ROWS``. Gaps at its start stay open; the task adds the first and the
+last value of each column of the segment. From those few rows (two segments a range, and one for each
+``FLUSH_ROWS`` rows, at most) follows what each segment inherits, and a last pass without an exchange fills
+the open gaps. How rows are dealt never changes the result, only the balance.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,66 +27,15 @@ from pyspark.sql import types as T
 from gridpulse.schema import KEY
 from gridpulse.session import materialize
 
-_CHUNK, _OWNER, _TIME = "_chunk", "_owner", "_time"
-_LAST_TIME = (1 << 63) - 1
+_SEGMENT, _MARK = "_segment", "_mark"
+FLUSH_ROWS = 100_000
 CHUNK_ROWS = 1_000_000
 LONG_SERIES = 1_000_000
 MAX_LISTED_SERIES = 10_000
-_FIT_A_DOUBLE = (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)
-
-
-def _micros(column: str) -> Column:
-    """Time as an integer; missing times come last, as the reader of a sorted series expects."""
-    return F.coalesce(F.unix_micros(F.col(column).cast("timestamp")), F.lit(_LAST_TIME))
-
-
-def _edges(df: DataFrame, column: Column, chunks: int) -> list[float]:
-    """Approximate quantiles: a sketch of bounded size, whatever the number of rows."""
-    numbers = df.select(column.cast("double").alias("v"))
-    shares = [i / chunks for i in range(1, chunks)]
-    return numbers.approxQuantile("v", shares, 1.0 / (4 * chunks))
-
-
-def _bucket(df: DataFrame, column: Column, edges: list[float], name: str) -> DataFrame:
-    cuts = sorted(set(edges))
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_position", outputCol=name, handleInvalid="keep")
-    placed = cut.transform(df.withColumn("_position", column.cast("double"))).drop("_position")
-    # Never null, which the planner must see: a null check pushed into one reader of a shared shuffle
-    # would keep the shuffle from being shared.
-    return placed.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(len(splits))))
-
-
-def with_time_chunks(
-    df: DataFrame, time_column: str, tiebreak: list[str], chunks: int, name: str = _CHUNK
-) -> DataFrame:
-    """Number the chunks in the order (time, first tiebreak).
-
-    A time that shows up among the cuts more than once holds several chunks' worth of rows; those
-    rows are cut again along the first tiebreak, if that is a number.
-    """
-    position = _micros(time_column)
-    edges = _edges(df, position, chunks)
-    hot = sorted({e for e in edges if edges.count(e) > 1})
-    out = _bucket(df, position, edges, name)
-    numeric = tiebreak and isinstance(df.schema[tiebreak[0]].dataType, T.NumericType)
-    if not hot or not numeric:
-        return out
-    # Long times lose digits as doubles, all rows of one time alike: the order stays.
-    is_hot = position.cast("double").isin(hot)
-    rank = F.coalesce(F.col(tiebreak[0]).cast("double"), F.lit(float("-inf")))
-    inner = _edges(df.filter(is_hot), rank, chunks)
-    out = _bucket(out, rank, inner, "_inner")
-    # A hot time is a cut itself, so it is the first of its chunk and later times follow it.
-    step = len(set(inner)) + 2
-    within = F.when(is_hot, F.col("_inner")).otherwise(F.lit(step - 1))
-    return out.withColumn(name, F.col(name) * step + within).drop("_inner")
 
 
 def default_chunks(df: DataFrame, outline: DataFrame | None = None) -> int:
-    """Chunks of about ``CHUNK_ROWS`` rows, as many as the rows ask for, and at least one per shuffle
+    """Ranges of about ``CHUNK_ROWS`` rows, as many as the rows ask for, and at least one per shuffle
     partition. Counts ``outline``, where there is a cheaper frame with as many rows."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(2, partitions, -(-(df if outline is None else outline).count() // CHUNK_ROWS))
@@ -120,84 +72,120 @@ def _fill_by_window(df, columns, time_column, by, tiebreak, forward, backward, c
     return df.withColumns({c: value(c) for c in columns})
 
 
-def _edge_values(data: DataFrame, columns: list[str], time_column: str, tiebreak: list[str], owner: list[str]) -> DataFrame:
-    """Last and first value per (owner, chunk) of columns that fit a double, as ``_last_*``/``_first_*``.
-
-    Cells become rows: one aggregate over (chunk, column) runs in compact compiled code, where two
-    aggregates per column would not, and missing cells drop out before it. One more cell per row, always
-    present, keeps chunks without any value.
-    """
-    cells = F.array(*[F.col(c).cast("double") for c in columns], F.lit(0.0))
-    order = F.struct("_at", *tiebreak) if tiebreak else F.col("_at")
-    edges = (
-        data.select(*owner, _CHUNK, _micros(time_column).alias("_at"), *tiebreak, F.posexplode(cells).alias("_cell", "_value"))
-        .filter(F.col("_value").isNotNull())
-        .groupBy(*owner, _CHUNK, "_cell")
-        .agg(F.max_by("_value", order).alias("_last"), F.min_by("_value", order).alias("_first"))
-    )
-    entry = F.struct("_cell", F.struct("_last", "_first"))
-    table = edges.groupBy(*owner, _CHUNK).agg(F.map_from_entries(F.collect_list(entry)).alias("_edges"))
-    found = {
-        f"{side}_{c}": F.try_element_at("_edges", F.lit(i))[side].cast(data.schema[c].dataType)
-        for i, c in enumerate(columns)
-        for side in ("_last", "_first")
-    }
-    return table.select(*owner, _CHUNK, *[v.alias(n) for n, v in found.items()])
-
-
-def _other_edge_values(data: DataFrame, columns: list[str], time_column: str, tiebreak: list[str], owner: list[str]) -> DataFrame:
-    """The same for columns of any type, two aggregates each."""
-    position = _micros(time_column)
-    order = F.struct(position, *tiebreak) if tiebreak else position
-    sides = (("_last", F.max_by), ("_first", F.min_by))
-    return data.groupBy(*owner, _CHUNK).agg(*[
-        pick(c, F.when(F.col(c).isNotNull(), order)).alias(f"{side}_{c}") for c in columns for side, pick in sides
+def _owner_starts(table: pa.Table, by: list[str]) -> np.ndarray:
+    """Where the rows of each device start."""
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for c in by:
+        codes = table[c].combine_chunks()
+        codes = pc.dictionary_encode(codes, null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        change[1:] |= np.diff(codes.indices.to_numpy()) != 0
+    return np.flatnonzero(change)
+
+
+def _filled(table: pa.Table, columns: list[str], by: list[str], starts: np.ndarray, open_: np.ndarray, both: bool, segments: np.ndarray) -> pa.Table:
+    """The rows with the gaps filled that they decide themselves, and two rows for each open segment with
+    the first and the last value of each column."""
+    n = table.num_rows
+    sizes = np.diff(np.append(starts, n))
+    start, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    whole = ~np.repeat(open_, sizes)
+    place = np.arange(n)
+    some = np.flatnonzero(open_)
+    first_row, last_row = starts[some], starts[some] + sizes[some] - 1
+    body, marks = {}, {}
+    for c in table.column_names:
+        column = table[c].combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        if c not in columns:
+            body[c] = column
+            inner = column.take(pa.array(first_row)) if c in by else pa.nulls(len(some), column.type)
+            marks[c] = pa.concat_arrays([inner, inner])
+            continue
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        before = np.maximum.accumulate(np.where(valid, place, -1))
+        after = np.minimum.accumulate(np.where(valid, place, n)[::-1])[::-1]
+        known = before >= start
+        at = np.where(known, before, after if both else n)
+        known |= both & whole & (after < end)
+        body[c] = column.take(pa.array(np.where(known, at, 0), mask=~known))
+        first, last = after[first_row], before[last_row]
+        index = np.concatenate([first, last])
+        inside = np.concatenate([first <= last_row, last >= first_row])
+        marks[c] = column.take(pa.array(np.where(inside, index, 0), mask=~inside))
+    body[_SEGMENT] = pa.array(np.repeat(segments, sizes), mask=whole)
+    body[_MARK] = pa.array(np.zeros(n, np.int32))
+    marks[_SEGMENT] = pa.array(np.tile(segments[some], 2), pa.int64())
+    marks[_MARK] = pa.array(np.repeat([1, 2], len(some)), pa.int32())
+    return pa.concat_tables([pa.table(body), pa.table(marks)])
+
+
+def _scan_range(columns: list[str], by: list[str], both: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, continues = TaskContext.get().partitionId(), 0, True
+        held: list[pa.RecordBatch] = []
+
+        def fill(table: pa.Table, starts: np.ndarray, goes_on: bool) -> pa.Table:
+            nonlocal number, continues
+            open_ = np.zeros(len(starts), bool)
+            open_[0], open_[-1] = continues, open_[-1] or goes_on or (continues and len(starts) == 1)
+            segments = (part << 32) + number + np.arange(len(starts))
+            number += len(starts)
+            continues = goes_on
+            return _filled(table, columns, by, starts, open_, both, segments)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= FLUSH_ROWS:
+                table = pa.Table.from_batches(held)
+                starts = _owner_starts(table, by)
+                cut = int(starts[-1])
+                if cut:  # the last series may go on, so it waits
+                    yield from fill(table.slice(0, cut), starts[:-1], False).to_batches()
+                    held = table.slice(cut).to_batches()
+                else:
+                    yield from fill(table, starts, True).to_batches()
+                    held = []
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from fill(table, _owner_starts(table, by), True).to_batches()
+
+    return run
+
+
+def _fill_by_scan(df, columns, time_column, by, tiebreak, forward, backward, constant, ranges):
+    order = [*[F.col(c).asc() for c in by], *_row_order(time_column, tiebreak, reverse=not forward)]
+    sorted_rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    both = forward and backward
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema]
+    schema = T.StructType([*fields, T.StructField(_SEGMENT, T.LongType()), T.StructField(_MARK, T.IntegerType())])
+    written = materialize(sorted_rows.mapInArrow(_scan_range(columns, by, both), schema))
+    marks = written.filter(F.col(_MARK) > 0)
+    edges = marks.groupBy(*by, _SEGMENT).agg(*[
+        F.first(F.when(F.col(_MARK) == k, F.col(c)), ignorenulls=True).alias(f"{side}_{c}") for c in columns for k, side in ((1, "_first"), (2, "_last"))
     ])
-
-
-def _seeds(data, columns, time_column, tiebreak, owner, forward, backward, constant):
-    """One row per (owner, chunk): what its leading (forward) or trailing (backward only) gap takes."""
-    compact = [c for c in columns if isinstance(data.schema[c].dataType, _FIT_A_DOUBLE)]
-    other = [c for c in columns if c not in compact]
-    tables = [
-        summarize(data, group, time_column, tiebreak, owner)
-        for summarize, group in ((_edge_values, compact), (_other_edge_values, other))
-        if group
-    ]
-    summary = reduce(lambda a, b: a.join(b, [*owner, _CHUNK]), tables)
-    series = Window.partitionBy(*owner).orderBy(_CHUNK)
+    series = Window.partitionBy(*by).orderBy(_SEGMENT)
     earlier = series.rowsBetween(Window.unboundedPreceding, -1)
-    # After a forward fill, only the series' own leading gap is left: it takes the first value of all.
-    later = (
-        series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        if forward
-        else series.rowsBetween(1, Window.unboundedFollowing)
-    )
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def seed(c: str) -> Column:
-        steps = [F.last(f"_last_{c}", ignorenulls=True).over(earlier)] if forward else []
-        steps += [F.first(f"_first_{c}", ignorenulls=True).over(later)] if backward else []
-        steps += [F.lit(constant).cast(data.schema[c].dataType)] if constant is not None else []
+        steps = [F.last(f"_last_{c}", ignorenulls=True).over(earlier)]
+        # After a forward fill, only the series' own leading gap is left: it takes the first value of all.
+        steps += [F.first(f"_first_{c}", ignorenulls=True).over(whole)] if both else []
         return F.coalesce(*steps).alias(f"_seed_{c}")
 
-    return summary.select(*owner, _CHUNK, *[seed(c) for c in columns])
-
-
-def _fill_in_two_passes(df, columns, time_column, by, tiebreak, forward, backward, constant, chunks):
-    names = df.columns
-    # A struct of nulls equals another one, so a missing device id is one device.
-    data = df.withColumn(_OWNER, F.struct(*by)) if by else df
-    owner = [_OWNER] if by else []
-    data = with_time_chunks(data, time_column, tiebreak, chunks)
-    # Written first, so that the planner knows its size and broadcasts it where it is small.
-    seeds = materialize(_seeds(data, columns, time_column, tiebreak, owner, forward, backward, constant))
-    joined = data.join(seeds, [_CHUNK, *owner], "inner")
-    order = _row_order(time_column, tiebreak, reverse=not forward)
+    seeds = edges.select(_SEGMENT, *[seed(c) for c in columns])
+    # Two rows a range and one for FLUSH_ROWS rows, at most: small however long the series are.
+    rows = written.filter(F.col(_MARK) == 0).join(F.broadcast(seeds), _SEGMENT, "left")
 
     def value(c: str) -> Column:
-        return F.coalesce(_so_far(c, [_CHUNK, *owner], order), F.col(f"_seed_{c}"))
+        steps = [F.col(c), F.col(f"_seed_{c}")]
+        return F.coalesce(*steps, *([F.lit(constant).cast(df.schema[c].dataType)] if constant is not None else [])).alias(c)
 
-    return joined.withColumns({c: value(c) for c in columns}).select(*names)
+    return rows.select(*[value(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def _by_length(df: DataFrame, outline: DataFrame, by: list[str], limit: int) -> tuple[DataFrame | None, DataFrame | None]:
@@ -234,8 +222,8 @@ def fill_gaps(
 
     ``columns`` defaults to all but the time, device and tiebreak columns. Give a ``tiebreak`` where
     times repeat: their order is undefined otherwise. ``strategy="window"`` uses one window per
-    series, ``"two_pass"`` cuts all of them; ``"auto"`` counts the rows per series first (one job over
-    the ``by`` columns) and cuts those with more than ``long_series`` rows. ``outline`` may give a
+    series, ``"scan"`` (or ``"two_pass"``) ranges of rows whatever the series; ``"auto"`` counts the rows per
+    series first (one job over the ``by`` columns) and scans those with more than ``long_series`` rows. ``outline`` may give a
     cheaper frame to count by, with at least as many rows per series.
     """
     by, tiebreak = list(by or []), list(tiebreak or [])
@@ -247,12 +235,12 @@ def fill_gaps(
         short, long = _by_length(df, df if outline is None else outline, by, long_series)
         parts = [_fill_by_window(short, *options)] if short is not None else []
         if long is not None:
-            parts.append(_fill_in_two_passes(long, *options, chunks or default_chunks(df, outline)))
+            parts.append(_fill_by_scan(long, *options, chunks or default_chunks(df, outline)))
         return reduce(DataFrame.unionAll, parts)
     if strategy == "window":
         return _fill_by_window(df, *options)
-    if strategy == "two_pass":
-        return _fill_in_two_passes(df, *options, chunks or default_chunks(df, outline))
+    if strategy in ("scan", "two_pass"):
+        return _fill_by_scan(df, *options, chunks or default_chunks(df, outline))
     raise ValueError(f"unknown strategy: {strategy}")
 
 

@@ -129,13 +129,27 @@ def test_window_equals_plain_pandas(spark):
     assert got[["a", "b", "c"]].values.tolist() == pdf[["a", "b", "c"]].values.tolist()
 
 
+@pytest.mark.parametrize("by", [[], ["device"]])
+def test_long_series_are_filled_in_pieces(spark, monkeypatch, by):
+    monkeypatch.setattr(fill, "FLUSH_ROWS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        df = series(spark, rows=900)
+        options = dict(columns=["a", "b", "c"], by=by, tiebreak=["tie"])
+        want = table(fill.fill_gaps(df, strategy="window", **options))
+        assert table(fill.fill_gaps(df, strategy="scan", chunks=3, **options)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_hot_moment_is_cut_along_the_tiebreak(spark):
     df = spark.range(4000).select(
-        F.lit(START).alias(KEY), F.col("id").cast("int").alias("tie"), F.when(F.col("id") % 1000 == 5, 1.0).alias("a")
+        F.lit(START).alias(KEY), F.col("id").cast("int").alias("tie"), F.when(F.col("id") % 1000 == 5, 1.0).alias("a"), F.lit("x").alias("note")
     )
-    chunked = fill.with_time_chunks(df, KEY, ["tie"], 8)
-    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
-    assert len(sizes) >= 6 and max(sizes) <= 1500
+    filled = fill.fill_gaps(df, ["a"], tiebreak=["tie"], strategy="scan", chunks=8)
+    assert filled.filter("a IS NULL").isEmpty() and filled.count() == 4000 and filled.filter("note <> 'x'").isEmpty()
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no row moves again
 
 
 @pytest.mark.parametrize("rows", [0, 1])
