@@ -105,6 +105,15 @@ def labelled_sample(labels: DataFrame, label: str, folds: int, held_out: int, si
     return ids[0].unionAll(ids[1]).select(F.col(id_column), F.col("y").cast("int").alias("y"))
 
 
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, size: int) -> DataFrame:
+    """(doc_id, y, text) of a ``labelled_sample``: one row an id, that with the smallest hash of its text where
+    an id has several. So at most ``size`` rows of each class go on, however often ids repeat."""
+    sample = labelled_sample(labels, label, folds, held_out, size)
+    texts = docs.select("doc_id", "text").join(sample, "doc_id")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text")))
+    return texts.groupBy("doc_id", "y").agg(first.alias("text"))
+
+
 def is_held_out(folds: int, remainder: int, id_column: str = "doc_id") -> Column:
     """Whether crc32 of the id, as text, leaves this remainder; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds == remainder

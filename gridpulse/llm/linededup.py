@@ -134,8 +134,9 @@ def _without(parts: Column, runs: Column) -> Column:
 def delete_repeated_runs(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", counts: bool = False, **options
 ) -> DataFrame:
-    """``docs`` with the repeated runs deleted from the texts. ``counts`` adds ``n_lines`` and
-    ``n_removed``, the lines before and those deleted."""
+    """``docs`` with the repeated runs deleted from the texts, and all other columns as they are. ``counts`` adds
+    ``n_lines`` and ``n_removed``, the lines before and those deleted, with underscores before the names where
+    ``docs`` has such columns."""
     scratch = Scratch(docs.sparkSession)
     # The same plan at every size: texts meet their runs in an exchange, never by a broadcast.
     runs = scratch.table(repeated_runs(docs, scratch, id_column, text_column, **options))
@@ -150,5 +151,5 @@ def delete_repeated_runs(
     out = [cut.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         removed = F.aggregate(F.col(run_list), F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"] + 1)
-        out += [F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed")]
+        out += [F.coalesce(n_lines, F.lit(0)).alias(unused(docs, "n_lines")), F.coalesce(removed, F.lit(0)).cast("bigint").alias(unused(docs, "n_removed"))]
     return joined.select(*out)

@@ -13,7 +13,8 @@ nothing is shuffled.
 
 Defined results: every document has one feature for its end, so null and empty texts have a score (that
 feature's). Without labels, or with those of one class only, the model says 0.5 or nearly that class.
-Labels other than 0 and 1 and null ids of labels do not count. Repeated rows are scored each.
+Labels other than 0 and 1 and null ids of labels do not count; an id on several rows gives one example.
+Repeated rows are scored each, and without rows there are no scores.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import fit_in_one_task, labelled_sample, unused
+from gridpulse.llm.common import fit_in_one_task, sampled_texts, unused
 from gridpulse.llm.textbytes import SLICE, SOLID, cuts, groups, hash_words, text_bytes
 
 BITS = 15
@@ -139,13 +140,14 @@ def _fit(rows: pa.Table) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_docs: int = FIT_DOCS) -> np.ndarray:
     """The model, from labelled documents that are not held out."""
-    sample = labelled_sample(labels, label, FOLDS, HELD_OUT, fit_docs)
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("y", "text")
+    texts = sampled_texts(docs, labels, label, FOLDS, HELD_OUT, fit_docs).select("y", "text")
     return fit_in_one_task(texts.mapInArrow(_counted, "y int, buckets array<int>, counts array<int>"), _fit)
 
 
 def score(docs: DataFrame, model: np.ndarray, text_column: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of class 1 as a further column ``name``."""
+    """``docs`` with the probability of class 1 as a further column ``name``; with underscores before it where
+    ``docs`` has a column of that name."""
+    name = unused(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
@@ -162,5 +164,5 @@ def score(docs: DataFrame, model: np.ndarray, text_column: str = "text", name: s
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of ``threshold`` or more, with all their columns."""
     name = unused(docs, "score")
-    scored = score(docs, fit(docs, labels), name=name)
+    scored = score(docs, fit(docs, labels))
     return scored.filter(F.col(name) >= threshold).drop(name)

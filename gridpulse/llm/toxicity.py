@@ -22,7 +22,8 @@ scores in another. Shuffled are counts of terms, and (row, word) pairs of the wo
 as the examples are drawn by a hash, such a word is rare, and no task gets many rows for one.
 
 Defined results: texts without a known term (null and empty ones too) have no neighbours and the score
-of the bare share. Without labels all score 0. Repeated rows are scored each.
+of the bare share. Without labels all score 0. Repeated rows are scored each; an id on several rows gives one
+example. Ids may be numbers or texts.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import Scratch, fit_in_one_task, is_held_out, labelled_sample
+from gridpulse.llm.common import Scratch, fit_in_one_task, is_held_out, sampled_texts
 from gridpulse.llm.textbytes import column_words
 
 EXAMPLES = 2000
@@ -243,8 +244,7 @@ def build_index(examples: Examples, n_docs: int, frequencies: np.ndarray, prior:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Index:
-    sample = labelled_sample(labels, label, FOLDS, HELD_OUT, examples)
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "y", "text")
+    texts = sampled_texts(docs, labels, label, FOLDS, HELD_OUT, examples).select("doc_id", "y", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(_example_rows, f"id {kind}, y int, terms array<bigint>, counts array<bigint>")
     chosen = fit_in_one_task(rows, _collect)
@@ -266,6 +266,7 @@ def _other_squares(found: DataFrame) -> DataFrame:
 def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row its id, ``score`` and the evidence: ``neighbours`` (ids of examples) and ``cosines``."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    text_ids = index.ids.dtype == object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Index = shared.value
@@ -282,12 +283,12 @@ def score(docs: DataFrame, index: Index, id_column: str = "doc_id", text_column:
                     some = weights > 0
                     who, dots[k] = model.nearest(at[some], weights[some])
                     near[k], toxic[k] = model.ids[who], model.y[who]
-            lists = [pa.array(x, pa.list_(t)) for x, t in ((near, pa.int64()), (dots, pa.float64()), (toxic, pa.int64()), (words, pa.int64()), (counts, pa.int64()))]
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((near, pa.string() if text_ids else pa.int64()), (dots, pa.float64()), (toxic, pa.int64()), (words, pa.int64()), (counts, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), *lists], ["id", "known", "near", "dots", "toxic", "words", "counts"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     found = docs.select(id_column, text_column).mapInArrow(
-        run, f"id {kind}, known double, near array<bigint>, dots array<double>, toxic array<bigint>, words array<bigint>, counts array<bigint>"
+        run, f"id {kind}, known double, near array<{'string' if text_ids else 'bigint'}>, dots array<double>, toxic array<bigint>, words array<bigint>, counts array<bigint>"
     )
     # Rows are numbered and written before anything is joined by their numbers.
     found = Scratch(docs.sparkSession).table(found.withColumn("row", F.monotonically_increasing_id()))
