@@ -1137,6 +1137,45 @@ def _(spark, folder):
     )
 
 
+def _gappy(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(later readings with gaps, earlier ones) of the two halves of the period."""
+    rows, half = S.readings(spark, folder), F.lit(HALF).cast("timestamp")
+    gaps = {c: F.when(F.col("event_id") % k != 0, F.col(c)) for c, k in (("OTI", 3), ("WTI", 4), ("OLI", 2))}
+    gappy = rows.withColumns(gaps)
+    return gappy.filter(F.col(KEY) >= half), gappy.filter(F.col(KEY) < half)
+
+
+def _filled_sql() -> str:
+    carried = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER up, 0) AS {c}" for c in ("OTI", "WTI", "ATI", "OLI", "OTI_A"))
+    gaps = ", ".join(f"CASE WHEN event_id % {k} <> 0 THEN {c} END AS {c}" for c, k in (("OTI", 3), ("WTI", 4), ("OLI", 2)))
+    return READINGS + f""", gappy AS (SELECT * REPLACE ({gaps}) FROM readings),
+filled AS (SELECT {DEVICE}, {KEY}, event_id, {carried} FROM gappy
+  WINDOW up AS (PARTITION BY {DEVICE} ORDER BY {KEY}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+scored AS (SELECT *, CAST({LEVEL} AS INTEGER) AS risk, round_even(WTI / 4 + ATI, 2) AS temperature FROM (SELECT *, 0 AS MOG_A, 0 AS OTI_T FROM filled))
+SELECT event_id, risk AS Predicted_Fault_Risk, temperature AS Predicted_OTI_Temp_C FROM scored"""
+
+
+@query("m13_score_batch_fill", _filled_sql() + f" WHERE {KEY} >= TIMESTAMP '{HALF}'")
+def _(spark, folder):
+    """Gaps of the later readings take what is known of the device before them, stored or in the batch."""
+    batch, stored = _gappy(spark, folder)
+    scored = score_batch(batch, _rule_classifier(), _rule_regressor(), needed=SENSORS, nulls="fill", history=stored, tiebreak=["event_id"])
+    return scored.select("event_id", "Predicted_Fault_Risk", "Predicted_OTI_Temp_C")
+
+
+@query("st3_score_stream_fill", _filled_sql())
+def _(spark, folder):
+    """The same from a stream, whose state knows what came before."""
+    stored = scratch_path(spark)
+    batch, earlier = _gappy(spark, folder)
+    earlier.unionAll(batch).coalesce(1).write.parquet(stored)
+    stream = spark.readStream.schema(earlier.schema).parquet(stored)
+    scored = streams.score_stream(stream, _rule_classifier(), _rule_regressor(), needed=SENSORS, nulls="fill", tiebreak=["event_id"])
+    out = scratch_path(spark)
+    _drain(scored.writeStream.format("parquet").option("path", out).trigger(availableNow=True), spark)
+    return spark.read.parquet(out).select("event_id", "Predicted_Fault_Risk", "Predicted_OTI_Temp_C")
+
+
 @query(
     "m13_score_upload",
     SCORED + f""", totals AS (SELECT count(*) AS total_rows, count(*) FILTER (risk = 0) AS risk_0, count(*) FILTER (risk = 1) AS risk_1,

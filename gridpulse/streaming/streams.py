@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from gridpulse.operators.carry import carry_stream
 from gridpulse.operators.scoring import score_batch, score_detail
 from gridpulse.schema import DEVICE, KEY, READING_TIME
 from gridpulse.sources.writers import ImportTally, append_idempotent
@@ -81,9 +82,14 @@ def ingest_stream(
     return stream.writeStream.foreachBatch(write)
 
 
-def score_stream(stream: DataFrame, classifier: Transformer, regressor: Transformer, **options) -> DataFrame:
-    """ST3: every arriving reading, scored. Gaps cannot be filled from neighbours here: choose a
-    null policy of ``zero`` or ``error``."""
-    if options.setdefault("nulls", "error") not in ("zero", "error"):
-        raise ValueError("a stream needs the null policy 'zero' or 'error'")
+def score_stream(
+    stream: DataFrame, classifier: Transformer, regressor: Transformer, by: list[str] | None = None, tiebreak: list[str] | None = None, **options
+) -> DataFrame:
+    """ST3: every arriving reading, scored. Choose a null policy: ``zero``, ``error``, or ``fill``, which takes
+    the last known values of the device (``by``) from the stream's state (see ``carry_stream``)."""
+    if options.setdefault("nulls", "error") not in ("zero", "error", "fill"):
+        raise ValueError("a stream needs the null policy 'zero', 'error' or 'fill'")
+    if options["nulls"] == "fill":
+        stream = carry_stream(stream, list(by or [DEVICE]), options.get("key", KEY), tiebreak)
+        options["nulls"] = "zero"
     return score_batch(stream, classifier, regressor, **options)

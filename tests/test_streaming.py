@@ -100,3 +100,28 @@ def test_scored_stream_equals_scored_batch(spark, feed, rules, tmp_path):
     assert sorted(spark.read.parquet(out).collect(), key=repr) == sorted(batch.collect(), key=repr)
     with pytest.raises(ValueError, match="null policy"):
         streams.score_stream(feed.stream(), *rules, nulls="keep")
+
+
+def test_filled_stream_equals_filled_batch(spark, feed, rules, tmp_path):
+    """Values known from earlier micro-batches fill later gaps; the batch takes them from the history."""
+    first = [("a", 1, 80.0, None), ("a", 2, None, 40.0), ("b", 1, None, 20.0)]
+    second = [("a", 3, None, None), ("b", 2, None, None), ("b", 3, 99.0, None), ("c", 1, None, 5.0)]
+    out = str(tmp_path / "out")
+
+    def drained(name):
+        scored = streams.score_stream(feed.stream(), *rules, nulls="fill")
+        drain(scored.writeStream.format("parquet").option("path", out).trigger(availableNow=True), tmp_path, name)
+
+    feed.arrive(first)
+    drained("one")
+    history = spark.createDataFrame(spark.read.schema(SCHEMA).parquet(feed.path).collect(), SCHEMA)
+    feed.arrive(second)
+    drained("one")
+    everything = spark.read.schema(SCHEMA).parquet(feed.path)
+    late = everything.exceptAll(history)
+    want = score_batch(late, *rules, nulls="fill", history=history).collect()
+    assert len(want) == 4
+    got = spark.read.parquet(out).collect()
+    assert len(got) == 7 and {tuple(r) for r in want} <= {tuple(r) for r in got}
+    with pytest.raises(ValueError, match="stored readings"):
+        score_batch(late, *rules, nulls="fill")
