@@ -1,14 +1,18 @@
 """Embedding near-dedup by a forest of random-projection trees (2).
 
 A tree splits the unit sphere again and again at the median of a random direction, until the largest
-label has about ``leaf_rows`` vectors a leaf. A vector within ``spill`` of a split goes down both
-sides, so a pair is parted only if its projections differ by more than twice that. Vectors are compared
-within the leaves of ``trees`` such trees, in double precision, only with equal label and dimension.
+label has about ``leaf_rows`` vectors a leaf. A vector within ``spill`` / sqrt(dimension) of a split goes
+down both sides, so a pair is parted only if its projections differ by more than twice that; projections
+of unit vectors shrink with the root of the dimension, so the share of vectors that spill does not depend
+on it. Vectors are compared within the leaves of ``trees`` such trees, in double precision, only with equal
+label and dimension.
 
-Directions and medians come from a sample of ``fit_rows`` vectors (those with the smallest hash), which
-the driver fits; every vector is then dealt to its leaves. The depth stops where the sample has fewer
-than ``SUPPORT`` rows a leaf (raise ``fit_rows`` with the collection). A leaf above ``unit_rows`` is cut
-into parts that meet pairwise as separate units, so no leaf is whole in one task.
+Directions and medians come from a sample of ``fit_rows`` vectors (those with the smallest hash), fitted in
+one task; every vector is then dealt to its leaves. Where the sample has fewer than ``SUPPORT`` rows a node,
+the splits go on with one random direction for each further level, at the median of the node's part of the
+sample along it. So the depth follows the size of the largest label, and the forest stays small: a number
+for each node of the sample's tree and further level. A leaf above ``unit_rows`` is cut into parts that meet
+pairwise as separate units, so no leaf is whole in one task.
 
 Equal vectors are one node with a count, so copies cost nothing. A linked pair is counted once, in the
 first leaf that both share; each unit sends a link count per vector and a spanning forest of its links,
@@ -30,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from gridpulse.llm.bktree import spanning
-from gridpulse.llm.common import Scratch, units_of_work
+from gridpulse.llm.common import Scratch, fit_in_one_task, units_of_work
 from gridpulse.llm.components import components
 
 COSINE = 0.93
-TREES, LEAF_ROWS, SPILL, FIT_ROWS, SUPPORT, UNIT_ROWS, TILE = 4, 256, 0.03, 20_000, 32, 1024, 512
+TREES, LEAF_ROWS, SPILL, FIT_ROWS, SUPPORT, UNIT_ROWS, TILE = 4, 256, 0.15, 20_000, 32, 1024, 512
 
 
 def unit_vectors(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -45,9 +49,10 @@ def unit_vectors(flat: np.ndarray, dim: int) -> np.ndarray:
 
 
 class Tree:
-    """A complete tree: node k has the children 2k + 1 and 2k + 2, a direction and a threshold."""
+    """A complete tree: node k has the children 2k + 1 and 2k + 2, a direction and a threshold. Below it,
+    each further level has one direction, and a threshold for each leaf of the tree."""
 
-    def __init__(self, sample: np.ndarray, depth: int, random: np.random.Generator) -> None:
+    def __init__(self, sample: np.ndarray, depth: int, random: np.random.Generator, further: int = 0) -> None:
         self.depth = depth
         nodes = (1 << depth) - 1
         self.directions = random.standard_normal((nodes, sample.shape[1]))
@@ -60,6 +65,11 @@ class Tree:
                 along = sample[here] @ self.directions[node]
                 self.thresholds[node] = np.median(along) if len(here) else 0.0
                 at[here] = 2 * node + 1 + (along > self.thresholds[node])
+        self.further = random.standard_normal((further, sample.shape[1]))
+        self.further /= np.linalg.norm(self.further, axis=1, keepdims=True)
+        self.medians = np.zeros((1 << depth, further))
+        for leaf in np.unique(at) if further else ():
+            self.medians[leaf - nodes] = np.median(sample[at == leaf] @ self.further.T, axis=0)
 
     def leaves(self, rows: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf), a row once for each leaf that it reaches."""
@@ -69,16 +79,23 @@ class Tree:
             left, right = along <= spill, along > -spill
             row = np.concatenate([row[left], row[right]])
             node = np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-        return row, node - ((1 << self.depth) - 1)
+        leaf = path = node - ((1 << self.depth) - 1)
+        for direction, medians in zip(self.further, self.medians.T, strict=True):
+            along = rows[row] @ direction - medians[leaf]
+            left, right = along <= spill, along > -spill
+            row = np.concatenate([row[left], row[right]])
+            path = np.concatenate([2 * path[left], 2 * path[right] + 1])
+            leaf = np.concatenate([leaf[left], leaf[right]])
+        return row, path
 
 
-def fit(sample: dict[int, np.ndarray], depth: int, trees: int, seed: int = 7) -> dict[int, list[Tree]]:
-    """Trees for each dimension that the sample has."""
+def fit(sample: dict[int, np.ndarray], depths: dict[int, int], trees: int, seed: int = 7) -> dict[int, list[Tree]]:
+    """Trees for each dimension that the sample has, as deep as ``depths`` says."""
     out = {}
     for dim, rows in sample.items():
         random = np.random.default_rng([seed, dim])
-        deep = max(0, min(depth, int(np.log2(max(1, len(rows) / SUPPORT)))))
-        out[dim] = [Tree(rows, deep, random) for _ in range(trees)]
+        deep = max(0, min(depths[dim], int(np.log2(max(1, len(rows) / SUPPORT)))))
+        out[dim] = [Tree(rows, deep, random, depths[dim] - deep) for _ in range(trees)]
     return out
 
 
@@ -87,6 +104,18 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
+def _by_dimension(column: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Unit vectors of each dimension."""
+    parts: dict[int, list[np.ndarray]] = {}
+    for chunk in (x for x in column.chunks if len(x)):
+        flat, offsets = _vectors(chunk)
+        size = np.diff(offsets)
+        for dim in np.unique(size).tolist():
+            own = np.flatnonzero(size == dim)
+            parts.setdefault(dim, []).append(unit_vectors(flat[(offsets[own][:, None] + np.arange(dim)).ravel()], dim))
+    return {dim: np.concatenate(x) for dim, x in parts.items()}
+
+
 def _router(forests, spill: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +126,8 @@ def _router(forests, spill: float):
                 own = np.flatnonzero(size == dim)
                 rows = unit_vectors(flat[(offsets[own][:, None] + np.arange(dim)).ravel()], int(dim))
                 for number, tree in enumerate(forests.value.get(int(dim), ())):
-                    row, leaf = tree.leaves(rows, spill)
-                    row_leaf.append(np.stack([own[row], (number << 32) + leaf]))
+                    row, leaf = tree.leaves(rows, spill / np.sqrt(dim))
+                    row_leaf.append(np.stack([own[row], (number << 48) + leaf]))
                 if int(dim) not in forests.value:  # not in the sample: one leaf
                     row_leaf.append(np.stack([own, np.zeros(len(own), np.int64)]))
             row, leaf = np.concatenate(row_leaf, 1) if row_leaf else np.zeros((2, 0), np.int64)
@@ -202,12 +231,15 @@ def near_duplicates(
         F.min("row").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"),
     )
     nodes = scratch.table(nodes)
-    largest = nodes.groupBy("label").count().agg(F.max("count").alias("n")).first().n or 0
-    depth = max(0, int(np.ceil(np.log2(max(1, largest / leaf_rows)))))
-    sample: dict[int, list] = {}
-    for r in nodes.orderBy(F.xxhash64("h1")).limit(fit_rows).select("embedding").collect():
-        sample.setdefault(len(r.embedding), []).append(r.embedding)
-    forests = spark.sparkContext.broadcast(fit({d: unit_vectors(np.array(x).ravel(), d) for d, x in sample.items()}, depth, trees))
+    # One row a dimension: the size of its largest label.
+    largest = nodes.groupBy("label", F.size("embedding").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()
+    depths = {r.dim: max(0, int(np.ceil(np.log2(r.n / leaf_rows)))) for r in largest}
+
+    def grow(sample: pa.Table) -> dict[int, list[Tree]]:
+        return fit(_by_dimension(sample["embedding"]), depths, trees)
+
+    sample = nodes.orderBy(F.xxhash64("h1"), "h1", "h2").limit(fit_rows).select("embedding")
+    forests = spark.sparkContext.broadcast(fit_in_one_task(sample, grow))
     # The vector goes first: the router reads it there.
     plain = nodes.select("embedding", "node", "copies", "label")
     routed = scratch.table(plain.mapInArrow(_router(forests, spill), StructType([*plain.schema, StructField("leaves", ArrayType(LongType()))])))

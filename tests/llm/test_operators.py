@@ -4,6 +4,7 @@ repeated rows, ties, no rows at all, and further columns whose names clash with
 import base64
 import hashlib
 import re
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -91,6 +92,27 @@ def test_projection_forest_finds_every_link(spark):
     assert rpforest.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [8, 64, 384])
+def test_forest_recall_and_copies_do_not_follow_the_dimension(dim):
+    rng = np.random.default_rng(dim)
+    rows = rpforest.unit_vectors(rng.standard_normal(8000 * dim), dim)
+    # Partners at a cosine of 0.932; the sample alone would give 6 of the 9 levels.
+    off = rng.standard_normal(rows.shape)
+    off -= (off * rows).sum(1, keepdims=True) * rows
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near = 0.932 * rows + np.sqrt(1 - 0.932**2) * off
+    trees = rpforest.fit({dim: rows[:2048]}, {dim: 9}, 4)[dim]
+    assert {(t.depth, len(t.further)) for t in trees} == {(6, 3)}
+    met = np.zeros(len(rows), bool)
+    for tree in trees:
+        a, b = (tree.leaves(x, rpforest.SPILL / np.sqrt(dim)) for x in (rows, near))
+        assert len(a[0]) < 4 * len(rows)
+        size = np.bincount(a[1], minlength=512)
+        assert len(size) == 512 and size.max() < 6 * size.mean()
+        met[np.intersect1d((a[0] << 9) + a[1], (b[0] << 9) + b[1]) >> 9] = True
+    assert met.mean() >= 0.97
+
+
 # 3
 
 
@@ -248,6 +270,39 @@ def test_toxicity_cosines_are_of_whole_texts(spark):
         assert np.allclose(r.cosines, best) and np.allclose([want[k] for k in r.neighbours], best)
 
 
+def test_toxicity_weights_telling_words(spark):
+    # Three telling words in 60 of 300 long texts: each text has many words rarer than these.
+    random = np.random.default_rng(8)
+    y = [int(k % 5 == 0) for k in range(300)]
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 4000, 300)) + (f" bad{k % 3} bad{(k + 1) % 3}" if y[k] else "") for k in range(300)]
+    frame = docs(spark, list(enumerate(texts)))
+    index = toxicity.fit(frame, spark.createDataFrame([(k, 1, v) for k, v in enumerate(y)], "doc_id long, quality int, toxic int"))
+    words = [Counter(t.split()) for t in texts]
+    n = Counter(y[k] for k in index.ids)
+    df = Counter(w for t in words for w in t)
+    held = [Counter(w for k in index.ids if y[k] == c for w in words[k]) for c in (0, 1)]
+
+    def relevance(word):
+        seen, due, total = [held[c][word] for c in (0, 1)], [], sum(n.values())
+        due = [sum(seen) * n[c] / total for c in (0, 1)]
+        cells = [*zip(seen, due, strict=True), *((n[c] - seen[c], n[c] - due[c]) for c in (0, 1))]
+        ratio = 2 * sum(a * np.log(a / b) for a, b in cells if a)
+        return max(1.0, np.sqrt(max(ratio, 0.0)) - toxicity.CHANCE) if seen[1] > due[1] else 1.0
+
+    def vector(k):
+        v = {w: (1 + np.log(c)) * np.log((1 + len(texts)) / (1 + df[w])) * relevance(w) for w, c in words[k].items()}
+        return v, np.sqrt(sum(x * x for x in v.values()))
+
+    assert relevance("bad0") > 5
+    vectors = {k: vector(k) for k in range(300)}
+    got = {r.doc_id: r for r in toxicity.score(frame, index).collect()}
+    for k in range(0, 300, 7):
+        v, length = vectors[k]
+        want = sorted((sum(x * vectors[e][0].get(w, 0) for w, x in v.items()) / length / vectors[e][1] for e in map(int, index.ids)), reverse=True)
+        assert np.allclose(got[k].cosines, [c for c in want if c > 1e-12][: toxicity.NEIGHBOURS])
+    assert all((got[k].score >= toxicity.THRESHOLD) == bool(y[k]) for k in got)
+
+
 # 6
 
 
