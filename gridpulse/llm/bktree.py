@@ -236,8 +236,14 @@ def near_duplicates(
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that with the smallest (id, hash of
     the text), null ids first. Of rows that agree in both, one stays."""
+    return keep_least(docs, near_duplicates(docs, id_column, text_column, radius), id_column, text_column)
+
+
+def keep_least(docs: DataFrame, marked: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The row with the smallest (id, hash of the text) of each ``component`` of ``marked`` (id, ``text_hash``,
+    ``component``), with all its columns."""
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.table(near_duplicates(docs, id_column, text_column, radius))
+    marked = scratch.table(marked)
     key = F.struct(F.col(id_column).alias("id"), F.col("text_hash").alias("hash"))
     # By the component itself: its smallest id may be null, or stand on rows of another component too.
     chosen = marked.groupBy("component").agg(F.min(key).alias("key"))
