@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bktree, bpe, linededup, quality, suffixes
+from gridpulse.llm import bpe, linededup, nearcopies, quality, suffixes
 from gridpulse.llm.common import Scratch, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,8 +24,9 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """SimHash near-dedup: of each group the document with the smallest id stays."""
-    return bktree.keep_first(docs)
+    """SimHash near-dedup: of each group of texts that verified links (Jaccard of 0.8 or more over five-word
+    shingles) connect, the document with the smallest id stays."""
+    return nearcopies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
