@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridpulse.schema import KEY
 from gridpulse.session import materialize
 
 _FEED, _KEY = "_feed", "_key"
 HOT_ROWS = 1_000_000
-MAX_LISTED_KEYS = 10_000
+LIST_ROWS = 10_000
 
 
 def _names(on: str | list[str]) -> list[str]:
@@ -82,22 +81,24 @@ def _align_by_union(feeds: list[DataFrame], on: list[str], how: str) -> DataFram
     return checked.select(*on, *unpacked)
 
 
-def _pad(feeds: list[DataFrame]) -> list[DataFrame]:
-    """Give every feed a row without values for each key that only others have."""
-    marks = [f.select(_KEY, F.lit(1 << i).alias("_bit")) for i, f in enumerate(feeds)]
-    known = reduce(DataFrame.unionAll, marks).groupBy(_KEY).agg(F.bit_or("_bit").alias("_bits"))
-    return [
-        f.unionByName(
-            known.filter(F.col("_bits").bitwiseAND(1 << i) == 0).select(_KEY), allowMissingColumns=True
-        )
-        for i, f in enumerate(feeds)
+def _cogroup(feeds: list[DataFrame], how: str) -> DataFrame:
+    """One exchange for any number of feeds (``_key`` and values): stack them, gather each feed's rows of a key in a
+    list, and expand the product of the lists in place. The inner form drops keys that a feed lacks; in
+    the outer form an empty list stands for one row without values."""
+    names = [f"_feed_{i}" for i in range(len(feeds))]
+    values = [[c for c in feed.columns if c != _KEY] for feed in feeds]
+    packed = [
+        feed.select(_KEY, F.struct(*(columns or [F.lit(1).alias("_present")])).alias(name))
+        for feed, columns, name in zip(feeds, values, names, strict=True)
     ]
-
-
-def _join_chain(feeds: list[DataFrame], on: list[str]) -> DataFrame:
-    """Padding turns the outer form into inner joins: those keep their partitioning, so no
-    intermediate result is shuffled again."""
-    return reduce(lambda a, b: a.join(b, on, "inner"), feeds)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
+    rows = stacked.groupBy(_KEY).agg(*[F.collect_list(n).alias(n) for n in names])
+    if how == "inner":
+        rows = rows.filter(reduce(lambda a, b: a & b, [F.size(n) > 0 for n in names]))
+    for name in names:
+        others = [n for n in names if n != name]
+        rows = rows.select(_KEY, *others, F.explode_outer(name).alias(name))
+    return rows.select(_KEY, *[F.col(n)[c].alias(c) for n, columns in zip(names, values, strict=True) for c in columns])
 
 
 def _spread(feed: DataFrame, number: int, hot: DataFrame) -> DataFrame:
@@ -110,45 +111,35 @@ def _spread(feed: DataFrame, number: int, hot: DataFrame) -> DataFrame:
     return numbered.withColumn("_salt", F.explode(salts)).drop("_row", "_ways", "_largest")
 
 
-def _align_by_join(feeds: list[DataFrame], on: list[str], how: str, hot_rows: int) -> DataFrame:
-    """Repeated keys multiply. Keys with more than ``hot_rows`` rows in a feed are joined apart, salted."""
+def _align_by_cogroup(feeds: list[DataFrame], on: list[str], how: str, hot_rows: int, most: int) -> DataFrame:
+    """Repeated keys multiply. ``most`` is the largest number of rows that a feed has of one key. Keys with
+    more than ``LIST_ROWS`` rows in a feed (or ``hot_rows``, if that is less) are too many for a list and
+    joined apart, salted."""
     key = F.struct(*on).alias(_KEY)  # a struct of nulls equals another one
     keyed = [f.select(key, *[c for c in f.columns if c not in on]) for f in feeds]
     values = [c for f in keyed for c in f.columns if c != _KEY]
-    counts = _rows_per_key(feeds, on).filter(F.col("_n") > hot_rows)
-    hot = counts.groupBy(_KEY).agg(
-        F.max_by(_FEED, "_n").alias("_largest"), F.ceil(F.max("_n") / hot_rows).alias("_ways")
-    )
-    salted = None
-    if not hot.isEmpty():
-        # At most (all rows) / hot_rows keys.
-        hot = materialize(hot)
+    limit, salted = min(hot_rows, LIST_ROWS), None
+    if most > limit:
+        # At most (all rows) / limit keys.
+        counts = _rows_per_key(feeds, on).filter(F.col("_n") > limit)
+        hot = materialize(
+            counts.groupBy(_KEY).agg(
+                F.max_by(_FEED, "_n").alias("_largest"), F.ceil(F.max("_n") / hot_rows).alias("_ways")
+            )
+        )
         apart = [materialize(f.join(hot, _KEY, "left_semi").select(*f.columns)) for f in keyed]
         keyed = [f.join(hot, _KEY, "left_anti").select(*f.columns) for f in keyed]
         if how == "outer":
             lacking = [hot.select(_KEY).join(f.select(_KEY), _KEY, "left_anti") for f in apart]
             apart = [materialize(f.unionByName(k, allowMissingColumns=True)) for f, k in zip(apart, lacking, strict=True)]
-        salted = _join_chain([_spread(f, i, hot) for i, f in enumerate(apart)], [_KEY, "_salt"])
-    joined = _join_chain(_pad(keyed) if how == "outer" else keyed, [_KEY]).select(_KEY, *values)
+        spread = [_spread(f, i, hot) for i, f in enumerate(apart)]
+        salted = reduce(lambda a, b: a.join(b, [_KEY, "_salt"]), spread)
+    joined = _cogroup(keyed, how)
     if salted is not None:
         joined = joined.unionAll(salted.select(_KEY, *values))
     return joined.select(*[F.col(_KEY)[c].alias(c) for c in on], *values)
 
 
-def _align_apart(
-    feeds: list[DataFrame], on: list[str], how: str, repeated: list[Row], hot_rows: int
-) -> DataFrame:
-    """Few repeated keys: those by joins, all others by the union. The listed keys are small and broadcast."""
-    kind = T.StructType([T.StructField(_KEY, feeds[0].select(F.struct(*on).alias(_KEY)).schema[_KEY].dataType)])
-    listed = feeds[0].sparkSession.createDataFrame(repeated, kind)
-    keyed = [f.withColumn(_KEY, F.struct(*on)) for f in feeds]
-    plain, multiple = (
-        [f.join(listed, _KEY, side).select(*original.columns) for f, original in zip(keyed, feeds, strict=True)]
-        for side in ("left_anti", "left_semi")
-    )
-    return _align_by_union(plain, on, how).unionByName(_align_by_join(multiple, on, how, hot_rows))
-
-
 def align_feeds(
     feeds: list[DataFrame] | dict[str, DataFrame],
     on: str | list[str] = KEY,
@@ -159,10 +150,10 @@ def align_feeds(
 ) -> DataFrame:
     """J1 (``how="outer"``) and J2 (``how="inner"``).
 
-    ``strategy="union"`` needs unique keys per feed and costs one exchange; ``"join"`` multiplies
-    repeated keys, hot ones (more than ``hot_rows`` rows in a feed) spread over many tasks; ``"auto"``
-    looks at the keys first (one job over the key columns) and joins the repeated ones only, as long
-    as they are few.
+    ``strategy="union"`` needs unique keys per feed and costs one exchange. ``"join"`` multiplies repeated keys:
+    it looks at the keys first (one job over the key columns), then one exchange gathers the rows of a key,
+    and hot keys are spread over many tasks. ``"auto"`` looks at the keys likewise and takes the union if
+    none is repeated.
     Missing keys match each other (``"match"``) or are left out (``"drop"``). The result has no
     order: sort where it is shown.
     """
@@ -171,14 +162,9 @@ def align_feeds(
         raise ValueError(f"unknown alignment: {how}")
     frames = [_present(f, keys, null_keys) for f in (feeds.values() if isinstance(feeds, dict) else feeds)]
     _check_columns(frames, keys)
-    if strategy == "auto":
-        repeated = _rows_per_key(frames, keys).filter("_n > 1").select(_KEY).distinct()
-        repeated = repeated.limit(MAX_LISTED_KEYS + 1).collect()
-        if repeated and len(repeated) <= MAX_LISTED_KEYS:
-            return _align_apart(frames, keys, how, repeated, hot_rows)
-        strategy = "join" if repeated else "union"
-    if strategy == "union":
-        return _align_by_union(frames, keys, how)
-    if strategy == "join":
-        return _align_by_join(frames, keys, how, hot_rows)
-    raise ValueError(f"unknown strategy: {strategy}")
+    if strategy not in ("auto", "union", "join"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    most = 1 if strategy == "union" else _rows_per_key(frames, keys).agg(F.max("_n")).first()[0] or 0
+    if strategy == "join" or most > 1:
+        return _align_by_cogroup(frames, keys, how, hot_rows, most)
+    return _align_by_union(frames, keys, how)

@@ -68,6 +68,31 @@ def test_union_alignment_shuffles_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("how", ["outer", "inner"])
+def test_repeated_keys_shuffle_once(spark, tmp_path, how):
+    rows = {n: [(k % 40 or None, float(k)) for k in range(60 + i)] for i, n in enumerate("abcde")}
+    feeds = []
+    for n, r in rows.items():
+        feed(spark, r, n).write.parquet(f"{tmp_path}/{n}")
+        feeds.append(spark.read.parquet(f"{tmp_path}/{n}"))
+    df = align_feeds(feeds, "k", how)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan parquet") == 5
+    want = pd.DataFrame(rows["a"], columns=["k", "a"])
+    for n in "bcde":
+        want = want.merge(pd.DataFrame(rows[n], columns=["k", n]), on="k", how=how)
+    assert sorted(map(repr, df.toPandas().fillna(-1).values.tolist())) == sorted(map(repr, want.fillna(-1).values.tolist()))
+
+
+def test_no_rows_and_feeds_of_keys_only(spark):
+    none = feed(spark, [], "a")
+    assert align_feeds([none, feed(spark, B_TWICE, "b")], "k").count() == 5
+    assert align_feeds([none, feed(spark, B_TWICE, "b")], "k", "inner").count() == 0
+    assert align_feeds([none, feed(spark, [], "b")], "k").count() == 0
+    keys = feed(spark, B_TWICE, "b").select("k")
+    assert align_feeds([keys, feed(spark, A, "a")], "k").count() == 6
+
+
 @pytest.mark.parametrize("how", ["outer", "inner"])
 def test_hot_keys_are_spread_and_whole(spark, how):
     """Keys 2 and null count as hot here; copies of a row are dealt out like other rows."""
