@@ -1,5 +1,6 @@
 import dataclasses
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from gridpulse.operators import iforest, predictor, scoring, split, training
 from gridpulse.operators.metrics import anomaly_rate
 from gridpulse.schema import CLASS_NAMES, RISK
+from gridpulse.session import materialize
 from gridpulse.sources import writers
 
 TINY = training.Profile(trees=4, depth=4, rounds=3, boost_leaves=8, boost_leaf=1, bins=16, iterations=30, forest_trees=10)
@@ -209,3 +211,26 @@ def test_saved_anomaly_model_flags_a_stream(spark, tmp_path):
     assert model.transform(stored.filter("id = 100")).first().anomaly_flag == 1
     nothing = iforest.fit_model(stored.limit(0), ["x", "y"], n_trees=2)
     assert nothing.transform(stored.limit(3)).filter("anomaly_flag = -1").isEmpty()
+
+
+@pytest.mark.parametrize("listed", [10_000, 5])
+def test_a_split_leaves_no_class_to_one_task(spark, monkeypatch, listed):
+    """Nine tenths of the rows are of one class, in a session that broadcasts nothing by itself."""
+    monkeypatch.setattr(split, "LISTED_CLASSES", listed, raising=False)
+    kind = "CAST(CASE WHEN id % 10 > 0 THEN NULL ELSE id % 7 END AS INT) AS kind"
+    rows = materialize(spark.range(0, 20_000, 1, 8).selectExpr("id", kind))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        flagged = split.with_test_flag(rows, key=["id"], label="kind")
+        placed = flagged.select("kind", "id", "is_test", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.id for r in placed) == list(range(20_000)) and sum(r.is_test for r in placed) == 4000
+    for kind in (None, *range(7)):
+        own = [r.is_test for r in placed if r.kind == kind]
+        assert math.floor(0.2 * len(own)) <= sum(own) <= math.ceil(0.2 * len(own))
+    assert max(Counter(r.at for r in placed).values()) < 10_000
