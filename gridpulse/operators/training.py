@@ -39,6 +39,9 @@ from gridpulse.sources.writers import save_model, write_metadata
 
 RISK_PREDICTION, RISK_PROBABILITY = "risk_prediction", "risk_probability"
 TEMPERATURE_PREDICTION = "temperature_prediction"
+# Histograms of the nodes that a forest splits in one job: each task that runs at the time holds as many, and
+# so do the tasks that add them up. Splits of all features do not depend on it.
+FOREST_MB = 256
 
 
 @dataclass(frozen=True)
@@ -112,7 +115,7 @@ def fit_forest_classifier(task: Task) -> Model:
     return RandomForestClassifier(
         featuresCol=task.features, labelCol=task.label, predictionCol=task.prediction,
         probabilityCol=task.probability, rawPredictionCol="_risk_raw", numTrees=p.trees, maxDepth=p.depth,
-        maxBins=p.bins, featureSubsetStrategy="sqrt", seed=p.seed, maxMemoryInMB=1024,
+        maxBins=p.bins, featureSubsetStrategy="sqrt", seed=p.seed, maxMemoryInMB=FOREST_MB,
     ).fit(task.train)
 
 
@@ -150,7 +153,7 @@ def fit_forest_regressor(task: Task) -> Model:
     p = task.profile
     return RandomForestRegressor(
         featuresCol=task.features, labelCol=task.label, predictionCol=task.prediction, numTrees=p.trees,
-        maxDepth=p.depth, maxBins=p.bins, featureSubsetStrategy="all", seed=p.seed, maxMemoryInMB=1024,
+        maxDepth=p.depth, maxBins=p.bins, featureSubsetStrategy="all", seed=p.seed, maxMemoryInMB=FOREST_MB,
     ).fit(task.train)
 
 

@@ -75,6 +75,12 @@ def test_candidates(fitted):
     assert [r.model for r in risk.metrics.filter("is_best").collect()] == [risk.best]
 
 
+def test_forests_hold_few_histograms_at_once(fitted):
+    """Every task of an executor holds the histograms of a group of nodes."""
+    for result in fitted:
+        assert result.models["RandomForest"].stages[-1].getMaxMemoryInMB() <= 256
+
+
 @pytest.mark.parametrize("name", ["LogisticRegression", "RandomForest", "HistGradientBoosting"])
 def test_models_reload_with_the_same_answers(frame, fitted, tmp_path, name):
     model = fitted[0].models[name]
