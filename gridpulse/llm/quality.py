@@ -35,6 +35,7 @@ END, AGAIN = 0, 1  # buckets of a document's end and of a word that repeats the
 FIT_DOCS, EPOCHS, RATE = 1500, 8, 2.0
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
+PART = SLICE // 4  # bytes of short texts that are taken together; their features take much memory
 ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -65,7 +66,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     """Ranges of texts (first, after the last) with the buckets of some of their features and the number of
     the text that each belongs to. A long text comes in several slices."""
     data, offsets = text_bytes(column)
-    for i, j in groups(offsets):
+    for i, j in groups(offsets, PART):
         a, b = int(offsets[i]), int(offsets[j])
         alone = j == i + 1
         for s, e in cuts(data[a:b], SOLID) if alone and b - a > SLICE else [(0, b - a)]:

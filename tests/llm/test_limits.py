@@ -8,6 +8,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from gridpulse.llm import bktree, common, linededup, quality, textbytes, toxicity
+from gridpulse.llm.common import Scratch
 
 
 def plain_simhash(text, n=4):
@@ -65,3 +66,11 @@ def test_names_that_clash_and_text_ids(spark):
     assert all(isinstance(x, str) for r in got for x in r.neighbours) and any(r.neighbours for r in got)
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).collect() == []
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).collect() == []
+
+
+def test_quality_takes_few_bytes_of_short_texts_together():
+    """Features of a slice are held at once, so slices are far shorter than those of words."""
+    texts = pa.array([f"wort{k} " * 5000 for k in range(60)])
+    slices = [(i, j, len(bucket)) for i, j, bucket, _ in quality.features(texts)]
+    assert [i for i, _, _ in slices] == [0, *(j for _, j, _ in slices[:-1])] and slices[-1][1] == 60
+    assert max(n for _, _, n in slices) < 1_000_000
