@@ -87,7 +87,7 @@ def repeated_runs(
     bare = F.transform(lines("text"), lambda x: F.btrim(x, F.lit(" \t\r\n")))
     hashed = source.select("id", "hash", bare.alias("bare")).select(
         "id", "hash", F.monotonically_increasing_id().alias("row"), F.transform("bare", lambda x: F.xxhash64(x)).alias("h"),
-        F.transform("bare", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.translate(x, " ", "")) + 1)).alias("w"),
+        F.transform("bare", lambda x: F.when(x == "", 0).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)).alias("w"),
     )
     # Numbered rows are written before anything is joined by their numbers.
     hashed = scratch.table(hashed)

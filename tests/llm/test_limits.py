@@ -74,3 +74,13 @@ def test_quality_takes_few_bytes_of_short_texts_together():
     slices = [(i, j, len(bucket)) for i, j, bucket, _ in quality.features(texts)]
     assert [i for i, _, _ in slices] == [0, *(j for _, j, _ in slices[:-1])] and slices[-1][1] == 60
     assert max(n for _, _, n in slices) < 1_000_000
+
+
+def test_words_of_a_line_are_counted_without_a_map_of_characters(spark):
+    docs = spark.createDataFrame([(1, "ein  Wörtchen – zwei\n" * 3)], "doc_id long, text string")
+    scratch = Scratch(spark)
+    linededup.repeated_runs(docs, scratch)
+    hashed = next(spark.read.parquet(p) for p in scratch._paths.values() if "w" in spark.read.parquet(p).columns)
+    assert hashed.first().w == [5, 5, 5]
+    with open(linededup.__file__) as source:
+        assert "translate(" not in source.read()
