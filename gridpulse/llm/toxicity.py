@@ -116,8 +116,9 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_column: s
 
     counted = docs.select(text_column).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in counted.collect():  # one row a term of the bounded vocabulary
-        out[r.term] = r.n
+    found = counted.toArrow()  # one row a term of the bounded vocabulary
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
+    shared.destroy()
     return int(out[-1]), out[:-1]
 
 
