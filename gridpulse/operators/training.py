@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -24,6 +24,7 @@ from gridpulse.functions.frames import feature_columns
 from gridpulse.operators import iforest
 from gridpulse.operators.boosting import HistogramBoostingModel, fit_boosting
 from gridpulse.operators.metrics import classifier_scores, model_comparison, regression_metrics, select_best
+from gridpulse.operators.softmax import fit_softmax
 from gridpulse.operators.split import random_split, stratified_split
 from gridpulse.schema import (
     ANOMALY_FEATURES,
@@ -101,12 +102,12 @@ Fit = Callable[[Task], Model]
 
 def fit_logistic(task: Task) -> PipelineModel:
     """M4: multinomial, ridge penalty with C = 1."""
-    model = LogisticRegression(
-        featuresCol=task.scaled, labelCol=task.label, predictionCol=task.prediction,
-        probabilityCol=task.probability, rawPredictionCol="_risk_raw", family="multinomial",
-        maxIter=task.profile.iterations, regParam=1.0 / task.rows, elasticNetParam=0.0, standardization=False,
+    scaler = Pipeline(stages=task.scaler()).fit(task.train)
+    model = fit_softmax(
+        scaler.transform(task.train), task.scaled, task.label, task.prediction, task.probability,
+        penalty=1.0 / task.rows, iterations=task.profile.iterations,
     )
-    return Pipeline(stages=[*task.scaler(), model]).fit(task.train)
+    return PipelineModel([*scaler.stages, model])
 
 
 def fit_forest_classifier(task: Task) -> Model:
