@@ -91,3 +91,18 @@ def test_no_rows_and_one_value(spark, rows):
     assert empty.rounds_used == 0 and empty.transform(rows.limit(2)).count() == 2
     same = boosting.fit_boosting(rows.withColumn("heat", F.lit(4.0)), "v", "heat", "p", rounds=3)
     assert same.rounds_used == 0 and {r.p for r in same.transform(rows).select("p").collect()} == {4.0}
+
+
+@pytest.mark.parametrize("classes, label", [(0, "heat"), (3, "level")])
+def test_a_task_by_itself_grows_what_jobs_grow(spark, rows, monkeypatch, classes, label):
+    noisy = rows.withColumns({"heat": F.col("heat") + F.rand(7), "level": F.when(F.rand(8) < 0.3, 0.0).otherwise(F.col("level"))})
+    fit = lambda: boosting.fit_boosting(noisy, "v", label, "p", "q", classes, rounds=3, leaves=7, early_stop_rows=1000)
+    own = fit()
+    monkeypatch.setattr(boosting, "TASK_CELLS", 0, raising=False)
+    jobs = fit()
+    for a, b in zip(own.rounds, jobs.rounds, strict=True):
+        for s, t in zip(a, b, strict=True):
+            assert all(np.array_equal(s[c], t[c]) for c in ("feature", "bin", "cut", "missing_left", "left", "right"))
+            assert np.allclose(s["value"], t["value"])
+    for losses in ("trainLoss", "heldOutLoss"):
+        assert own.getOrDefault(losses) == pytest.approx(jobs.getOrDefault(losses))

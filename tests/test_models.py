@@ -75,6 +75,21 @@ def test_candidates(fitted):
     assert [r.model for r in risk.metrics.filter("is_best").collect()] == [risk.best]
 
 
+def test_the_query_fits_candidates_of_the_published_size(spark, monkeypatch):
+    from gridpulse.plans import catalog
+
+    class Asked(Exception):
+        pass
+
+    def compare(train, test, features, profile=training.FULL, candidates=training.CLASSIFIERS):
+        raise Asked(profile, candidates)
+
+    monkeypatch.setattr(training, "compare_classifiers", compare)
+    with pytest.raises(Asked) as asked:
+        catalog.QUERIES["m9_fit_candidates"](spark, "/root/testdata/sf0.001")
+    assert asked.value.args == (training.Profile(), training.CLASSIFIERS)
+
+
 def test_forests_hold_few_histograms_at_once(fitted):
     """Every task of an executor holds the histograms of a group of nodes."""
     for result in fitted:
