@@ -13,7 +13,6 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from gridpulse.functions.frames import feature_columns
 from gridpulse.operators import iforest
 from gridpulse.operators.boosting import HistogramBoostingModel, fit_boosting
+from gridpulse.operators.forest import fit_forest
 from gridpulse.operators.metrics import classifier_scores, model_comparison, regression_metrics, select_best
 from gridpulse.operators.softmax import fit_softmax
 from gridpulse.operators.split import random_split, stratified_split
@@ -113,11 +113,9 @@ def fit_logistic(task: Task) -> PipelineModel:
 def fit_forest_classifier(task: Task) -> Model:
     """M5."""
     p = task.profile
-    return RandomForestClassifier(
-        featuresCol=task.features, labelCol=task.label, predictionCol=task.prediction,
-        probabilityCol=task.probability, rawPredictionCol="_risk_raw", numTrees=p.trees, maxDepth=p.depth,
-        maxBins=p.bins, featureSubsetStrategy="sqrt", seed=p.seed, maxMemoryInMB=FOREST_MB,
-    ).fit(task.train)
+    return fit_forest(
+        task.train, task.features, task.label, task.prediction, task.probability, trees=p.trees, depth=p.depth, bins=p.bins, seed=p.seed, memory_mb=FOREST_MB,
+    )
 
 
 def _boosting(task: Task, classes: int, probability: str | None) -> HistogramBoostingModel:
